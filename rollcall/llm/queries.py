@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality_rules, token_files
+from . import chat, classifier, packing, quality_rules, token_files, toxicity
 from .bpe import decode_bpe, encode_bpe
 
 
@@ -29,6 +29,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_50k.json")
     coded = encode_bpe(table(spark, sf_dir, "documents"), path)
@@ -71,5 +79,5 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_binary(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quality_rules, op8_bpe_codec, op9_chat_formatting, op10_token_binary)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quality_rules, op4_quality_classifier, op7_toxicity, op8_bpe_codec, op9_chat_formatting, op10_token_binary)}
 ORACLE_SQL = {"op9_chat_formatting": OP9_SQL}
