@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, embeddings, packing, quality_rules, simhash, token_files, toxicity
+from . import chat, classifier, embeddings, packing, quality_rules, simhash, suffix, token_files, toxicity
 from .bpe import decode_bpe, encode_bpe
 
 
@@ -41,6 +41,17 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -87,5 +98,5 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_binary(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_quality_rules, op4_quality_classifier, op5_embedding_near_dedup, op7_toxicity, op8_bpe_codec, op9_chat_formatting, op10_token_binary)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_quality_rules, op4_quality_classifier, op5_embedding_near_dedup, op6_suffix_array_dedup, op7_toxicity, op8_bpe_codec, op9_chat_formatting, op10_token_binary)}
 ORACLE_SQL = {"op9_chat_formatting": OP9_SQL}
