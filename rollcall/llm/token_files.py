@@ -109,38 +109,80 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
 
 
+class Remembered(dict):
+    """Ids by chunk: what was met first stays, up to a limit; the rest of a batch's chunks are held for that batch."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.rest = limit, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        return self.rest[key]
+
+
 class WordEncoder:
     """A tokenizers-library vocabulary applied chunk by chunk.
 
     White space of ASCII never lies inside a token of a vocabulary that drops it, so a text is cut there, a chunk's ids are
-    remembered (at most cache chunks), and new chunks go to the library together.
+    remembered (at most limit chunks), and new chunks go to the library together. Two more facts of this vocabulary save
+    calls: it ignores case, so a text without a special string is lowered first (in ASCII), and a mark after a letter or
+    digit of ASCII is always a token run of its own, so a chunk that ends in one mark is two known parts.
     """
 
-    def __init__(self, data: bytes, cache: int = 600_000):
+    MARKS = frozenset(b".,;:!?")
+    PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+    def __init__(self, data: bytes, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.cache: dict[bytes, bytes] = {}
-        self.limit = cache
+        self.cache = Remembered(limit)
+
+    def library(self, words: list[bytes]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in coded]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Puts the ids of words that aren't remembered into the cache, or beyond its limit into the batch's rest."""
+        cache = self.cache
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            into = cache if len(cache) < cache.limit else cache.rest
+            into.update(zip(part, self.library(part), strict=True))
 
     def encode(self, docs: list[bytes]) -> list[bytes]:
-        lists = [x.split() for x in docs]
-        words = set().union(*lists)
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > self.limit:
-            self.cache.clear()
-            new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
+        lists = [(x if b"<|" in x else x.lower()).split() for x in docs]
+        cache = self.cache
+        cache.rest = {}
+        new = set().union(*lists).difference(cache)
+        split = [w for w in new if len(w) > 1 and w[-1] in self.MARKS and w[-2] in self.PLAIN]
+        need = new.difference(split)
+        need.update(w[:-1] for w in split)
+        need.update(w[-1:] for w in split)
+        self.learn([w for w in need if w not in cache])
+        for w in split:
+            cache.rest[w] = cache[w[:-1]] + cache[w[-1:]]
+        if len(cache) + len(split) <= cache.limit:
+            cache.update((w, cache.rest[w]) for w in split)
+        get = cache.__getitem__
         return [b"".join(map(get, x)) for x in lists]
 
 
+_ENCODERS: dict[int, WordEncoder] = {}
+
+
+def encoder_of(data: bytes) -> WordEncoder:
+    """This worker's encoder for a vocabulary, kept over its tasks."""
+    key = zlib.crc32(data)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(data)
+    return _ENCODERS[key]
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, target: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", frame_bytes: int = 1 << 20) -> DataFrame:
     """Writes shard files of all documents in ascending doc_id order to target; returns (shard, path, n_docs, n_ids).
 
@@ -164,7 +206,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, target: str, end_id: int
         for batch in slices(batches, "text", 8 << 20):
             if writer is None:
                 fs.create_dir(base, recursive=True)
-                encoder, out = WordEncoder(data.value), fs.open_output_stream(own)
+                encoder, out = encoder_of(data.value), fs.open_output_stream(own)
                 writer = Writer(out, frame_bytes)
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts(batch.column("text"))), strict=True):
                 writer.add(doc, ids + end)
