@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import slices, texts
 from .hashing import STEP, Words, buckets, fold_of, labelled_sample, numbered
@@ -89,19 +90,25 @@ def train(sample: list[tuple[str, int]], bits: int = 18, dim: int = 8, epochs: i
     return Model(e @ (o[:, 1] - o[:, 0]), b[1] - b[0], bits)
 
 
-def score_documents(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of keep, and score: one Arrow pass with the broadcast model, whose size its bits fix."""
+def with_score(docs: DataFrame, model, text: str = "text", name: str = "score") -> DataFrame:
+    """docs with one more column, the model's score of text: one Arrow pass with the broadcast model, whose size its bits
+    fix. A column of that name in docs must not exist."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    frame = docs.select(*keep, F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    schema = docs.select(*keep, F.col(doc_id).alias("__id")).schema.add("score", "double")
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value
-        for batch in slices(batches, "__text", 8 << 20):
-            score = scorer.score(texts(batch.column("__text")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), batch.column("__id"), pa.array(score)], names=[*keep, "__id", "score"])
+        for batch in slices(batches, text, 8 << 20):
+            score = scorer.score(texts(batch.column(text)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*columns, name])
 
-    return frame.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def scores(docs: DataFrame, model, threshold: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    scored = with_score(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model)
+    return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 5000, sample_bytes: int = 48 << 20, threshold: float = 0.3) -> DataFrame:
@@ -111,6 +118,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", s
     aren't held out; it sees texts alone. Every whole text is scored; null and empty texts get the score of a text
     without terms; repeated rows get the same score; an empty table gives no rows.
     """
-    model = train(labelled_sample(docs, labels, label, sample_rows, sample_bytes))
-    scored = score_documents(docs, model).withColumnRenamed("__id", "doc_id")
-    return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scores(docs, fit(docs, labels, label, sample_rows, sample_bytes), threshold)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 5000, sample_bytes: int = 48 << 20) -> Model:
+    return train(labelled_sample(docs, labels, label, sample_rows, sample_bytes))

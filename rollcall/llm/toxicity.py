@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .classifier import score_documents
-from .hashing import Words, buckets, fold_of, labelled_sample, numbered
+from .classifier import scores
+from .hashing import Words, buckets, labelled_sample, numbered
 
 #: A term is a word in lower case without the punctuation around it, or its first four or five letters.
 WHOLE, STEMS = 1, (4, 5)
@@ -66,10 +65,10 @@ def train(sample: list[tuple[str, int]], bits: int = 20, rank: int = 4, epochs:
     toxic = np.bincount(np.concatenate([r for r, v_ in zip(rows, y, strict=True) if v_]), minlength=1 << bits)
     n1, n0, p = y.sum(), len(y) - y.sum(), seen / len(y)
     z = (toxic / n1 - (seen - toxic) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    fit = (seen >= least_docs) & (np.abs(z) >= least_z)
-    rows = [ids[fit[ids]] for ids in rows]
+    telling = (seen >= least_docs) & (np.abs(z) >= least_z)
+    rows = [ids[telling[ids]] for ids in rows]
     rng = np.random.default_rng(seed)
-    known = np.flatnonzero(fit)
+    known = np.flatnonzero(telling)
     v[known] = rng.normal(0, 0.01, (len(known), rank))
     gw, gv = np.full(1 << bits, 1e-2, np.float32), np.full((1 << bits, rank), 1e-2, np.float32)
     gb = 1.0
@@ -98,6 +97,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", sa
     aren't held out; it sees texts alone. Every whole text is scored; null and empty texts get the score of a text
     without terms; repeated rows get the same score; an empty table gives no rows.
     """
-    machine = train(labelled_sample(docs, labels, label, sample_rows, sample_bytes))
-    scored = score_documents(docs, machine).withColumnRenamed("__id", "doc_id")
-    return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scores(docs, fit(docs, labels, label, sample_rows, sample_bytes), threshold)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 10_000, sample_bytes: int = 64 << 20) -> Machine:
+    return train(labelled_sample(docs, labels, label, sample_rows, sample_bytes))
