@@ -94,12 +94,13 @@ def committee_in_action(action: Column) -> Column:
 
 
 def snippet(text: Column, query: str, around: int = 80) -> Column:
-    """The text around the first match of query whatever its case, with dots where it is cut; the start where none is."""
+    """The text from around characters before the first match of query, whatever its case, to as many behind it, with
+    dots where it is cut; without a match the start of the text."""
     at = F.locate(query.lower(), F.lower(text))
-    start = F.greatest(at - around, F.lit(1))
-    end = at + len(query) + around
-    cut = F.concat(F.when(start > 1, F.lit("…")).otherwise(""), F.trim(F.substring(text, start, end - start)), F.when(end <= F.length(text), F.lit("…")).otherwise(""))
-    return F.when(at == 0, F.substring(text, 1, 2 * around)).otherwise(cut)
+    start, end = F.greatest(at - around, F.lit(1)), F.least(at + len(query) + around, F.length(text) + 1)
+    cut = F.concat(F.when(start > 1, "...").otherwise(""), F.substr(text, start, end - start), F.when(end <= F.length(text), "...").otherwise(""))
+    head = F.concat(F.substring(text, 1, 2 * around), F.when(F.length(text) > 2 * around, "...").otherwise(""))
+    return F.when(at == 0, head).otherwise(cut)
 
 
 def collapse(text: Column) -> Column:
