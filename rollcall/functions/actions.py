@@ -68,53 +68,55 @@ def pattern_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *p) for i, p in enumerate(PATTERNS)], "ord int, pattern string, match string, category string, signal string, stage string")
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _matched(text: Column) -> Column:
-    """The first pattern that fits, as a struct; null where none does."""
-    low, raw = F.lower(spaced(text)), F.lower(text)
-
-    def fits(pattern: str, how: str) -> Column:
-        p = F.lit(pattern)
-        if how == "exact":
-            return (low == p) | (raw == p)
-        if how == "contains":
-            return F.contains(low, p) | F.contains(raw, p)
-        if how == "subject":
-            rest = F.trim(F.substring(low, 4, 1000))
-            return F.startswith(low, F.lit("to ")) & (rest != "") & ~F.startswith(rest, F.lit("total")) & ~F.startswith(rest, F.lit("the ")) & ~F.contains(rest, F.lit("veto"))
-        return F.startswith(low, p) | F.startswith(raw, p)
-
-    out = None
-    for pattern, how, category, signal, stage in PATTERNS:
-        row = F.struct(F.lit(category).alias("category"), F.lit(signal).alias("signal"), F.lit(stage).cast("string").alias("stage"))
-        out = F.when(fits(pattern, how), row) if out is None else out.when(fits(pattern, how), row)
-    return out
+    """The first pattern that fits, as a struct; null where none does. The patterns are one literal array, so that the
+    expression stays small however many there are."""
+    rows = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(how).alias("how"), F.lit(category).alias("category"), F.lit(signal).alias("signal"), F.lit(stage).cast("string").alias("stage")) for p, how, category, signal, stage in PATTERNS))
+
+    def fits(r: Column, v: Column) -> Column:
+        p, low, raw, rest = r["p"], v["low"], v["raw"], v["rest"]
+        subject = F.startswith(low, F.lit("to ")) & (rest != "") & ~F.startswith(rest, F.lit("total")) & ~F.startswith(rest, F.lit("the ")) & ~F.contains(rest, F.lit("veto"))
+        return (
+            F.when(r["how"] == "exact", (low == p) | (raw == p))
+            .when(r["how"] == "contains", F.contains(low, p) | F.contains(raw, p))
+            .when(r["how"] == "subject", subject)
+            .otherwise(F.startswith(low, p) | F.startswith(raw, p))
+        )
+
+    low = F.lower(spaced(text))
+    forms = F.struct(low.alias("low"), F.lower(text).alias("raw"), F.trim(F.substring(low, 4, 1000)).alias("rest"))
+    return bound(forms, lambda v: F.get(F.filter(rows, lambda r: fits(r, v)), F.lit(0)))
 
 
 def classify_action(text: Column) -> Column:
     """A struct of category, signal, stage and bill_action (false for an amendment's own actions)."""
     text = F.trim(F.coalesce(text, F.lit("")))
-    low = F.lower(text)
-    plain = lambda c, s, g: F.struct(F.lit(c).alias("category"), F.lit(s).alias("signal"), F.lit(g).cast("string").alias("stage"))
-    found = _matched(text)
-    bill = (
-        F.when(text == "", plain("other", "neutral", None))
-        .when(found.isNotNull(), found)
-        .when(F.contains(low, F.lit("recommends be adopted")), plain("committee_action", "positive", "PASSED_COMMITTEE"))
-        .when(F.contains(low, F.lit("executive appointments")) & F.contains(low, F.lit("placed on calendar")), plain("appointment", "neutral", None))
-        .when(F.startswith(low, F.lit("rule 2-10")), plain("deadline", "neutral", None))
-        .when(is_re_referral(text), plain("deadline", "negative_weak", None))
-        .when(is_favorable_report(text), plain("committee_action", "positive", "PASSED_COMMITTEE"))
-        .when(starts_any(low, ("placed on calendar", "placed calendar")), plain("floor_process", "positive_weak", "FLOOR_VOTE"))
-        .otherwise(plain("other", "neutral", None))
-    )
-    amended = text.rlike(AMENDMENT)
-    sub = _matched(F.regexp_replace(text, AMENDMENT, ""))
-    return F.struct(
-        F.when(amended, "amendment").otherwise(bill["category"]).alias("category"),
-        F.when(amended, F.coalesce(sub["signal"], F.lit("neutral"))).otherwise(bill["signal"]).alias("signal"),
-        F.when(amended, None).otherwise(bill["stage"]).alias("stage"),
-        (~amended).alias("bill_action"),
-    )
+    none = F.lit(None).cast("string")
+    plain = lambda c, s, g: F.struct(F.lit(c).alias("category"), F.lit(s).alias("signal"), F.lit(g).cast("string").alias("stage"), F.lit(True).alias("bill_action"))
+    row = lambda m: F.struct(m["category"].alias("category"), m["signal"].alias("signal"), m["stage"].alias("stage"), F.lit(True).alias("bill_action"))
+
+    def bill(v: Column) -> Column:
+        low, found = F.lower(v["text"]), v["found"]
+        return (
+            F.when(v["amended"], F.struct(F.lit("amendment").alias("category"), F.coalesce(found["signal"], F.lit("neutral")).alias("signal"), none.alias("stage"), F.lit(False).alias("bill_action")))
+            .when(v["text"] == "", plain("other", "neutral", None))
+            .when(found["category"].isNotNull(), row(found))
+            .when(F.contains(low, F.lit("recommends be adopted")), plain("committee_action", "positive", "PASSED_COMMITTEE"))
+            .when(F.contains(low, F.lit("executive appointments")) & F.contains(low, F.lit("placed on calendar")), plain("appointment", "neutral", None))
+            .when(F.startswith(low, F.lit("rule 2-10")), plain("deadline", "neutral", None))
+            .when(is_re_referral(v["text"]), plain("deadline", "negative_weak", None))
+            .when(is_favorable_report(v["text"]), plain("committee_action", "positive", "PASSED_COMMITTEE"))
+            .when(starts_any(low, ("placed on calendar", "placed calendar")), plain("floor_process", "positive_weak", "FLOOR_VOTE"))
+            .otherwise(plain("other", "neutral", None))
+        )
+
+    seen = F.struct(text.alias("text"), text.rlike(AMENDMENT).alias("amended"), _matched(F.regexp_replace(text, AMENDMENT, "")).alias("found"))
+    return bound(seen, bill)
 
 
 def is_rollback(text: Column) -> Column:

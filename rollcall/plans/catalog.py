@@ -578,15 +578,15 @@ def o7_panel_labels(s, d):
     return asof.panel(start, a.select("bill_id", "day", "event_type"), "bill_id", "start", "day", (3, 7, 14), "2024-01-31", 10, advanced_after=asof.after(F.col("event_type") == "purchase"))
 
 
-@query(PANEL_SQL + " select bill_id, snapshot_day, snapshot_date, count(*) filter (day <= snapshot_date) facts, count(*) filter (day <= snapshot_date and event_type = 'click') clicks from sn left join actions using (bill_id) group by all", "actions")
+@query(PANEL_SQL + " select bill_id, snapshot_day, snapshot_date, count(*) filter (day <= snapshot_date) n_facts, count(*) filter (day <= snapshot_date and event_type = 'click') clicks from sn left join actions using (bill_id) group by all", "actions")
 def j20_as_of_counts(s, d):
     a = actions(s, d)
     start = a.groupBy("bill_id").agg(F.min("day").alias("start"))
     snaps = asof.snapshots(start, "bill_id", "start", (3, 7, 14)).where("datediff(date'2024-01-31', snapshot_date) >= 10")
-    return asof.as_of(snaps, a.select("bill_id", "day", "event_type"), "bill_id", "day", facts=asof.known(F.lit(True)), clicks=asof.known(F.col("event_type") == "click"))
+    return asof.as_of(snaps, a.select("bill_id", "day", "event_type"), "bill_id", "day", n_facts=asof.known(F.lit(True)), clicks=asof.known(F.col("event_type") == "click"))
 
 
-@query(PANEL_SQL + " select bill_id, snapshot_day, snapshot_date, count(*) filter (day <= snapshot_date) actions, count(*) filter (day <= snapshot_date and day > snapshot_date - 30) recent, coalesce(snapshot_date - max(day) filter (day <= snapshot_date), -1)::int days_idle, coalesce(max(day) filter (day <= snapshot_date) - min(day) filter (day <= snapshot_date), -1)::int days_active from sn left join actions using (bill_id) group by all", "actions")
+@query(PANEL_SQL + " select bill_id, snapshot_day, snapshot_date, count(*) filter (day <= snapshot_date) actions, count(*) filter (day <= snapshot_date and day > snapshot_date - 30) recent, coalesce(snapshot_date - max(day) filter (day <= snapshot_date), -1)::int days_idle, coalesce(max(day) filter (day <= snapshot_date) - min(day) filter (day <= snapshot_date), -1)::int days_active from sn left join actions using (bill_id) group by bill_id, snapshot_day, snapshot_date", "actions")
 def m5_staleness(s, d):
     a = actions(s, d)
     start = a.groupBy("bill_id").agg(F.min("day").alias("start"))
@@ -676,7 +676,7 @@ def x5_search(s, d):
     return search.search_all("Small Ring", t)
 
 
-@query("with k as (select doc_id::varchar id, text, strpos(lower(text), 'licensed under') as at from documents where contains(lower(text), 'licensed under')) select 'document' kind, id, 'text' as field, (case when at = 1 then 0.42 else 0.40 end)::double score, (case when at - 80 > 1 then '...' else '' end) || substr(text, greatest(at - 80, 1), least(at + 14 + 80, length(text) + 1) - greatest(at - 80, 1)) || (case when at + 94 <= length(text) then '...' else '' end) snippet from k")
+@query("with k as (select doc_id::varchar id, text, strpos(lower(text), 'licensed under') as pos from documents where contains(lower(text), 'licensed under')) select 'document' kind, id, 'text' as field, (case when pos = 1 then 0.42 else 0.40 end)::double score, (case when pos - 80 > 1 then '...' else '' end) || substr(text, greatest(pos - 80, 1), least(pos + 14 + 80, length(text) + 1) - greatest(pos - 80, 1)) || (case when pos + 94 <= length(text) then '...' else '' end) snippet from k")
 def x3_search_text(s, d):
     return search.search_one(table(s, d, "documents").select("doc_id", "text"), "document", "doc_id", (("text", 0.45, 0.42, 0.40),), "Licensed under")
 
