@@ -95,7 +95,7 @@ def party_code(party: Column) -> Column:
 
 def bipartisan_label(a: Column, b: Column) -> Column:
     """By the share of the smaller of two counts."""
-    share = F.least(a, b) / F.nullif(a + b, F.lit(0))
+    share = F.when(a + b > 0, F.least(a, b) / (a + b))
     return F.when(share >= 0.3, "Strong").when(share >= 0.15, "Moderate").when(share > 0, "Low").otherwise("None")
 
 

@@ -74,7 +74,9 @@ def vote_name_parts(name: Column) -> Column:
 
 def seat_name_parts(name: Column) -> Column:
     """initial and last of a seat label such as "M. Jones"."""
-    return F.struct(F.regexp_extract(name, r"^([A-Za-z])\.\s*(.+)$", 1).alias("initial"), F.coalesce(F.nullif(F.regexp_extract(name, r"^([A-Za-z])\.\s*(.+)$", 2), F.lit("")), name).alias("last"))
+    pattern = r"^([A-Za-z])\.\s*(.+)$"
+    last = F.regexp_extract(name, pattern, 2)
+    return F.struct(F.regexp_extract(name, pattern, 1).alias("initial"), F.when(last != "", last).otherwise(name).alias("last"))
 
 
 def last_name(name: Column) -> Column:

@@ -11,7 +11,7 @@ def snapshots(entities: DataFrame, key: str, start: str, days: tuple[int, ...])
     return entities.select(key, F.explode(F.array(*(F.lit(d) for d in days))).alias("snapshot_day"), F.col(start).cast("date").alias("__s")).select(key, "snapshot_day", F.date_add("__s", F.col("snapshot_day")).alias("snapshot_date"))
 
 
-def as_of(snaps: DataFrame, facts: DataFrame, key: str, day: str, **aggregates: Column) -> DataFrame:
+def as_of(snaps: DataFrame, facts: DataFrame, key: str, day: str, /, **aggregates: Column) -> DataFrame:
     """Aggregates over the facts up to each snapshot, kept for snapshots without any. An entity meets its few snapshots on
     its key: facts are joined once per snapshot, not once per pair of rows."""
     f = facts.withColumnRenamed(day, "__day")
@@ -29,7 +29,7 @@ def after(condition: Column) -> Column:
     return F.coalesce(F.max((~F.col("__in") & F.col("__day").isNotNull() & condition).cast("int")), F.lit(0))
 
 
-def panel(entities: DataFrame, facts: DataFrame, key: str, start: str, day: str, days: tuple[int, ...], today: str, mature: int, **labels: Column) -> DataFrame:
+def panel(entities: DataFrame, facts: DataFrame, key: str, start: str, day: str, days: tuple[int, ...], today: str, mature: int, /, **labels: Column) -> DataFrame:
     """Labels of what happened after each snapshot that is at least mature days old."""
     snaps = snapshots(entities, key, start, days).where(F.datediff(F.lit(today).cast("date"), "snapshot_date") >= mature)
     return as_of(snaps, facts, key, day, **labels)
@@ -43,7 +43,7 @@ def staleness(snaps: DataFrame, facts: DataFrame, key: str, day: str) -> DataFra
     return out.withColumns({"days_idle": F.coalesce(F.datediff("snapshot_date", "last"), F.lit(-1)), "days_active": F.coalesce(F.datediff("last", "first"), F.lit(-1))}).drop("first", "last")
 
 
-def early_actions(facts: DataFrame, entities: DataFrame, key: str, start: str, day: str, within: int, **conditions: Column) -> DataFrame:
+def early_actions(facts: DataFrame, entities: DataFrame, key: str, start: str, day: str, within: int, /, **conditions: Column) -> DataFrame:
     """Counts of facts at most `within` days after the start (facts before it count too)."""
     rows = entities.select(key, F.col(start).cast("date").alias("__s")).join(facts, key, "left")
     near = F.coalesce(F.datediff(F.col(day).cast("date"), "__s") <= within, F.lit(False))

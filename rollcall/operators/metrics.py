@@ -11,7 +11,7 @@ from ..functions.text import compact_number
 
 def share(part: Column, whole: Column) -> Column:
     """part / whole, 0 where whole is 0."""
-    return F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0))
+    return F.coalesce(F.when(whole != 0, part / whole), F.lit(0.0))
 
 
 def bill_facts(bills: DataFrame) -> DataFrame:

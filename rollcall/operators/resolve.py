@@ -88,7 +88,7 @@ def resolution_stats(resolved: DataFrame) -> DataFrame:
     """Totals and the resolved share of names that can be members; 0 when empty."""
     n = F.count_if(F.col("method") != "non_member")
     ok = F.count_if(F.col("member_id").isNotNull())
-    return resolved.agg(F.count(F.lit(1)).alias("names"), ok.alias("resolved"), F.coalesce(ok / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("rate"))
+    return resolved.agg(F.count(F.lit(1)).alias("names"), ok.alias("resolved"), F.coalesce(F.when(n != 0, ok / n), F.lit(0.0)).alias("rate"))
 
 
 def match_seats(seats: DataFrame, members: DataFrame) -> DataFrame:
@@ -112,7 +112,8 @@ def match_seats(seats: DataFrame, members: DataFrame) -> DataFrame:
 def seatmates(seated: DataFrame) -> DataFrame:
     """(member_id, other_id) of neighbouring places in a section; empty places are no neighbours."""
     w = Window.partitionBy("section").orderBy("idx")
-    x = seated.select("member_id", F.explode(F.array(F.lag("member_id").over(w), F.lead("member_id").over(w))).alias("other_id"))
+    x = seated.select("member_id", F.lag("member_id").over(w).alias("left"), F.lead("member_id").over(w).alias("right"))
+    x = x.select("member_id", F.explode(F.array("left", "right")).alias("other_id"))
     return x.where("member_id is not null and other_id is not null").distinct()
 
 

@@ -59,7 +59,7 @@ def seating(spark: SparkSession, path: str) -> DataFrame:
 def slip_export(spark: SparkSession, path: str) -> DataFrame:
     """Witness slips of a pipe-separated export. Lines of fewer than seven fields and the heading are left out; fields are
     trimmed."""
-    fields = F.transform(F.split("value", r"\|"), F.trim)
+    fields = F.transform(F.split("value", r"\|"), lambda x: F.trim(x))
     lines = spark.read.text(path).select(fields.alias("f")).where((F.size("f") >= 7) & (F.lower(F.col("f")[0]) != "legislation"))
     names = ("bill_number", "name", "organization", "representing", "position", "hearing_committee", "hearing_date")
     return lines.select(*(F.col("f")[i].alias(n) for i, n in enumerate(names)))
