@@ -169,9 +169,31 @@ def outcomes(actions: DataFrame, bill_id: str, day: str, order: str, text: str)
     )
 
 
-#: Progress of a stage from 0 to 1 for display; a veto is -1.
-STAGE_PROGRESS = {s: round(i / 8, 3) for i, s in enumerate(STAGE_ORDER)}
+#: How far along a stage is, for display (fixed values).
+STAGE_PROGRESS = {"FILED": 0.10, "IN_COMMITTEE": 0.25, "PASSED_COMMITTEE": 0.40, "FLOOR_VOTE": 0.55, "CHAMBER_PASSED": 0.60, "CROSSED_CHAMBERS": 0.70, "PASSED_BOTH": 0.85, "GOVERNOR": 0.95, "SIGNED": 1.0}
 
 
 def stage_progress(stage: Column, vetoed: Column) -> Column:
-    return F.when(vetoed, -1.0).otherwise(stage_number(stage) / 8.0)
+    """From 0 to 1; a veto is -1."""
+    table = F.create_map(*(x for k, v in STAGE_PROGRESS.items() for x in (F.lit(k), F.lit(v))))
+    return F.when(vetoed, -1.0).otherwise(F.coalesce(table[stage], F.lit(0.0)))
+
+
+#: Stages that may follow a stage, and votes needed by chamber (fixed values).
+NEXT_STAGES = {"FILED": ("IN_COMMITTEE",), "IN_COMMITTEE": ("PASSED_COMMITTEE",), "PASSED_COMMITTEE": ("FLOOR_VOTE",), "FLOOR_VOTE": ("CROSSED_CHAMBERS",), "CHAMBER_PASSED": ("CROSSED_CHAMBERS",), "CROSSED_CHAMBERS": ("PASSED_BOTH",), "PASSED_BOTH": ("GOVERNOR",), "GOVERNOR": ("SIGNED", "VETOED"), "SIGNED": (), "VETOED": ()}
+VOTES = {("S", "members"): 59, ("S", "passage"): 30, ("S", "override"): 36, ("S", "discharge"): 36, ("H", "members"): 118, ("H", "passage"): 60, ("H", "override"): 71, ("H", "discharge"): 60}
+
+
+def stage_table(spark: SparkSession) -> DataFrame:
+    """Stages with their order, progress and successors."""
+    rows = [(i, s, STAGE_PROGRESS.get(s, -1.0), list(NEXT_STAGES[s])) for i, s in enumerate(NEXT_STAGES)]
+    return spark.createDataFrame(rows, "ord int, stage string, progress double, next_stages array<string>")
+
+
+def vote_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c, k, n) for (c, k), n in VOTES.items()], "chamber string, purpose string, votes int")
+
+
+def category_table(spark: SparkSession) -> DataFrame:
+    """The categories with their patterns, as a reference for readers."""
+    return pattern_table(spark).groupBy("category").agg(F.array_sort(F.collect_list(F.struct("ord", "pattern", "signal", "stage"))).alias("patterns"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The words by which an action tells what became of a bill. Matching minds case.
@@ -139,48 +139,73 @@ def influence_signals(moneyball: Column, betweenness: Column, pivotality: Column
     )
 
 
-def anomaly_reason(duplication: Column, unanimity: Column, written: Column, top_share: Column, names_per_org: Column) -> Column:
-    """Up to five clauses on what is odd about a bill's slips."""
-    parts = F.array_compact(
-        F.array(
-            F.when(duplication >= 0.3, "many repeated names"),
-            F.when(unanimity >= 0.95, "nearly unanimous"),
-            F.when(written >= 0.95, "nearly all written"),
-            F.when(top_share >= 0.5, "one organization dominates"),
-            F.when(names_per_org >= 20, "many names per organization"),
-        )
-    )
-    return F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise("unusual pattern")
+def forecast_confidence(p: Column) -> Column:
+    return F.when(p >= 0.6, "High").when(p >= 0.35, "Medium").otherwise("Low")
 
 
-def forecast_confidence(p: Column) -> Column:
-    distance = F.abs(p - 0.5) * 2
-    return F.when(distance >= 0.6, "High").when(distance >= 0.35, "Medium").otherwise("Low")
+def trust(auc: Column, f1_pos: Column, support_pos: Column) -> Column:
+    """How far a model's figures can be relied on: at most one weakness and an area of 0.8 or more make it reliable."""
+    weak = (auc < 0.8).cast("int") + (support_pos < 50).cast("int") + ((f1_pos > 0) & (f1_pos < 0.5)).cast("int")
+    return F.when((weak <= 1) & (auc >= 0.8), "RELIABLE").when(auc >= 0.7, "MODERATE").otherwise("USE WITH CAUTION")
+
+
+def predicted_destination(lifecycle: Column, stage: Column, p_law: Column, p_advance: Column) -> Column:
+    far, floor = stage.isin("PASSED_BOTH", "GOVERNOR", "SIGNED"), stage.isin("FLOOR_VOTE", "CROSSED_CHAMBERS")
+    return (
+        F.when(lifecycle == "PASSED", "Became Law").when(lifecycle == "VETOED", "Vetoed").when((far & (p_law >= 0.3)) | (p_law >= 0.5), "→ Law")
+        .when(floor & (p_advance >= 0.5), "→ Passed").when(p_advance >= 0.5, "→ Floor").otherwise("Stuck")
+    )
+
+
+#: How open a loyalty tier is to persuasion (fixed values).
+PERSUADABILITY = {"Swing": 1.0, "Lean Support": 0.7, "Lean Oppose": 0.5, "Champion": 0.2, "Oppose": 0.1}
 
 
-def trust(auc: Column, rows: Column) -> Column:
-    return F.when((auc >= 0.9) & (rows >= 500), "high").when(auc >= 0.75, "moderate").otherwise("low")
+def persuadability(tier: Column) -> Column:
+    return F.coalesce(F.create_map(*(x for k, v in PERSUADABILITY.items() for x in (F.lit(k), F.lit(v))))[tier], F.lit(0.5))
 
 
-def predicted_destination(stage: Column, p_law: Column, p_advance: Column) -> Column:
-    return F.when(stage == "SIGNED", "Became Law").when(stage == "VETOED", "Vetoed").when(p_law >= 0.5, "Likely Law").when(p_advance >= 0.5, "Passes Committee").otherwise("Stuck in Committee")
+def value_label(percentile: Column) -> Column:
+    return F.when(percentile >= 70, "Undervalued").when(percentile <= 30, "Overvalued").otherwise("Fairly Valued")
 
 
-PROCEDURAL = ("rules", "rules committee", "assignments", "executive appointments", "committee of the whole")
+def rank_percentile(rank: Column, size: Column) -> Column:
+    return F.round((1 - (rank - 1) / size) * 100).cast("int")
+
+
+def coalition_name(dems: Column, reps: Column, yes_rate: Column, cohesion: Column, topics: Column) -> Column:
+    """A bloc's name from its mix of parties, its share of yes, its two main topics and its cohesion."""
+    ratio = F.when((dems > 0) & (reps > 0), F.least(dems, reps) / F.greatest(dems, reps))
+    side = F.when(ratio > 0.3, "Bipartisan").when(ratio.isNotNull() & (dems > reps), "Dem-Leaning").when(ratio.isNotNull(), "GOP-Leaning").when(dems > 0, "Democrat").when(reps > 0, "Republican").otherwise("Mixed")
+    style = F.when(yes_rate > 0.85, "Consensus").when(yes_rate < 0.55, "Opposition")
+    focus = F.when(F.size(topics) > 0, F.array_join(F.slice(topics, 1, 2), " & "))
+    return F.concat_ws(" ", style, side, focus, F.when(cohesion > 0.9, "Bloc").when(cohesion > 0.75, "Coalition").otherwise("Caucus"))
+
+
+def unique_names(df: DataFrame, name: str, size: str, dems: str, reps: str, number: str) -> DataFrame:
+    """Blocs of one name get their size and parties added, and if that isn't enough their number."""
+    count = lambda: F.count(F.lit(1)).over(Window.partitionBy(name))
+    longer = F.format_string("%s — %d members (%dD/%dR)", F.col(name), F.col(size).cast("long"), F.col(dems).cast("long"), F.col(reps).cast("long"))
+    df = df.withColumn(name, F.when(count() > 1, longer).otherwise(F.col(name)))
+    return df.withColumn(name, F.when(count() > 1, F.format_string("%s #%d", F.col(name), (F.col(number) + 1).cast("long"))).otherwise(F.col(name)))
+
+
+#: Committees of procedure and service (fixed values).
+PROCEDURAL = ("assignments", "committee on assignments", "rules committee", "rules", "executive", "executive appointments")
 
 
 def is_procedural(committee: Column) -> Column:
     return F.lower(F.trim(committee)).isin(*PROCEDURAL)
 
 
-#: Synonyms of "no organization" and of a person speaking for himself or herself.
-NO_ORGANIZATION = ("", "n/a", "na", "none", "no organization", "-")
-INDIVIDUAL = ("self", "myself", "individual", "citizen", "private citizen", "resident", "family")
+#: What people write for no organization, and for speaking for themselves.
+NO_ORGANIZATION = ("na", "n/a", "none", "not applicable", "not specified", "no organization", "(no organization)", "—", "-", "")
+INDIVIDUAL = ("self", "myself", "on behalf of self", "individual", "citizen", "family", "personal", "retired", "private citizen", "self-employed", "me")
 
 
 def canonical_organization(name: Column) -> Column:
-    key = F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), r"\s+", " ")
-    return F.when(key.isin(*NO_ORGANIZATION), "No organization").when(key.isin(*INDIVIDUAL), "Individual").otherwise(F.initcap(key))
+    raw = F.trim(F.coalesce(name, F.lit("")))
+    return F.when(F.lower(raw).isin(*NO_ORGANIZATION), "No organization").when(F.lower(raw).isin(*INDIVIDUAL), "Individual").otherwise(raw)
 
 
 def vote_outcome(yeas: Column, nays: Column) -> Column:
@@ -197,31 +222,75 @@ def _low(action: Column) -> Column:
     return F.lower(F.trim(action))
 
 
+#: How a report, a step back, a tabling or a consent calendar is written (fixed values).
+FAVORABLE = ("do pass", "be adopted", "recommend do adopt", "approved for consideration")
+UNFAVORABLE = ("do not pass", "be not adopted", "recommend do not adopt", "without recommendation", "tabled")
+RE_REFERRAL = ("rule 19(a)", "rule 19(b)", "rule 3-9(a)", "rule 3-9(b)", "pursuant to senate rule 3-9", "re-referred to rules committee", "re-referred to assignments")
+TABLING = ("tabled", "motion to table", "laid on the table")
+CONSENT = ("consent calendar", "agreed resolutions")
+
+
 def is_favorable_report(action: Column) -> Column:
-    return has_any(_low(action), ("do pass", "recommends be adopted", "reported favorably"))
+    return starts_any(_low(action), FAVORABLE)
 
 
 def is_unfavorable_report(action: Column) -> Column:
-    return has_any(_low(action), ("do not pass", "not recommended", "reported unfavorably"))
+    return starts_any(_low(action), UNFAVORABLE)
 
 
 def is_re_referral(action: Column) -> Column:
-    low = _low(action)
-    return F.contains(low, F.lit("re-referred to assignments")) | starts_any(low, ("rule 3-9(a)", "rule 3-9(b)"))
+    return starts_any(_low(action), RE_REFERRAL)
 
 
-def is_committee_deadline(action: Column) -> Column:
-    return F.startswith(_low(action), F.lit("rule 3-9(a)")) | F.startswith(_low(action), F.lit("rule 19(a)"))
+def missed_committee_deadline(action: Column) -> Column:
+    return starts_any(_low(action), ("rule 19(a)", "rule 3-9(a)"))
 
 
-def is_floor_deadline(action: Column) -> Column:
-    return F.startswith(_low(action), F.lit("rule 3-9(b)")) | F.startswith(_low(action), F.lit("rule 19(b)"))
+def missed_floor_deadline(action: Column) -> Column:
+    return F.startswith(_low(action), F.lit("rule 19(b)"))
 
 
 def is_tabled(action: Column) -> Column:
-    low = _low(action)
-    return (low == "tabled") | F.startswith(low, F.lit("tabled ")) | F.contains(low, F.lit("motion to table - prevailed"))
+    return starts_any(_low(action), TABLING)
 
 
 def on_consent_calendar(action: Column) -> Column:
-    return F.contains(_low(action), F.lit("consent calendar"))
+    return has_any(_low(action), CONSENT)
+
+
+#: Words in a committee's name that tell its topics (fixed values).
+TOPICS = {
+    "Transportation": ("transport", "vehicle", "roads"),
+    "Agriculture": ("agricultur", "farm", "conservation"),
+    "Commerce": ("commerce", "small business", "business", "consumer protect", "licensed activit", "gaming", "tourism", "trade", "economic opportun"),
+    "Criminal Justice": ("criminal", "judiciary", "public safety", "restorative justice", "police", "fire committee", "gun violence", "human rights", "immigration"),
+    "Education": ("education", "school", "early childhood"),
+    "Energy & Environment": ("energy", "environment", "public utilit", "utilities"),
+    "Healthcare": ("health", "human services", "child welfare", "mental health", "addiction", "medicaid", "prescription drug", "public health", "behavioral", "end of life"),
+    "Housing": ("housing",),
+    "Insurance & Finance": ("insurance", "financial instit"),
+    "Labor": ("labor", "workforce", "workers", "wage", "personnel"),
+    "Revenue & Pensions": ("revenue", "pension", "appropriat", "tax", "budget"),
+    "State Government": ("state government", "government admin", "election", "ethics & election", "local government", "cities", "counties", "cybersecur", "data analytics"),
+}
+
+
+def topics(committee: Column) -> Column:
+    """The topics of a committee by its name, in the order above."""
+    low = F.lower(F.coalesce(committee, F.lit("")))
+    return F.array_compact(F.array(*(F.when(has_any(low, words), topic) for topic, words in TOPICS.items())))
+
+
+def anomaly_reason(top_share: Column, duplication: Column, unanimity: Column, diversity: Column, hhi: Column) -> Column:
+    """Up to five clauses on what is odd about a bill's slips. duplication: slips per distinct name."""
+    percent = lambda x, d: F.concat(F.format_number(100 * x, d), F.lit("%"))
+    parts = F.array_compact(
+        F.array(
+            F.when(top_share > 0.5, F.concat(F.lit("one organization files "), percent(top_share, 0))),
+            F.when(duplication > 2.0, F.concat(F.lit("names recur "), F.format_number(duplication, 1), F.lit(" times"))),
+            F.when(unanimity > 0.95, "nearly all on one side"),
+            F.when(diversity < 0.05, F.concat(F.lit("few organizations ("), percent(diversity, 1), F.lit(")"))),
+            F.when(hhi > 0.3, F.concat(F.lit("concentrated (HHI "), F.format_number(hhi, 2), F.lit(")"))),
+        )
+    )
+    return F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise("unusual pattern")

@@ -85,13 +85,14 @@ def last_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(before)), r"[^a-z\-' ]", "")
 
 
-#: Names that follow "to" in an action without being a committee (fixed values).
-NOT_COMMITTEES = ("rules", "rules committee", "assignments", "the governor", "governor", "committee", "the", "senate")
+#: What follows "to" in an action without being a committee of substance (fixed values).
+NOT_COMMITTEES = ("rules", "assignments", "assignments * reports", "rules * reports", "committee of the whole", "resolutions consent calendar", "executive", "executive appointments")
 
 
 def committee_in_action(action: Column) -> Column:
-    """The committee that an action assigns or refers to, null for procedural ones."""
-    found = F.trim(F.regexp_extract(action, r"(?i)(?:assigned|referred|re-referred)\s+to\s*([A-Z][A-Za-z&,'\- ]+?)(?:\s+Committee)?$", 1))
+    """The committee that an action assigns or refers to, without a tally behind it; null for procedural ones."""
+    found = F.regexp_extract(action, r"(?:(?:Re-)?[Aa]ssigned\s+to|(?:Re-)?[Rr]eferred\s+to)\s*(.+?)(?:\s+Committee)?(?:\s*;.*|$)", 1)
+    found = F.trim(F.regexp_replace(found, r"-+\s*$", ""))
     return F.when((found == "") | F.lower(found).isin(*NOT_COMMITTEES), None).otherwise(found)
 
 

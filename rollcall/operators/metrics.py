@@ -69,7 +69,7 @@ def scorecards(members: DataFrame, bills: DataFrame, sponsors: DataFrame) -> Dat
 #: Default weights; they are divided by their sum.
 MONEYBALL = {"effectiveness_rate": 0.24, "pipeline": 0.16, "magnet_share": 0.16, "bridge": 0.12, "centrality": 0.12, "institutional": 0.20}
 INFLUENCE = {"moneyball": 0.40, "betweenness": 0.20, "pivotality": 0.20, "pull": 0.20}
-RECRUITMENT = {"topic": 0.35, "value": 0.30, "bridge": 0.20, "activity": 0.15}
+RECRUITMENT = {"affinity": 0.35, "effectiveness": 0.30, "persuadability": 0.20, "network": 0.15}
 
 
 def weighted(weights: dict[str, float], digits: int = 2) -> Column:
@@ -195,7 +195,7 @@ def anomaly_features(slips: DataFrame, key: str, least: int = 10) -> DataFrame:
     out = base.join(concentration(slips, [key], "organization"), key)
     return out.select(
         key, "total", "hhi", "top_share",
-        (1 - F.col("names") / F.col("total")).alias("duplication"), (F.abs(F.col("pro") - F.col("opp")) / F.col("total")).alias("unanimity"),
+        (F.col("total") / F.greatest("names", F.lit(1))).alias("duplication"), (F.abs(F.col("pro") - F.col("opp")) / F.col("total")).alias("unanimity"),
         (F.col("written") / F.col("total")).alias("written_ratio"), (F.col("organizations") / F.col("total")).alias("diversity"),
         (F.col("names") / F.greatest("organizations", F.lit(1))).alias("names_per_org"), F.log("total").alias("log_total"),
     )

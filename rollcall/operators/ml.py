@@ -166,10 +166,6 @@ def fit_quality(predicted: DataFrame) -> DataFrame:
     return p.agg((1 - F.sum(F.col("residual") ** 2) / F.sum((F.col("actual") - F.col("__m")) ** 2)).alias("r2"), F.avg(F.abs("residual")).alias("mae"))
 
 
-def value_label(percentile) -> F.Column:
-    return F.when(percentile >= 70, "Undervalued").when(percentile <= 30, "Overvalued").otherwise("Fair")
-
-
 def clusters(df: DataFrame, key: str, vector: str, ks: range = range(2, 9)) -> tuple[int, float, DataFrame]:
     """(k, silhouette, assignments) of the number of clusters with the best cosine silhouette. Bisecting k-means stands
     for agglomeration, which needs all pairs."""

@@ -338,7 +338,7 @@ def g16_concentration(s, d):
 
 
 @query(""", o as (select bill_id, organization, count(*) n from slips group by all), h as (select bill_id, sum(n * n) / (sum(n) * sum(n))::double hhi, max(n) / sum(n)::double top_share from o group by 1)
- select bill_id, count(*) total, any_value(hhi) hhi, any_value(top_share) top_share, 1 - count(distinct name) / count(*)::double duplication, abs(count(*) filter (position = 'Proponent') - count(*) filter (position = 'Opponent')) / count(*)::double unanimity,
+ select bill_id, count(*) total, any_value(hhi) hhi, any_value(top_share) top_share, count(*) / count(distinct name)::double duplication, abs(count(*) filter (position = 'Proponent') - count(*) filter (position = 'Opponent')) / count(*)::double unanimity,
  count(*) filter (testimony like 'Written%') / count(*)::double written_ratio, count(distinct organization) / count(*)::double diversity, count(distinct name) / count(distinct organization)::double names_per_org, round(ln(count(*)), 9) log_total from slips join h using (bill_id) group by 1 having count(*) >= 10""", "slips")
 def g18_anomaly_features(s, d):
     return metrics.anomaly_features(slips(s, d), "bill_id").withColumn("log_total", F.round("log_total", 9))
