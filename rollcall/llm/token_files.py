@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,26 +112,31 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Remembered(dict):
-    """Ids by chunk: what was met first stays, up to a limit; the rest of a batch's chunks are held for that batch."""
+    """Ids by chunk. A chunk that is met first is encoded then; up to limit chunks stay, further ones are held in rest
+    until the batch is done."""
 
-    def __init__(self, limit: int):
+    def __init__(self, limit: int, encode):
         super().__init__()
-        self.limit, self.rest = limit, {}
+        self.limit, self.encode_chunk, self.rest = limit, encode, {}
 
-    def __missing__(self, key: bytes) -> bytes:
-        return self.rest[key]
+    def __missing__(self, key):
+        ids = self.rest.get(key)
+        if ids is None:
+            ids = self.encode_chunk(key)
+            (self if len(self) < self.limit else self.rest)[key] = ids
+        return ids
 
 
 class WordEncoder:
     """A tokenizers-library vocabulary applied chunk by chunk.
 
-    White space of ASCII never lies inside a token of a vocabulary that drops it, so a text is cut there, a chunk's ids are
-    remembered (at most limit chunks), and new chunks go to the library together. Two more facts of this vocabulary save
-    calls: it ignores case, so a text without a special string is lowered first (in ASCII), and a mark after a letter or
-    digit of ASCII is always a token run of its own, so a chunk that ends in one mark is two known parts.
+    White space of ASCII never lies inside a token of a vocabulary that drops it, so a text is cut there and a chunk's ids
+    are remembered. Two more facts of this vocabulary save calls: it ignores case, so a text without a special string is
+    lowered first (in ASCII), and marks of ASCII behind a letter or digit of ASCII are always a token run of their own, so a
+    chunk that ends in marks is two chunks that are better known.
     """
 
-    MARKS = frozenset(b".,;:!?")
+    MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
     PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
     def __init__(self, data: bytes, limit: int = 1_000_000):
@@ -139,36 +146,21 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.cache = Remembered(limit)
+        self.cache = Remembered(limit, self.chunk)
 
-    def library(self, words: list[bytes]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in coded]
-
-    def learn(self, words: list[bytes]) -> None:
-        """Puts the ids of words that aren't remembered into the cache, or beyond its limit into the batch's rest."""
-        cache = self.cache
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            into = cache if len(cache) < cache.limit else cache.rest
-            into.update(zip(part, self.library(part), strict=True))
+    def chunk(self, word: bytes) -> bytes:
+        core = word.rstrip(self.MARKS)
+        if core and len(core) < len(word) and core[-1] in self.PLAIN and b"<|" not in word:
+            return self.cache[core] + self.cache[word[len(core) :]]
+        ids = array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, docs: list[bytes]) -> list[bytes]:
-        lists = [(x if b"<|" in x else x.lower()).split() for x in docs]
-        cache = self.cache
-        cache.rest = {}
-        new = set().union(*lists).difference(cache)
-        split = [w for w in new if len(w) > 1 and w[-1] in self.MARKS and w[-2] in self.PLAIN]
-        need = new.difference(split)
-        need.update(w[:-1] for w in split)
-        need.update(w[-1:] for w in split)
-        self.learn([w for w in need if w not in cache])
-        for w in split:
-            cache.rest[w] = cache[w[:-1]] + cache[w[-1:]]
-        if len(cache) + len(split) <= cache.limit:
-            cache.update((w, cache.rest[w]) for w in split)
-        get = cache.__getitem__
-        return [b"".join(map(get, x)) for x in lists]
+        self.cache.rest = {}
+        get = self.cache.__getitem__
+        return [b"".join(map(get, (x if b"<|" in x else x.lower()).split())) for x in docs]
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
