@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,22 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+class Remembered(dict):
+    """What stays, and in rest what is held for the current batch."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.rest = limit, {}
+
+    def __missing__(self, key):
+        return self.rest[key]
+
+
 class ByteBpe:
-    """A vocabulary file as sorted pair keys. word_cache bounds the pretokens whose ids are remembered by a worker."""
+    """A vocabulary file as sorted pair keys. Up to word_cache pretokens, those met first, stay remembered with their ids;
+    further ones are held for their batch."""
 
-    def __init__(self, data: bytes, word_cache: int = 400_000):
+    def __init__(self, data: bytes, word_cache: int = 500_000):
         spec = json.loads(data)
         vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -48,8 +61,8 @@ class ByteBpe:
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.token_bytes |= {i: text.encode() for text, i in self.added.items()}
         self.added_split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.split, self.word_cache = regex.compile(SPLIT), word_cache
-        self.cache: dict[str, bytes] = {}
+        self.split = regex.compile(SPLIT)
+        self.cache: dict[str, bytes] = Remembered(word_cache)
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word. All words' symbols lie in one flat array; each round merges, in every word still open,
@@ -90,14 +103,13 @@ class ByteBpe:
         return out
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > self.word_cache:
-            self.cache.clear()
-            new = list(words)
+        cache = self.cache
+        cache.rest = {}
+        new = list(words.difference(cache))
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
-            for w, ids in zip(part, self.merge([w.encode() for w in part]), strict=True):
-                self.cache[w] = ids.astype("<i4").tobytes()
+            into = cache if len(cache) < cache.limit else cache.rest
+            into.update((w, ids.astype("<i4").tobytes()) for w, ids in zip(part, self.merge([w.encode() for w in part]), strict=True))
 
     def pretokens(self, text: str) -> list[str]:
         if self.added_split is None or not any(x in text for x in self.added):
@@ -105,7 +117,6 @@ class ByteBpe:
         out: list[str] = []
         for piece in self.added_split.split(text):
             if piece in self.added:
-                self.cache[piece] = np.array([self.added[piece]], "<i4").tobytes()
                 out.append(piece)
             else:
                 out.extend(self.split.findall(piece))
@@ -115,8 +126,7 @@ class ByteBpe:
         """Each document's ids as little-endian 32-bit integers."""
         lists = [self.pretokens(x) for x in docs]
         self.learn(set().union(*lists) - self.added.keys())
-        for x in self.added:
-            self.cache[x] = np.array([self.added[x]], "<i4").tobytes()
+        self.cache.rest.update((x, np.array([i], "<i4").tobytes()) for x, i in self.added.items())
         get = self.cache.__getitem__
         return [b"".join(map(get, x)) for x in lists]
 
@@ -124,11 +134,23 @@ class ByteBpe:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
 
 
+_CODERS: dict[int, ByteBpe] = {}
+
+
+def coder_of(data: bytes) -> ByteBpe:
+    """This worker's tables for a vocabulary file, kept over its tasks."""
+    key = zlib.crc32(data)
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = ByteBpe(data)
+    return _CODERS[key]
+
+
 def encode_bpe(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids") -> DataFrame:
     """The columns of keep and the token ids of text as array<int>; one Arrow pass, no shuffle.
 
     Null text counts as empty, and an empty text has no ids. Rows repeat as often as in docs; other columns are dropped.
-    Special strings of the vocabulary file are taken as their own id. Batches are cut to about 8 MB of text, and a longer
+    Special strings of the vocabulary file are taken as their own id. Batches are cut to about 4 MB of text, and a longer
     text is processed whole by itself. The vocabulary travels with the task (its size is the file's, under 2 MB here).
     """
     with open(tokenizer_path, "rb") as f:
@@ -137,8 +159,8 @@ def encode_bpe(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: t
     schema = docs.select(*keep).schema.add(out, ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(data.value)
-        for batch in slices(batches, "__text", 8 << 20):
+        bpe = coder_of(data.value)
+        for batch in slices(batches, "__text", 4 << 20):
             coded = bpe.encode([x.decode("utf-8", "replace") for x in texts(batch.column("__text"))])
             ids = list_array(np.frombuffer(b"".join(coded), "<i4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4, pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), ids], names=[*keep, out])
@@ -155,7 +177,7 @@ def decode_bpe(coded: DataFrame, tokenizer_path: str, ids: str = "ids", keep: tu
     schema = coded.select(*keep).schema.add(out, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(data.value)
+        bpe = coder_of(data.value)
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 batch = whole.slice(i, 1000)
