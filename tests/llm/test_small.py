@@ -164,7 +164,7 @@ def test_quality_rules(spark):
         assert tuple(r[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
         assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
         assert not (r["base_failed"] and r["kept"])
-    assert got[8]["kept"] and got[9]["quality"] < got[8]["quality"]
+    assert got[8]["kept"] and got[9]["posterior"] < got[8]["posterior"]
     assert quality_rules.quality_rules(table(spark, texts).limit(0)).count() == 0
 
 
