@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as c
 from ..functions.text import compact_number
+from .relational import running_total
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -78,10 +79,6 @@ def weighted(weights: dict[str, float], digits: int = 2) -> Column:
     return F.round(sum((F.lit(w) * F.col(k) for k, w in weights.items()), F.lit(0.0)) / total * 100, digits)
 
 
-def over_all(expression: Column) -> Column:
-    return expression.over(Window.partitionBy())
-
-
 def with_scalars(df: DataFrame, **aggregates: Column) -> DataFrame:
     """df with columns of whole-table aggregates: one partially aggregated row, joined to every row."""
     return df.crossJoin(F.broadcast(df.agg(*(a.alias(k) for k, a in aggregates.items()))))
@@ -209,7 +206,7 @@ def advancement(bills: DataFrame, volumes: DataFrame, fraction: float = 0.9, top
     """
     rows = bill_facts(bills).join(volumes.where("volume > 0"), "bill_id")
     per = rows.groupBy("volume").agg(F.count(F.lit(1)).alias("n"))
-    running = per.withColumn("__upto", F.sum("n").over(Window.orderBy(F.desc("volume"))))
+    running = running_total(per, [F.desc("volume")], F.col("n"), "__upto")
     total = per.agg(F.sum("n").alias("__n"))
     place = F.least(F.floor(F.col("__n") * F.lit(1 - fraction if top_fraction else fraction)), F.col("__n") - 1)
     bound = running.crossJoin(total).where(F.col("__upto") > place).agg(F.greatest(F.max("volume"), F.lit(1)).alias("threshold"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import numbered
+from .relational import numbered, running_total
 
 
 def positions(df: DataFrame, score: str, key: str, groups: dict[str, list[str]]) -> DataFrame:
@@ -33,12 +33,10 @@ def history_rate(df: DataFrame, keys: list[str], order: list[str], usable: Colum
 
 
 def average_rank_percentile(df: DataFrame, column: str, name: str) -> DataFrame:
-    """The percentile (0 to 100, whole) of a value by its average rank among ties.
-
-    Ranks come from counts per distinct value, so that only distinct values are ordered together.
-    """
+    """The percentile (0 to 100, whole) of a value by its average rank among ties, from counts per distinct value that
+    are summed over range partitions."""
     per = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = per.withColumn("__upto", F.sum("__n").over(Window.orderBy(column)))
+    ranked = running_total(per, [F.col(column)], F.col("__n"), "__upto")
     total = per.agg(F.sum("__n").alias("__total"))
     rank = F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2
     ranked = ranked.crossJoin(total).select(column, F.when(F.col("__total") > 1, F.floor((rank - 1) / (F.col("__total") - 1) * 100)).otherwise(0).cast("int").alias(name))

@@ -72,6 +72,17 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return local.join(F.broadcast(before), "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__id", "__at", "__before")
 
 
+def running_total(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """df with the sum of value over all rows up to each one in a total order, without a single task over the table: sums
+    run within range partitions, and the totals of the partitions before (a row each) are added."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("__v", value).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    local = ranged.withColumn("__local", F.sum("__v").over(Window.partitionBy("__part").orderBy(*order)))
+    totals = ranged.groupBy("__part").agg(F.sum("__v").alias("__t"))
+    before = totals.select("__part", (F.sum("__t").over(Window.orderBy("__part")) - F.col("__t")).alias("__before"))
+    return local.join(F.broadcast(before), "__part").withColumn(name, F.col("__local") + F.col("__before")).drop("__v", "__part", "__local", "__before")
+
+
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0, strata: str | None = None) -> DataFrame:
     """n rows without replacement, the same ones on any layout; with strata n rows of each of its values."""
     order = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
