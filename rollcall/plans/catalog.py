@@ -361,7 +361,7 @@ def g23_bloc_mix(s, d):
     return b.agg(F.count_if(~F.col("some")).alias("without_b"), F.count_if(~F.col("others")).alias("only_b"), F.count_if(F.col("some") & F.col("others")).alias("mixed"))
 
 
-@query("select district coalition_id, count(*) members, round(avg(balance), 2) avg_influence, round(max(balance), 2) max_influence, arg_min(member_id, (-balance, member_id)) top_member, arg_min(member_id, (balance, member_id)) bridge_member, count(*) filter (balance >= 60) high from members group by 1", "members")
+@query("select district coalition_id, count(*) members, round(avg(balance)::decimal(18,6), 2)::double avg_influence, round(max(balance), 2) max_influence, arg_min(member_id, (-balance, member_id)) top_member, arg_min(member_id, (balance, member_id)) bridge_member, count(*) filter (balance >= 60) high from members group by 1", "members")
 def g24_coalition_influence(s, d):
     m = members(s, d)
     inf = m.select("member_id", F.col("balance").alias("score"), (-F.col("balance")).alias("betweenness"))
