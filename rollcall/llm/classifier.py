@@ -58,8 +58,8 @@ def train(sample: list[tuple[str, int]], bits: int = 18, dim: int = 8, epochs: i
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << bits), prior, bits)
     rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in range(0, len(sample), 500):
-        lists, kinds, pairs, counts = terms([t.encode("utf-8", "replace") for t, _ in sample[i : i + 500]], bits)
+    for i in range(0, len(sample), 100):
+        lists, kinds, pairs, counts = terms([t.encode("utf-8", "replace") for t, _ in sample[i : i + 100]], bits)
         word = np.concatenate([w for w, _ in kinds])
         order = np.argsort(word, kind="stable")
         flat = np.concatenate([b for _, b in kinds])[order]
@@ -98,7 +98,7 @@ def with_score(docs: DataFrame, model, text: str = "text", name: str = "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value
-        for batch in slices(batches, text, 8 << 20):
+        for batch in slices(batches, text, 4 << 20):
             score = scorer.score(texts(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*columns, name])
 

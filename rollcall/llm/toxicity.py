@@ -59,8 +59,8 @@ def train(sample: list[tuple[str, int]], bits: int = 20, rank: int = 4, epochs:
     if len(set(y.tolist())) < 2:
         return Machine(bias, w, v, bits)
     rows: list[np.ndarray] = []
-    for i in range(0, len(sample), 500):
-        rows += terms([t.encode("utf-8", "replace") for t, _ in sample[i : i + 500]], bits)
+    for i in range(0, len(sample), 100):
+        rows += [ids.astype(np.int32) for ids in terms([t.encode("utf-8", "replace") for t, _ in sample[i : i + 100]], bits)]
     seen = np.bincount(np.concatenate(rows), minlength=1 << bits)
     toxic = np.bincount(np.concatenate([r for r, v_ in zip(rows, y, strict=True) if v_]), minlength=1 << bits)
     n1, n0, p = y.sum(), len(y) - y.sum(), seen / len(y)
