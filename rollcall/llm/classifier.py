@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import slices, texts
-from .hashing import STEP, Words, buckets, fold_of, labelled_sample, numbered
+from .hashing import STEP, Words, buckets, chunks, fold_of, labelled_sample, numbered
 
 SIZES = (3, 4, 5)
 WORD, PAIR, SAME = 1, 2, 3
@@ -49,17 +49,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -500, 500)))
 
 
-def train(sample: list[tuple[str, int]], bits: int = 18, dim: int = 8, epochs: int = 8, rate: float = 1.0, seed: int = 7) -> Model:
+def train(sample: Iterable[tuple[bytes, int]], bits: int = 18, dim: int = 8, epochs: int = 8, rate: float = 1.0, seed: int = 7) -> Model:
     """Stochastic gradient descent, one document at a time, the rate falling to zero. Without both labels in the sample
-    the model returns the share of label 1 for every text (one half without any)."""
-    y = np.array([v for _, v in sample], np.int64)
-    share = (y.sum() + 1) / (len(y) + 2)
-    prior = float(np.log(share / (1 - share)))
-    if len(set(y.tolist())) < 2:
-        return Model(np.zeros(1 << bits), prior, bits)
+    the model returns the share of label 1 for every text (one half without any). Texts become bucket numbers as they
+    come, a hundred at a time."""
     rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in range(0, len(sample), 100):
-        lists, kinds, pairs, counts = terms([t.encode("utf-8", "replace") for t, _ in sample[i : i + 100]], bits)
+    y: list[int] = []
+    for part in chunks(sample):
+        y += [v for _, v in part]
+        lists, kinds, pairs, counts = terms([t for t, _ in part], bits)
         word = np.concatenate([w for w, _ in kinds])
         order = np.argsort(word, kind="stable")
         flat = np.concatenate([b for _, b in kinds])[order]
@@ -69,6 +67,10 @@ def train(sample: list[tuple[str, int]], bits: int = 18, dim: int = 8, epochs: i
             at = np.repeat(ends[x] - size - (np.cumsum(size) - size), size) + np.arange(size.sum()) if len(x) else x
             ids, n = np.unique(np.concatenate([flat[at], p]), return_counts=True)
             rows.append((ids.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)))
+    share = (sum(y) + 1) / (len(y) + 2)
+    prior = float(np.log(share / (1 - share)))
+    if len(set(y)) < 2:
+        return Model(np.zeros(1 << bits), prior, bits)
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     o, b = np.zeros((dim, 2), np.float32), np.array([0, prior], np.float32)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from itertools import count
+from collections.abc import Iterable, Iterator
+from itertools import count, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -65,18 +68,18 @@ def fold_of(doc_id) -> "F.Column":
     return F.crc32(doc_id.cast("string")) % 5
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, total_bytes: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
-    """(text, 0 or 1) of at most rows labelled documents of the learning folds, of total_bytes together.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, total_bytes: int, doc_id: str = "doc_id", text: str = "text") -> Iterator[tuple[bytes, int]]:
+    """(text, 0 or 1) of at most rows labelled documents of the learning folds, of total_bytes together, by doc_id.
 
-    Rows are taken in order of a hash of doc_id, so that the sample doesn't depend on layout. Null labels and ids are
+    Documents are taken in order of a hash of doc_id, so that the sample doesn't depend on layout. Null labels and ids are
     left out; of conflicting labels the mean decides, one half counting as 1; of rows that repeat an id the least text is
-    read. Both bounds hold before anything reaches the driver.
+    read. Both bounds hold before texts reach the driver, and they come partition by partition.
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold_of(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    found = materialize(found.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "labelled-sample")
     sizes = found.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     total, ids = 0, []
     for doc, n in sizes:
@@ -86,4 +89,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, t
         ids.append(doc)
     if len(ids) < len(sizes):
         found = found.where(F.col("doc_id").isin(ids))
-    return [(t, y) for _, y, t in sorted(found.collect(), key=lambda r: r[0])]
+    for row in found.orderBy("doc_id").toLocalIterator():
+        yield row["text"].encode("utf-8", "replace"), row["y"]
+
+
+def chunks(rows: Iterable, n: int = 100) -> Iterator[list]:
+    it = iter(rows)
+    while part := list(islice(it, n)):
+        yield part

@@ -349,7 +349,9 @@ def compare_runs(runs: DataFrame) -> DataFrame:
 def compare_contexts(asked: DataFrame, docs: DataFrame, length: int, cap: int, shard_bytes: int) -> DataFrame:
     """Windows repeated between the different contexts of a group, as SPANS of window starts."""
     wide = asked.groupBy("h").count().where(F.col("count") > cap).select("h", F.lit(True).alias("wide"))
-    asked = asked.join(wide, "h", "left").select("d", "th", F.struct("a", "b", "h", (F.col("kind") == 3).alias("known"), F.coalesce("wide", F.lit(False)).alias("wide")).alias("r"))
+    # without such groups, which is the rule, the join would only gather the requests of frequent ones
+    asked = asked.withColumn("wide", F.lit(False)) if wide.isEmpty() else asked.join(wide, "h", "left")
+    asked = asked.select("d", "th", F.struct("a", "b", "h", (F.col("kind") == 3).alias("known"), F.coalesce("wide", F.lit(False)).alias("wide")).alias("r"))
     asked = asked.groupBy("d", "th").agg(F.collect_list("r").alias("rs"))
     held = docs.join(asked, ["d", "th"]).select("d", "th", "text", "rs")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .classifier import scores
-from .hashing import Words, buckets, labelled_sample, numbered
+from .hashing import Words, buckets, chunks, labelled_sample, numbered
 
 #: A term is a word in lower case without the punctuation around it, or its first four or five letters.
 WHOLE, STEMS = 1, (4, 5)
@@ -20,7 +22,7 @@ def terms(docs: list[bytes], bits: int) -> list[np.ndarray]:
     kinds = [buckets(words.whole(), WHOLE, bits)]
     for n in STEMS:
         b = buckets(words.whole(n), n, bits)
-        kinds.append(np.where(words.sizes - 2 > n, b, -1))
+        kinds.append(np.where(words.sizes - 2 >= n, b, -1))
     table = np.stack(kinds, 1)
     out = []
     for x in lists:
@@ -45,24 +47,29 @@ class Machine:
         return self.bias + float(self.w[ids].sum()) + 0.5 * float((v.sum(0) ** 2 - (v * v).sum(0)).sum())
 
 
-def train(sample: list[tuple[str, int]], bits: int = 20, rank: int = 4, epochs: int = 8, rate: float = 0.1, decay: float = 2e-4, least_docs: int = 3, least_z: float = 3.5, seed: int = 7) -> Machine:
+def train(sample: Iterable[tuple[bytes, int]], bits: int = 19, rank: int = 4, epochs: int = 16, rate: float = 0.2, decay: float = 2e-4, least_docs: int = 3, least_z: float = 3.5, seed: int = 7) -> Machine:
     """Adaptive-rate stochastic gradient descent, one document at a time.
 
     Terms of fewer than least_docs learning documents, or whose share of documents differs between the labels by less
     than least_z standard errors, get no weight: without this the many chance terms of a long text outvote one insult.
     Without both labels the share of label 1 is the score of every text.
     """
-    y = np.array([v for _, v in sample], np.float64)
+    rows: list[np.ndarray] = []
+    y: list[int] = []
+    seen, toxic = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    for part in chunks(sample):
+        found = terms([t for t, _ in part], bits)
+        for ids, (_, v_) in zip(found, part, strict=True):
+            y.append(v_)
+            rows.append(ids.astype(np.int32))
+            seen[ids] += 1
+            toxic[ids] += v_
+    y = np.array(y, np.float64)
     share = (y.sum() + 1) / (len(y) + 2)
     bias = float(np.log(share / (1 - share)))
     w, v = np.zeros(1 << bits, np.float32), np.zeros((1 << bits, rank), np.float32)
     if len(set(y.tolist())) < 2:
         return Machine(bias, w, v, bits)
-    rows: list[np.ndarray] = []
-    for i in range(0, len(sample), 100):
-        rows += [ids.astype(np.int32) for ids in terms([t.encode("utf-8", "replace") for t, _ in sample[i : i + 100]], bits)]
-    seen = np.bincount(np.concatenate(rows), minlength=1 << bits)
-    toxic = np.bincount(np.concatenate([r for r, v_ in zip(rows, y, strict=True) if v_]), minlength=1 << bits)
     n1, n0, p = y.sum(), len(y) - y.sum(), seen / len(y)
     z = (toxic / n1 - (seen - toxic) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
     telling = (seen >= least_docs) & (np.abs(z) >= least_z)

@@ -213,7 +213,7 @@ def test_machine_learns_pairs():
     rows = []
     for _ in range(1500):
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        rows.append((" ".join([*rng.choice(filler, 6), *(["insultword"] if a else []), *(["groupword"] if b else [])]), int(a and b)))
+        rows.append((" ".join([*rng.choice(filler, 6), *(["insultword"] if a else []), *(["groupword"] if b else [])]).encode(), int(a and b)))
     m = toxicity.train(rows, bits=16, epochs=20, rate=0.2)
     s = m.score([b"insultword filler1 filler2", b"groupword filler3 filler4", b"insultword groupword filler5 filler6"])
     assert s[2] > 0.5 > max(s[0], s[1])
