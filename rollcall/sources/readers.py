@@ -129,3 +129,32 @@ def crosswalk(house: DataFrame, senate: DataFrame, congress: DataFrame) -> DataF
         part = df.select("zip", F.col("district").alias(name))
         out = part if out is None else out.join(part, "zip", "full_outer")
     return out.select("zip", *(F.coalesce(c, F.lit("")).alias(c) for c in ("house", "senate", "us_house")))
+
+
+def rosters(committees: DataFrame) -> DataFrame:
+    """(code, member_id, member_name, role, ord) of committees with nested rosters."""
+    return committees.select("code", F.posexplode("roster").alias("ord", "r")).select("code", "r.member_id", "r.member_name", "r.role", "ord")
+
+
+def committee_bills(committees: DataFrame) -> DataFrame:
+    return committees.select("code", F.explode("bill_numbers").alias("number"))
+
+
+def rules(spark: SparkSession, path: str) -> DataFrame:
+    """(stage, progress, next_stages) of a rules glossary; the other parts are read in the same way."""
+    whole = spark.read.text(path, wholetext=True)
+    stages = whole.select(F.explode(F.from_json("value", "struct<stages:map<string,struct<progress_fraction:double,next_stages:array<string>>>>")["stages"]).alias("stage", "s"))
+    return stages.select("stage", F.col("s.progress_fraction").alias("progress"), F.col("s.next_stages").alias("next_stages"))
+
+
+def refresh_state(bills: DataFrame, stamp: str) -> DataFrame:
+    """What an incremental refresh starts from: the highest number of each kind, and when it was taken."""
+    from ..functions.text import number_kind, numeric_suffix
+
+    n = F.col("bill_number")
+    return bills.groupBy(number_kind(n).alias("kind")).agg(F.max(numeric_suffix(n)).alias("highest")).withColumn("taken", F.lit(stamp).cast("timestamp"))
+
+
+def as_json(df: DataFrame, name: str = "record") -> DataFrame:
+    """Each row as one JSON text."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias(name))

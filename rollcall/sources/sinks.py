@@ -82,3 +82,23 @@ def vectors_wide(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
 def vectors_long(df: DataFrame, key: str) -> DataFrame:
     cols = sorted((c for c in df.columns if c.startswith("dim_")), key=lambda c: int(c[4:]))
     return df.select(key, F.array(*cols).alias("vector"))
+
+
+def save_views(spark, views: dict[str, str]) -> None:
+    """Named views from their SQL, for sessions that ask in SQL."""
+    for name, sql in views.items():
+        spark.sql(f"create or replace temp view {name} as {sql}")
+
+
+def sorted_json(df: DataFrame, key: str, path: str) -> None:
+    """A small mapping as one file in order of its key."""
+    df.orderBy(key).coalesce(1).write.mode("overwrite").json(path)
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def narrative(fields: dict[str, Column]) -> Column:
+    """One sentence per field that is not null."""
+    return F.concat_ws(" ", *(F.when(v.isNotNull(), F.concat(F.lit(f"{k} "), v.cast("string"), F.lit("."))) for k, v in fields.items()))
