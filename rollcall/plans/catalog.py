@@ -482,7 +482,7 @@ def c9_names(s, d):
     return table(s, d, "customer").select("c_custkey", text.name_key(n).alias("key"), text.name_key(p["first"]).alias("first"), p["last"].alias("last"))
 
 
-@query("select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) word_count, length(text) > 10000 is_long, length(text) > 0 and length(text) < 500 is_short from documents")
+@query("select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::int word_count, length(text) > 10000 is_long, length(text) > 0 and length(text) < 500 is_short from documents")
 def c17_content_features(s, d):
     f = text.content_features(F.col("text"))
     return table(s, d, "documents").select("doc_id", f["word_count"].alias("word_count"), f["is_long"].alias("is_long"), f["is_short"].alias("is_short"))
@@ -500,12 +500,12 @@ def c20_scaling(s, d):
     return rows.select("c_custkey", "share", "scaled").where("false")
 
 
-@query("select page_id, regexp_extract(html, '(?i)<title>([^<]*)</title>', 1) title, len(regexp_extract_all(html, '(?i)<p\\b')) paragraphs from pages")
+@query("select page_id, regexp_extract(html, '(?i)<title>([^<]*)</title>', 1) title, len(regexp_extract_all(html, '(?i)<p\\b'))::int paragraphs from pages")
 def s11_page_parts(s, d):
     return table(s, d, "pages").select("page_id", F.regexp_extract("html", r"(?i)<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)<p\b"), 0)).alias("paragraphs"))
 
 
-@query("select page_id, len(list_distinct(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"''#]+)', 1))) links from pages")
+@query("select page_id, len(list_distinct(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"''#]+)', 1)))::int links from pages")
 def s11_page_links(s, d):
     p = table(s, d, "pages")
     n = parsers.links(p, "page_id", "html").groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
