@@ -81,27 +81,42 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
+def joined_least(both: DataFrame, low: DataFrame, n: int, hub: int, name: str) -> DataFrame:
+    """both (u, v) with m, the value of low (u, m, d) for u; d counts u's rows.
+
+    With more than hub rows in all (n), nodes of more than hub rows are looked up in a broadcast table instead, so that
+    no task gathers the rows of one node. That table has n / hub rows at most.
+    """
+    if n <= hub:
+        return both.join(low.select("u", "m"), "u")
+    hot = materialize(low.where(F.col("d") > hub).select("u", F.col("m").alias("hm")), f"{name}-hubs")
+    marked = both.join(F.broadcast(hot), "u", "left")
+    far = marked.where("hm is null").select("u", "v").join(low.select("u", "m"), "u")
+    return far.unionByName(marked.where("hm is not null").select("u", "v", F.col("hm").alias("m")))
+
+
+def components(edges: DataFrame, name: str, max_rounds: int = 60, hub: int = 1_000_000) -> DataFrame:
     """Connected components of (src, dst) links by alternating large-star and small-star rounds.
 
     Returns (node, component) for each node that has a link to another one; component is the smallest node reachable.
-    Every round is two shuffles over distinct links and a written table; only a count and a checksum reach the driver.
-    A node's links are never gathered: its smallest neighbour is a partially aggregated minimum that is joined back, and
-    the join's skewed side is split by adaptive execution. An empty input gives an empty result.
+    Every round is a few shuffles over distinct links and a written table; only a count and a checksum reach the driver.
+    A node's links are never gathered: its smallest neighbour is a partially aggregated minimum that is joined back, for
+    nodes of over hub links by a broadcast of bounded size. An empty input gives an empty result.
     """
     e = edges.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b")).where("a <> b")
     e = materialize(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-links")
-    before = None
+    before, n = None, e.count()
+    count = F.count(F.lit(1)).alias("d")
     for _ in range(max_rounds):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), count)
+        large = joined_least(both, low, 2 * n, hub, name).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("w")), F.struct(F.col("v").alias("u"), F.col("m").alias("w")))).alias("x"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), count)
+        small = joined_least(large, low, 2 * n, hub, name).select(F.explode(F.array(F.struct("u", F.col("m").alias("w")), F.struct(F.col("v").alias("u"), F.col("m").alias("w")))).alias("x"))
         e = materialize(small.select("x.u", F.col("x.w").alias("v")).where("u <> v").distinct(), f"{name}-links")
         state = e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = state
+        before, n = state, state[0]
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -273,12 +273,13 @@ def test_simhash_tables_lose_no_pair():
             assert any(not any(a <= f < a + b for f in flips for a, b in t) for t in tables)
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("hub", [1_000_000, 5])
+def test_components_of_a_chain_and_a_star(spark, hub):
     chain = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 50)] + [(7, 7)]
     df = spark.createDataFrame(chain, "src long, dst long")
-    got = {r["node"]: r["component"] for r in components(df, "t").collect()}
+    got = {r["node"]: r["component"] for r in components(df, "t", hub=hub).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 1 for i in range(1, 50)}
-    assert components(df.limit(0), "t").count() == 0
+    assert components(df.limit(0), "t", hub=hub).count() == 0
 
 
 # Embeddings ---------------------------------------------------------------------------------------------------------------
