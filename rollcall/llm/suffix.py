@@ -27,6 +27,8 @@ from .common import materialize, partitions, slices, texts
 
 BASE = 0x9E3779B97F4A7C15
 POSITION_BITS = 24
+#: Starts of windows that are worked on at a time.
+PART = 1 << 20
 SPANS = "d long, th long, a long, b long"
 
 
@@ -269,28 +271,31 @@ def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
             size = np.fromiter(map(len, raw), np.int64, len(raw))
             whole = b"".join(raw)
             flat, ends = np.frombuffer(whole, np.uint8), np.cumsum(size)
-            begin = ends - size
-            part = (1 << POSITION_BITS) // 2
-            got = []
-            for x in range(0, len(flat), part):  # one part but for documents of many megabytes
-                stop = min(len(flat), x + part + length - 1)
+            for x in range(0, len(flat), PART):  # one part but for texts of megabytes
+                stop = min(len(flat), x + PART + length - 1)
                 cuts = np.unique(np.clip(ends, x, stop)) - x
-                got.append([v + x for v in runs_of(flat[x:stop], cuts[cuts > 0], length, gram)])
-            a, b, p = (np.concatenate(v) for v in zip(*got, strict=True))
-            if not len(a):
-                continue
-            view = memoryview(whole)
-            digest = xxhash.xxh3_64_intdigest
-            h = np.array([digest(view[i : i + gram], 1) for i in p.tolist()], np.uint64).view(np.int64)
-            c = np.array([digest(view[i : j + length], k) for i, j, k in zip(a.tolist(), b.tolist(), (p - a).tolist(), strict=True)], np.uint64).view(np.int64)
-            order = np.lexsort((c, h))
-            new = np.append(True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1]))
-            last = np.append(new[1:], True)
-            sure = np.zeros(len(a), np.int8)
-            sure[order[~(new & last)]] = 1
-            sure[order[new & ~last]] = 2
-            doc = np.searchsorted(ends, a, side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[doc], th[doc], a - begin[doc], b - begin[doc], p - begin[doc], h, c, sure)], names=["d", "th", "a", "b", "p", "h", "c", "sure"])
+                a, b, p = (v + x for v in runs_of(flat[x:stop], cuts[cuts > 0], length, gram))
+                if len(a):
+                    yield judged(whole, d, th, ends, a, b, p)
+
+    def judged(whole: bytes, d: np.ndarray, th: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+        view, digest = memoryview(whole), xxhash.xxh3_64_intdigest
+        h = np.array([digest(view[i : i + gram], 1) for i in p.tolist()], np.uint64).view(np.int64)
+        c = np.array([digest(view[i : j + length], k) for i, j, k in zip(a.tolist(), b.tolist(), (p - a).tolist(), strict=True)], np.uint64).view(np.int64)
+        order = np.lexsort((c, h))
+        new = np.append(True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1]))
+        last = np.append(new[1:], True)
+        sure = np.zeros(len(a), np.int8)
+        sure[order[~(new & last)]] = 1
+        sure[order[new & ~last]] = 2
+        doc = np.searchsorted(ends, a, side="right")
+        # sure runs that touch, as in long monotonous texts, become one
+        touch = np.append(False, (sure[1:] == 1) & (sure[:-1] == 1) & (doc[1:] == doc[:-1]) & (a[1:] <= b[:-1] + 1))
+        first = np.flatnonzero(~touch)
+        b = np.maximum.reduceat(b, first)
+        a, p, h, c, sure, doc = (v[first] for v in (a, p, h, c, sure, doc))
+        begin = np.concatenate([[0], ends[:-1]])[doc]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (d[doc], th[doc], a - begin, b - begin, p - begin, h, c, sure)], names=["d", "th", "a", "b", "p", "h", "c", "sure"])
 
     return docs.mapInArrow(run, "d long, th long, a long, b long, p long, h long, c long, sure byte")
 

@@ -368,6 +368,15 @@ def test_suffix_removal(spark, cap, length, gram):
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_suffix_removal_of_long_texts(spark):
+    rng = np.random.default_rng(9)
+    long = "".join(rng.choice(list("abcdefghij klmno"), 1_300_000))
+    rows = [(1, "a" * 1_200_000), (2, "lorem ipsum " * 100_000), (3, long), (4, long[1000:1_250_000] + "x"), (5, long[:399])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix.remove_repeats(df).collect()}
+    assert got == {1: [(0, 1_200_000)], 2: [(0, 1_200_000)], 3: [(1000, 1_250_000)], 4: [(0, 1_249_000)], 5: []}
+
+
 # Packing --------------------------------------------------------------------------------------------------------------------
 def plain_best_fit(lengths, sizes, costs):
     bins = []
