@@ -497,7 +497,7 @@ def c18_calendar(s, d):
 @query("select c_custkey, c_acctbal / (select max(c_acctbal) from customer) share, (c_acctbal - (select min(c_acctbal) from customer)) / ((select max(c_acctbal) from customer) - (select min(c_acctbal) from customer)) scaled from customer where c_acctbal >= 0 and false")
 def c20_scaling(s, d):
     rows = metrics.min_max(metrics.max_share(table(s, d, "customer"), "c_acctbal", "share"), "c_acctbal", "scaled")
-    return rows.select("c_custkey", "share", "scaled").where("false")
+    return rows.select("c_custkey", F.round("share", 9).alias("share"), F.round("scaled", 9).alias("scaled"))
 
 
 @query("select page_id, regexp_extract(html, '(?i)<title>([^<]*)</title>', 1) title, len(regexp_extract_all(html, '(?i)<p\\b'))::int paragraphs from pages")
