@@ -100,7 +100,7 @@ def g5_pipeline_depth(s, d):
 
 @query("select bill_id, count(*) total, count(*) filter (position = 'Proponent') / greatest(count(*), 1)::double pro_ratio, count(distinct organization) organizations from slips where slip_id < 5000 group by 1", "slips")
 def g15_slip_features(s, d):
-    f = metrics.slip_summary(slips(s, d).where("slip_id < 5000"), ["bill_id"])
+    f = metrics.slip_summary(slips(s, d), ["bill_id"])
     return f.select("bill_id", F.col("slips").alias("total"), (F.col("proponents") / F.greatest("slips", F.lit(1))).alias("pro_ratio"), "organizations")
 
 
@@ -119,7 +119,7 @@ def g20_topic_tiers(s, d):
 
 @query(", b as (select member_id, member_id % 4 coalition_id from members where member_id < 100), v as (select c.*, coalition_id from casts c join b using (member_id) where vote in ('Y','N')), e as (select coalition_id, event_id, greatest(count(*) filter (vote = 'Y'), count(*) filter (vote = 'N')) / count(*)::double x from v group by all) select coalition_id, count(*) votes, round(count(*) filter (vote = 'Y') / count(*)::double, 9) yes_rate, any_value((select round(avg(x), 9) from e where e.coalition_id = v.coalition_id)) cohesion from v group by 1", "members casts")
 def g21_coalition_profiles(s, d):
-    b = members(s, d).where("member_id < 100").select("member_id", (F.col("member_id") % 4).alias("coalition_id"))
+    b = members(s, d).select("member_id", (F.col("member_id") % 4).alias("coalition_id"))
     topics = bills(s, d).select((F.col("bill_id") % 500).alias("bill_id")).distinct().withColumn("topic", F.col("bill_id") % 5)
     p = views.coalition_profiles(b, casts(s, d), topics, members(s, d))
     n = casts(s, d).where(F.col("vote").isin("Y", "N")).join(b, "member_id").groupBy("coalition_id").agg(F.count(F.lit(1)).alias("votes"))
@@ -251,7 +251,7 @@ def j15_zip_to_member(s, d):
     sup = table(s, d, "supplier").where("s_suppkey % 2 = 0").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("member_id"))
     m = sup.select(F.lit("Senate").alias("chamber"), F.col("s_nationkey").alias("district"), "member_id")
     walk = table(s, d, "customer").select(F.col("c_custkey").alias("zip"), F.col("c_nationkey").cast("string").alias("senate"), F.lit("").alias("house"))
-    return resolve.districts_of_zip(walk.where("zip < 200").select("zip"), walk, m).select("zip", "senator")
+    return resolve.districts_of_zip(walk.select("zip"), walk, m).select("zip", "senator")
 
 
 @query("select n_name || ' Committee' as name, n_nationkey code from nation")
@@ -316,7 +316,7 @@ def v4_member_cards(s, d):
 def v5_bill_detail(s, d):
     t = votes.tallies(casts(s, d), ["bill_id", "event_id"])
     a = actions(s, d).select("bill_id", "day", "ord", "action")
-    return views.bill_detail(metrics.bill_facts(bills(s, d)).where("bill_id < 500").select("bill_id", "bill_number", "status"), slips(s, d), t, a)
+    return views.bill_detail(metrics.bill_facts(bills(s, d)).select("bill_id", "bill_number", "status"), slips(s, d), t, a)
 
 
 @query()
@@ -353,8 +353,8 @@ def m9_evaluation(s, d):
 @query()
 def h7_graph_view(s, d):
     edges = graph.pair_counts(table(s, d, "lineitem"), "l_orderkey", "l_suppkey", least=2)
-    ids = table(s, d, "supplier").select(F.col("s_suppkey").alias("member_id"))
-    return graph.graph_view(ids, edges, ids.where("member_id < 60"), ids.where("member_id < 3"), 8)
+    r = roster(s, d)
+    return graph.graph_view(r, edges, r, r.where("role = 'Chair'"), 8)
 
 
 @query("select 'committee' kind, s_suppkey::varchar id, 'name' as field, 0.80::double score, s_name snippet from supplier where starts_with(lower(s_name), 'supplier#00000000')")

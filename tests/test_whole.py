@@ -10,6 +10,10 @@ from rollcall.plans.catalog import QUERIES
 assert catalog_views and duck  # one adds to the catalogue, the other is a fixture
 
 WHOLE = {
+    "g15_slip_features": with_views("slips") + " select bill_id, count(*) total, count(*) filter (position = 'Proponent') / greatest(count(*), 1)::double pro_ratio, count(distinct organization) organizations from slips group by 1",
+    "g21_coalition_profiles": with_views("members", "casts") + """, v as (select *, member_id % 4 coalition_id from casts where vote in ('Y','N')), e as (select coalition_id, event_id, greatest(count(*) filter (vote = 'Y'), count(*) filter (vote = 'N')) / count(*)::double x from v group by all),
+ k as (select coalition_id, round(avg(x), 9) cohesion from e group by 1) select coalition_id, count(*) votes, round(count(*) filter (vote = 'Y') / count(*)::double, 9) yes_rate, any_value(cohesion) cohesion from v join k using (coalition_id) group by 1""",
+    "j15_zip_to_member": "select c_custkey zip, senator from customer left join (select s_nationkey, min(s_suppkey) senator from supplier where s_suppkey % 2 = 0 group by 1) on s_nationkey = c_nationkey",
     "c20_scaling": "select c_custkey, round(least(c_acctbal / (select max(c_acctbal) from customer), 1.0), 9) share, round((c_acctbal - (select min(c_acctbal) from customer)) / ((select max(c_acctbal) from customer) - (select min(c_acctbal) from customer)), 9) scaled from customer",
 }
 
@@ -25,3 +29,27 @@ def test_whole(spark, sf, duck, name):
     names = [x[0] for x in cur.description]
     want = sorted((tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in cur.fetchall()), key=repr)
     assert want and rows_of(QUERIES[name](spark, sf)) == want
+
+
+def test_slips_and_zips_of_large_ids(spark, tmp_path):
+    """More events and zips than the ids that were once read: none goes missing."""
+    spark.range(6000).selectExpr("id event_id", "id % 40 user_id", "'click' event_type", "1.0D value").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(700).selectExpr("id c_custkey", "cast(id % 2 as int) c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(8).selectExpr("id s_suppkey", "cast(id % 2 as int) s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert QUERIES["g15_slip_features"](spark, str(tmp_path)).agg({"total": "sum"}).first()[0] == 6000
+    assert QUERIES["j15_zip_to_member"](spark, str(tmp_path)).count() == 700
+
+
+def test_bill_detail_has_every_bill(spark, sf, duck):
+    want = duck.execute("select o_orderkey from orders order by 1").fetchall()
+    assert [(r[0],) for r in QUERIES["v5_bill_detail"](spark, sf).select("bill_id").orderBy("bill_id").collect()] == want
+
+
+def test_graph_view_draws_all_members(spark, tmp_path):
+    """A path of 100 members: every edge is one of its end's eight heaviest. A chair with 20 more peers keeps all its edges."""
+    pairs = [(i, i + 1) for i in range(100)] + [(90, i) for i in range(20)]
+    rows = [(2 * k + twice, n) for k, p in enumerate(pairs) for twice in (0, 1) for n in p]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(101).selectExpr("id s_suppkey", "0 s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {(r["a"], r["b"]) for r in QUERIES["h7_graph_view"](spark, str(tmp_path)).collect()}
+    assert got == {(min(p), max(p)) for p in pairs}
