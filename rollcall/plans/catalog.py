@@ -684,7 +684,7 @@ def x3_search_text(s, d):
 @query("select c_name as name, chamber, c_custkey member_id, 'exact' as method, 1.0::double confidence from customer join members on member_id = c_custkey where c_custkey < 50", "members")
 def e2_resolve_names(s, d):
     m = members(s, d)
-    names = m.where("member_id < 50").select("chamber", F.upper("name").alias("name"))
+    names = m.select("chamber", F.upper("name").alias("name"))
     return resolve.resolve(names, m).select(F.initcap("name").alias("name"), "chamber", "member_id", "method", "confidence")
 
 

@@ -134,7 +134,7 @@ def g36_category_sets(s, d):
 
 @query("select method, count(*) n from (select case when c_custkey % 5 = 0 then 'non_member' else 'exact' end as method from customer where c_custkey < 500) group by 1")
 def g39_resolution_methods(s, d):
-    m = members(s, d).where("member_id < 500")
+    m = members(s, d)
     names = m.select("chamber", F.when(F.col("member_id") % 5 == 0, F.concat(F.lit("Vacant"), F.lit(""))).otherwise(F.col("name")).alias("name"), "member_id")
     out = resolve.resolve(names, m)
     return names.join(out.select("chamber", "name", "method"), ["chamber", "name"]).groupBy("method").agg(F.count(F.lit(1)).alias("n"))

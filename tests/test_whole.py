@@ -14,6 +14,8 @@ WHOLE = {
     "g21_coalition_profiles": with_views("members", "casts") + """, v as (select *, member_id % 4 coalition_id from casts where vote in ('Y','N')), e as (select coalition_id, event_id, greatest(count(*) filter (vote = 'Y'), count(*) filter (vote = 'N')) / count(*)::double x from v group by all),
  k as (select coalition_id, round(avg(x), 9) cohesion from e group by 1) select coalition_id, count(*) votes, round(count(*) filter (vote = 'Y') / count(*)::double, 9) yes_rate, any_value(cohesion) cohesion from v join k using (coalition_id) group by 1""",
     "j15_zip_to_member": "select c_custkey zip, senator from customer left join (select s_nationkey, min(s_suppkey) senator from supplier where s_suppkey % 2 = 0 group by 1) on s_nationkey = c_nationkey",
+    "e2_resolve_names": with_views("members") + " select name, chamber, member_id, 'exact' as method, 1.0::double confidence from members",
+    "g39_resolution_methods": "select case when c_custkey % 5 = 0 then 'non_member' else 'exact' end as method, count(*) n from customer group by 1",
     "c20_scaling": "select c_custkey, round(least(c_acctbal / (select max(c_acctbal) from customer), 1.0), 9) share, round((c_acctbal - (select min(c_acctbal) from customer)) / ((select max(c_acctbal) from customer) - (select min(c_acctbal) from customer)), 9) scaled from customer",
 }
 
@@ -40,6 +42,14 @@ def test_slips_and_zips_of_large_ids(spark, tmp_path):
     assert QUERIES["j15_zip_to_member"](spark, str(tmp_path)).count() == 700
 
 
+def test_names_of_large_ids(spark, tmp_path):
+    """Names from id 500 on are resolved too, and against members from there on."""
+    spark.range(700).selectExpr("id c_custkey", "concat('Person#', id) c_name", "cast(id % 2 as int) c_nationkey", "'x' c_mktsegment", "0.0D c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(2).selectExpr("cast(id as int) n_nationkey", "cast(id as int) n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    assert {(r["member_id"], r["method"]) for r in QUERIES["e2_resolve_names"](spark, str(tmp_path)).collect()} == {(i, "exact") for i in range(700)}
+    assert {r["method"]: r["n"] for r in QUERIES["g39_resolution_methods"](spark, str(tmp_path)).collect()} == {"non_member": 140, "exact": 560}
+
+
 def test_bill_detail_has_every_bill(spark, sf, duck):
     want = duck.execute("select o_orderkey from orders order by 1").fetchall()
     assert [(r[0],) for r in QUERIES["v5_bill_detail"](spark, sf).select("bill_id").orderBy("bill_id").collect()] == want
