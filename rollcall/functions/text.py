@@ -106,8 +106,13 @@ def snippet(text: Column, query: str, around: int = 80) -> Column:
     return F.when(at == 0, head).otherwise(cut)
 
 
+#: All white space of Unicode, as a class that Java and RE2 read alike; their \s are ASCII only, and differ.
+WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Single blanks for runs of white space, none at the ends."""
+    return F.trim(F.regexp_replace(text, WHITE + "+", " "))
 
 
 def first_words(text: Column, n: int, least: int = 5) -> Column:

@@ -3,6 +3,7 @@
 import pytest
 from test_oracle import duck, plain
 
+from rollcall.functions import text
 from rollcall.plans import catalog_views
 from rollcall.plans.bindings import with_views
 from rollcall.plans.catalog import QUERIES
@@ -16,6 +17,7 @@ WHOLE = {
     "j15_zip_to_member": "select c_custkey zip, senator from customer left join (select s_nationkey, min(s_suppkey) senator from supplier where s_suppkey % 2 = 0 group by 1) on s_nationkey = c_nationkey",
     "e2_resolve_names": with_views("members") + " select name, chamber, member_id, 'exact' as method, 1.0::double confidence from members",
     "g39_resolution_methods": "select case when c_custkey % 5 = 0 then 'non_member' else 'exact' end as method, count(*) n from customer group by 1",
+    "c16_clean_text": f"with c as (select doc_id, trim(regexp_replace(text, '{text.WHITE}+', ' ', 'g'), ' ') t from documents) select doc_id, split_part(t, ' ', 1) first_word, length(t)::int n from c",
     "c20_scaling": "select c_custkey, round(least(c_acctbal / (select max(c_acctbal) from customer), 1.0), 9) share, round((c_acctbal - (select min(c_acctbal) from customer)) / ((select max(c_acctbal) from customer) - (select min(c_acctbal) from customer)), 9) scaled from customer",
 }
 
@@ -50,6 +52,16 @@ def test_names_of_large_ids(spark, tmp_path):
     assert {r["method"]: r["n"] for r in QUERIES["g39_resolution_methods"](spark, str(tmp_path)).collect()} == {"non_member": 140, "exact": 560}
 
 
+def test_clean_text_of_any_script(spark, tmp_path):
+    """Against Python's white space, with every space, and line ends that . doesn't match."""
+    white = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    texts = ["caf\u00e9  \u201cau lait\u201d", "\u4f60\u597d\u3000\u4e16\u754c \U0001f600", "a b\u2028c\x85d", "\xa0lead\u2003\t\x0b trail\u202f", "", " \u3000 ", "zero\u200bwidth", *(f"x{w}{w}y{w}" for w in white)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["first_word"], r["n"]) for r in QUERIES["c16_clean_text"](spark, str(tmp_path)).collect()}
+    clean = [" ".join(t.split()) for t in texts]
+    assert got == {i: (t.split(" ")[0], len(t)) for i, t in enumerate(clean)}
+
+
 def test_bill_detail_has_every_bill(spark, sf, duck):
     want = duck.execute("select o_orderkey from orders order by 1").fetchall()
     assert [(r[0],) for r in QUERIES["v5_bill_detail"](spark, sf).select("bill_id").orderBy("bill_id").collect()] == want
