@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,56 +34,72 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame, node: str) -> DataFram
     return out.select(node, "degree", F.when(F.col("__n") > 1, F.col("degree") / (F.col("__n") - 1)).otherwise(0.0).alias("centrality"))
 
 
+def neighbours(edges: DataFrame, most_edges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(ids, bounds, near, weights) of a, b and, where there is one, weight: the neighbours of ids[i] in order are
+    ids[near[bounds[i]:bounds[i + 1]]]. None for over most_edges edges."""
+    pairs = edges.limit(most_edges + 1).toArrow().to_pandas()
+    if len(pairs) > most_edges:
+        return None
+    codes, ids = pd.factorize(pd.concat([pairs["a"], pairs["b"]], ignore_index=True), sort=True)
+    x, y = codes[: len(pairs)], codes[len(pairs) :]
+    start, end = np.concatenate([x, y]), np.concatenate([y, x]).astype(np.int32)
+    order = np.lexsort((end, start))
+    weights = np.tile(pairs["weight"].to_numpy(float), 2)[order] if "weight" in pairs else np.ones(len(order))
+    return np.asarray(ids), np.searchsorted(start[order], np.arange(len(ids) + 1)), end[order], weights
+
+
+def spread(nodes: DataFrame) -> DataFrame:
+    """Few rows of much work each, dealt out to all cores."""
+    return nodes.repartition(4 * nodes.sparkSession.sparkContext.defaultParallelism)
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, node: str, most_edges: int = 2_000_000) -> DataFrame:
     """Normalised betweenness of an unweighted graph, rounded to six digits; 0 for fewer than three nodes.
 
     Shortest paths from each source are one unit of work, spread over tasks; each task gets the edges, whose number is
     checked against most_edges first. A larger graph raises an error instead of filling the executors.
     """
-    pairs = edges.select("a", "b").limit(most_edges + 1).collect()
-    if len(pairs) > most_edges:
+    found = neighbours(edges.select("a", "b"), most_edges)
+    if found is None:
         raise ValueError(f"over {most_edges} edges: betweenness needs them in each task")
-    adjacent: dict = {}
-    for a, b in pairs:
-        adjacent.setdefault(a, []).append(b)
-        adjacent.setdefault(b, []).append(a)
-    shared = edges.sparkSession.sparkContext.broadcast(adjacent)
+    shared = edges.sparkSession.sparkContext.broadcast(found[:3])
     kind = dict(nodes.dtypes)[node]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near, total = shared.value, {}
+        ids, bounds, near = shared.value
+        total = np.zeros(len(ids))
         for frame in frames:
-            for source in frame[node].tolist():
-                for v, x in dependencies(near, source).items():
-                    total[v] = total.get(v, 0.0) + x
-        yield pd.DataFrame({node: list(total), "part": list(total.values())})
+            for source in pd.Index(ids).get_indexer(frame[node]):
+                if source >= 0:
+                    total += dependencies(bounds, near, source)
+        yield pd.DataFrame({node: ids, "part": total})
 
-    part = nodes.select(node).mapInPandas(run, f"{node} {kind}, part double").groupBy(node).agg(F.sum("part").alias("part"))
+    part = spread(nodes.select(node)).mapInPandas(run, f"{node} {kind}, part double").groupBy(node).agg(F.sum("part").alias("part"))
     n = nodes.agg(F.count(F.lit(1)).alias("__n"))
     out = nodes.select(node).join(part, node, "left").crossJoin(F.broadcast(n))
     scale = (F.col("__n") - 1) * (F.col("__n") - 2)
     return out.select(node, F.when(F.col("__n") >= 3, F.round(F.coalesce("part", F.lit(0.0)) / scale, 6)).otherwise(0.0).alias("betweenness"))
 
 
-def dependencies(near: dict, source) -> dict:
-    """How many shortest paths from source pass each other node, by Brandes's accumulation."""
-    depth, paths, before, order = {source: 0}, {source: 1.0}, {}, []
-    queue = deque([source])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in near.get(v, ()):
-            if w not in depth:
-                depth[w] = depth[v] + 1
-                queue.append(w)
-            if depth[w] == depth[v] + 1:
-                paths[w] = paths.get(w, 0.0) + paths[v]
-                before.setdefault(w, []).append(v)
-    passed = dict.fromkeys(order, 0.0)
-    for w in reversed(order):
-        for v in before.get(w, ()):
-            passed[v] += paths[v] / paths[w] * (1 + passed[w])
-    passed.pop(source, None)
+def dependencies(bounds: np.ndarray, near: np.ndarray, source: int) -> np.ndarray:
+    """How many shortest paths from source pass each other node, by Brandes's accumulation, level by level."""
+    n = len(bounds) - 1
+    seen, paths, levels = np.zeros(n, bool), np.zeros(n), []
+    seen[source], paths[source], front = True, 1.0, np.array([source])
+    while len(front):
+        sizes = bounds[front + 1] - bounds[front]
+        tail = np.repeat(front, sizes)
+        head = near[np.repeat(bounds[front] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(tail))]
+        new = ~seen[head]
+        tail, head = tail[new], head[new]
+        paths += np.bincount(head, paths[tail], n)
+        levels.append((tail, head))
+        front = np.unique(head)
+        seen[front] = True
+    passed = np.zeros(n)
+    for tail, head in reversed(levels):
+        passed += np.bincount(tail, paths[tail] / paths[head] * (1 + passed[head]), n)
+    passed[source] = 0.0
     return passed
 
 
@@ -129,18 +145,53 @@ def affinity(touches: DataFrame, neighbours: DataFrame) -> DataFrame:
     return neighbours.join(both, ["member_id", "other_id"], "left").join(mine, "member_id", "left").select("member_id", "other_id", F.coalesce(F.col("common") / F.col("bills"), F.lit(0.0)).alias("affinity"))
 
 
-def walks(edges: DataFrame, nodes: DataFrame, node: str, per_node: int = 10, length: int = 20, seed: int = 0) -> DataFrame:
-    """Random walks by edge weight as arrays, a step per join: walk_id, walk. A node without edges walks on the spot."""
+def walks(edges: DataFrame, nodes: DataFrame, node: str, per_node: int = 10, length: int = 20, seed: int = 0, most_edges: int = 2_000_000) -> DataFrame:
+    """Random walks by edge weight as arrays: walk_id, walk. A node without edges walks on the spot.
+
+    Tasks get the edges where there are at most most_edges; in larger graphs each step is a join, with the same walks.
+    """
+    now = nodes.select(F.col(node).alias("at")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_node))))
+    draw = lambda step: F.pmod(F.xxhash64("at", "k", F.lit(seed), F.lit(step)), F.lit(1_000_003)) / 1_000_003.0
+    found = neighbours(edges.select("a", "b", "weight"), most_edges)
+    if found is None:
+        return walks_by_joins(edges, now, draw, length)
+    shared = edges.sparkSession.sparkContext.broadcast(found)
+    kind = dict(nodes.dtypes)[node]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, bounds, near, weights = shared.value
+        upto = np.concatenate([[0.0], np.cumsum(weights)])
+        for f in frames:
+            at = pd.Index(ids).get_indexer(f["at"])
+            linked = np.flatnonzero(at >= 0)
+            u = np.array(f["u"].tolist()).reshape(len(f), length - 1)[linked]
+            path = np.empty((len(linked), length), np.int64)
+            path[:, 0] = x = at[linked]
+            for step in range(1, length):
+                lo, hi = bounds[x], bounds[x + 1]
+                place = np.searchsorted(upto, upto[lo] + u[:, step - 1] * (upto[hi] - upto[lo]), "right") - 1
+                path[:, step] = x = near[np.clip(place, lo, hi - 1)]
+            walk = [[v] for v in f["at"]]
+            for i, p in zip(linked, ids[path].tolist(), strict=True):
+                walk[i] = p
+            yield pd.DataFrame({"at": f["at"], "k": f["k"], "walk": walk})
+
+    u = F.array(*(draw(step) for step in range(1, length))).cast("array<double>")
+    out = spread(now).select("at", "k", u.alias("u")).mapInPandas(run, f"at {kind}, k int, walk array<{kind}>")
+    return out.select(F.struct("at", "k").alias("walk_id"), "walk")
+
+
+def walks_by_joins(edges: DataFrame, starts: DataFrame, draw: Callable[[int], Column], length: int) -> DataFrame:
+    """starts: at, k; draw: a number from 0 to 1 of them and the step."""
     two = both_ways(edges.select("a", "b", "weight"))
     w = Window.partitionBy("a").orderBy("b")
     reach = two.withColumn("hi", F.sum("weight").over(w)).withColumn("lo", F.col("hi") - F.col("weight")).withColumn("top", F.sum("weight").over(Window.partitionBy("a")))
-    now = nodes.select(F.col(node).alias("at")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_node)))).select(F.struct("at", "k").alias("walk_id"), "at", F.array("at").alias("walk"))
+    now = starts.select("at", "k", F.col("at").alias("last"), F.array("at").alias("walk"))
     for step in range(1, length):
-        draw = F.pmod(F.xxhash64("walk_id.at", "walk_id.k", F.lit(seed), F.lit(step)), F.lit(1_000_003)) / 1_000_003.0
-        x = now.withColumn("u", draw)
-        moved = x.join(reach, (x["at"] == reach["a"]) & (x["u"] * reach["top"] >= reach["lo"]) & (x["u"] * reach["top"] < reach["hi"]), "left")
-        now = moved.select("walk_id", F.coalesce("b", "at").alias("at"), F.when(F.col("b").isNull(), F.col("walk")).otherwise(F.concat("walk", F.array("b"))).alias("walk"))
-    return now.select("walk_id", "walk")
+        x = now.withColumn("u", draw(step))
+        moved = x.join(reach, (x["last"] == reach["a"]) & (x["u"] * reach["top"] >= reach["lo"]) & (x["u"] * reach["top"] < reach["hi"]), "left")
+        now = moved.select("at", "k", F.coalesce("b", "last").alias("last"), F.when(F.col("b").isNull(), F.col("walk")).otherwise(F.concat("walk", F.array("b"))).alias("walk"))
+    return now.select(F.struct("at", "k").alias("walk_id"), "walk")
 
 
 def node_vectors(edges: DataFrame, nodes: DataFrame, node: str, dim: int = 64, window: int = 10, **kw) -> DataFrame:
@@ -160,8 +211,6 @@ def node_vectors(edges: DataFrame, nodes: DataFrame, node: str, dim: int = 64, w
 def spectral(edges: DataFrame, nodes: DataFrame, node: str, k: int = 4, most_nodes: int = 5000) -> DataFrame:
     """Row-normalised eigenvectors of the least eigenvalues of the normalised Laplacian, for graphs of up to most_nodes
     nodes (checked): a dense problem of one task."""
-    import numpy as np
-
     ids = [r[0] for r in nodes.select(node).orderBy(node).limit(most_nodes + 1).collect()]
     if len(ids) > most_nodes:
         raise ValueError(f"over {most_nodes} nodes")

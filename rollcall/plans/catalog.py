@@ -139,7 +139,7 @@ def j4_cosponsor_pairs(s, d):
 
 @query("with d as (select distinct l_orderkey g, l_suppkey n from lineitem), k as (select g from d group by g having count(*) between 2 and 4) select x.n a, y.n b, count(*) weight from d x join d y using (g) join k using (g) where x.n < y.n group by all having count(*) >= 2")
 def j5_weighted_pairs_capped(s, d):
-    return graph.pair_counts(table(s, d, "lineitem"), "l_orderkey", "l_suppkey", 2, 4, 2)
+    return graph.pair_counts(table(s, d, "lineitem"), "l_orderkey", "l_suppkey", 2, 40)
 
 
 AGREE = "select x.member_id a, y.member_id b, count(*) shared, count(*) filter (x.vote = y.vote) agreed, count(*) filter (x.vote = y.vote) / count(*)::double weight from casts x join casts y using (event_id) where x.vote in ('Y','N') and y.vote in ('Y','N') and x.member_id < y.member_id group by all having count(*) >= 2"
@@ -609,9 +609,7 @@ def h2_degree(s, d):
 
 @query()
 def h3_betweenness(s, d):
-    edges = graph.pair_counts(table(s, d, "lineitem"), "l_orderkey", "l_suppkey")
-    top = edges.agg(F.percentile("weight", F.lit(0.9)).alias("cut"))
-    return graph.betweenness(table(s, d, "supplier").select("s_suppkey"), edges.crossJoin(top).where("weight >= cut").select("a", "b"), "s_suppkey")
+    return graph.betweenness(table(s, d, "supplier").select("s_suppkey"), graph.pair_counts(table(s, d, "lineitem"), "l_orderkey", "l_suppkey"), "s_suppkey")
 
 
 PEERS = "with d as (select distinct l_orderkey g, l_suppkey n from lineitem), e as (select x.n a, y.n b, count(*) weight from d x join d y using (g) where x.n < y.n group by all), u as (select a, b, weight from e union all select b, a, weight from e), r as (select *, row_number() over (partition by a order by weight desc, b) r from u) "
@@ -632,8 +630,8 @@ def h8_affinity(s, d):
 
 @query()
 def h5_node_vectors(s, d):
-    edges = graph.pair_counts(table(s, d, "lineitem"), "l_orderkey", "l_suppkey", least=3)
-    return graph.node_vectors(edges, table(s, d, "supplier").select("s_suppkey"), "s_suppkey", dim=16, per_node=5, length=8)
+    edges = graph.pair_counts(table(s, d, "lineitem"), "l_orderkey", "l_suppkey", most_size=40)
+    return graph.node_vectors(edges, table(s, d, "supplier").select("s_suppkey"), "s_suppkey", dim=64, window=10, per_node=200, length=30)
 
 
 @query()

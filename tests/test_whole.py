@@ -4,6 +4,7 @@ import pytest
 from test_oracle import duck, plain
 
 from rollcall.functions import text
+from rollcall.operators import graph
 from rollcall.plans import catalog_views
 from rollcall.plans.bindings import with_views
 from rollcall.plans.catalog import QUERIES
@@ -18,6 +19,7 @@ WHOLE = {
     "e2_resolve_names": with_views("members") + " select name, chamber, member_id, 'exact' as method, 1.0::double confidence from members",
     "g39_resolution_methods": "select case when c_custkey % 5 = 0 then 'non_member' else 'exact' end as method, count(*) n from customer group by 1",
     "c16_clean_text": f"with c as (select doc_id, trim(regexp_replace(text, '{text.WHITE}+', ' ', 'g'), ' ') t from documents) select doc_id, split_part(t, ' ', 1) first_word, length(t)::int n from c",
+    "j5_weighted_pairs_capped": "with d as (select distinct l_orderkey g, l_suppkey n from lineitem), k as (select g from d group by g having count(*) between 2 and 40) select x.n a, y.n b, count(*) weight from d x join d y using (g) join k using (g) where x.n < y.n group by all",
     "c20_scaling": "select c_custkey, round(least(c_acctbal / (select max(c_acctbal) from customer), 1.0), 9) share, round((c_acctbal - (select min(c_acctbal) from customer)) / ((select max(c_acctbal) from customer) - (select min(c_acctbal) from customer)), 9) scaled from customer",
 }
 
@@ -75,3 +77,46 @@ def test_graph_view_draws_all_members(spark, tmp_path):
     spark.range(101).selectExpr("id s_suppkey", "0 s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
     got = {(r["a"], r["b"]) for r in QUERIES["h7_graph_view"](spark, str(tmp_path)).collect()}
     assert got == {(min(p), max(p)) for p in pairs}
+
+
+def test_betweenness_counts_light_links(spark, tmp_path):
+    """A path 0 - 1 - ... - 5 whose first link is heavy: the light ones carry paths too."""
+    rows = [(g, n) for g, p in enumerate([(0, 1)] * 9 + [(i, i + 1) for i in range(1, 5)]) for n in p]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(7).selectExpr("id s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["s_suppkey"]: r["betweenness"] for r in QUERIES["h3_betweenness"](spark, str(tmp_path)).collect()}
+    assert got == {i: round(max(2 * i * (5 - i), 0) / 30, 6) for i in range(7)}
+
+
+def test_betweenness_by_counting_paths(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 14
+    pairs = sorted({(int(min(p)), int(max(p))) for p in rng.integers(0, n, (26, 2)) if p[0] != p[1]})
+    near = {v: [b if a == v else a for a, b in pairs if v in (a, b)] for v in range(n)}
+    want = dict.fromkeys(range(n), 0.0)
+    for s in range(n):
+        level, seen = [[s]], {s}
+        while level:  # all shortest paths from s, listed
+            level = [[*p, w] for p in level for w in near[p[-1]] if w not in seen]
+            seen |= {p[-1] for p in level}
+            for p in level:
+                for v in p[1:-1]:
+                    want[v] += 1 / sum(q[-1] == p[-1] for q in level)
+    nodes = spark.range(n).toDF("n")
+    got = {r["n"]: r["betweenness"] for r in graph.betweenness(nodes, spark.createDataFrame(pairs, "a long, b long"), "n").collect()}
+    assert got == pytest.approx({v: x / ((n - 1) * (n - 2)) for v, x in want.items()}, abs=1e-6)
+
+
+def test_walks_are_those_by_joins(spark):
+    edges = spark.createDataFrame([("a", "b", 5), ("b", "c", 1), ("a", "c", 2), ("c", "d", 9)], "a string, b string, weight long")
+    nodes = spark.createDataFrame([(x,) for x in "abcde"], "n string")
+    sets = [{(r["walk_id"]["at"], r["walk_id"]["k"], tuple(r["walk"])) for r in graph.walks(edges, nodes, "n", 6, 5, most_edges=m).collect()} for m in (9, 3)]
+    assert sets[0] == sets[1] and len(sets[0]) == 30
+    assert {len(w) for at, _, w in sets[0] if at != "e"} == {5} and {w for at, _, w in sets[0] if at == "e"} == {("e",)}
+
+
+def test_node_vectors_of_reference_size(spark, sf):
+    vectors = [r["vector"] for r in QUERIES["h5_node_vectors"](spark, sf).collect()]
+    assert {len(v) for v in vectors} == {64} and all(any(v) for v in vectors)
