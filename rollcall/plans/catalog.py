@@ -711,10 +711,16 @@ def _training(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m6_model_comparison(s, d):
-    found = ml.compare(_training(s, d), "label", "doc_id", 3, {"logistic": ml.models("label")["logistic"]})
+    found = ml.compare(_training(s, d), "label", "doc_id")
     return s.createDataFrame([(k, round(v, 4)) for k, v in found.items()], "model string, auc double")
 
 
+@query()
+def m7_tuned_depth(s, d):
+    depth, area = ml.tune(_training(s, d), "label", "doc_id")
+    return s.createDataFrame([(depth, round(area, 4))], "depth int, auc double")
+
+
 @query()
 def m8_calibrated_scores(s, d):
     scored = ml.out_of_fold(_training(s, d), "label", "doc_id", ml.models("label")["logistic"], 3)

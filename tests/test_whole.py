@@ -4,7 +4,7 @@ import pytest
 from test_oracle import duck, plain
 
 from rollcall.functions import text
-from rollcall.operators import graph
+from rollcall.operators import graph, ml
 from rollcall.plans import catalog_views
 from rollcall.plans.bindings import with_views
 from rollcall.plans.catalog import QUERIES
@@ -120,3 +120,31 @@ def test_walks_are_those_by_joins(spark):
 def test_node_vectors_of_reference_size(spark, sf):
     vectors = [r["vector"] for r in QUERIES["h5_node_vectors"](spark, sf).collect()]
     assert {len(v) for v in vectors} == {64} and all(any(v) for v in vectors)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """One row in ten is 1; two features must agree for it, which trees see and a line doesn't."""
+    rows = [(i, float(i % 10 == 0), float(i % 2 if i % 10 else k), float((i % 3 > 0) ^ (i % 2) if i % 10 else k)) for i in range(300) for k in [i // 10 % 2]]
+    return ml.assemble(spark.createDataFrame(rows, "id long, label double, x double, y double"), ["x", "y"]).drop("x", "y")
+
+
+def test_comparison_has_all_models_folds_and_weights(labelled, monkeypatch):
+    seen = []
+    for kind in {type(m) for m in ml.models("label").values()}:
+        monkeypatch.setattr(kind, "fit", lambda self, rows, *a, f=kind.fit: (seen.append((type(self).__name__, self.getWeightCol(), {(r["label"], round(r["weight"], 6)) for r in rows.select("label", "weight").distinct().collect()})), f(self, rows, *a))[1])
+    found = ml.compare(labelled, "label", "id")
+    assert set(found) == {"boosting", "forest", "logistic"} and all(0 <= x <= 1 for x in found.values())
+    assert len(seen) == 15 and {x[1] for x in seen} == {"weight"} and all(x[2] == {(0.0, 0.555556), (1.0, 5.0)} for x in seen)
+
+
+def test_tuned_depth_is_the_best_of_the_grid(labelled, monkeypatch):
+    areas = {2: 0.6, 3: 0.9, 4: 0.7}
+    monkeypatch.setattr(ml, "compare", lambda df, label, key, n, candidates: {"m": areas[candidates["m"].getMaxDepth()]})
+    assert ml.tune(labelled, "label", "id") == (3, 0.9)
+
+
+def test_model_queries(spark, sf):
+    assert {r["model"] for r in QUERIES["m6_model_comparison"](spark, sf).collect()} == {"boosting", "forest", "logistic"}
+    best = QUERIES["m7_tuned_depth"](spark, sf).collect()
+    assert len(best) == 1 and best[0]["depth"] in (2, 3, 4)
