@@ -35,9 +35,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays; of rows that repeat an id, one. A document
-    without an id goes by a negative number made from its text."""
-    key = F.coalesce(F.col("doc_id"), -F.abs(F.shiftrightunsigned(F.xxhash64("text"), 1)) - 1)
+    """Of each group of near copies the document with the least id stays; of rows that repeat an id and a text, one. Rows
+    of one id but different texts are documents of their own. A document without an id goes by a negative number made
+    from its text."""
+    key = F.struct(F.coalesce(F.col("doc_id"), -F.abs(F.shiftrightunsigned(F.xxhash64("text"), 1)) - 1).alias("id"), F.xxhash64("text").alias("text"))
     keyed = docs.select(*COLUMNS, key.alias("__key"))
     found = materialize(simhash.near_duplicates(keyed, doc_id="__key").select("doc_id", "component_id"), "pipeline-groups")
     first = found.where("doc_id = component_id").groupBy("doc_id").count()

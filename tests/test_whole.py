@@ -148,3 +148,14 @@ def test_model_queries(spark, sf):
     assert {r["model"] for r in QUERIES["m6_model_comparison"](spark, sf).collect()} == {"boosting", "forest", "logistic"}
     best = QUERIES["m7_tuned_depth"](spark, sf).collect()
     assert len(best) == 1 and best[0]["depth"] in (2, 3, 4)
+
+
+def test_simhash_stage_keeps_unrelated_texts_of_one_id(spark, tmp_path):
+    """An id with two clean texts keeps both; where one is a near copy of a smaller id, that one goes; a repeated row stays once."""
+    import corpus_pipeline as pipeline
+
+    long = " ".join(f"w{i * i}" for i in range(400))
+    rows = [(5, "one text about rivers and lakes"), (5, "quite another on trains, tickets and timetables"), (1, long), (7, long + " end"), (7, "a third subject: bread, ovens and flour"), (8, "said twice in the same words"), (8, "said twice in the same words"), (None, "no id here"), (None, "no id here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r["doc_id"], r["text"]) for r in pipeline.simhash_near_dedup(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert kept == sorted({x for x in rows if x != (7, long + " end")}, key=repr)
