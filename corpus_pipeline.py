@@ -21,9 +21,11 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity reaches one half go."""
+    """Documents whose toxicity reaches one half go; none where the labels don't show both kinds."""
     docs = docs.select(*COLUMNS)
     machine = toxic.fit(docs, _labels(spark, sf_dir))
+    if not machine.fitted:
+        return docs
     return classifier.with_score(docs, machine, name="__toxic").where("__toxic < 0.5").drop("__toxic")
 
 

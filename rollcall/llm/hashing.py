@@ -71,7 +71,8 @@ def fold_of(doc_id) -> "F.Column":
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, total_bytes: int, doc_id: str = "doc_id", text: str = "text") -> Iterator[tuple[bytes, int]]:
     """(text, 0 or 1) of at most rows labelled documents of the learning folds, of total_bytes together, by doc_id.
 
-    Documents are taken in order of a hash of doc_id, so that the sample doesn't depend on layout. Null labels and ids are
+    Documents are taken in order of a hash of doc_id, so that the sample doesn't depend on layout; one that no longer fits
+    is passed over. Null labels and ids are
     left out; of conflicting labels the mean decides, one half counting as 1; of rows that repeat an id the least text is
     read. Both bounds hold before texts reach the driver, and they come partition by partition.
     """
@@ -83,10 +84,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, t
     sizes = found.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     total, ids = 0, []
     for doc, n in sizes:
-        total += n
-        if total > total_bytes:
-            break
-        ids.append(doc)
+        if total + n <= total_bytes:
+            total += n
+            ids.append(doc)
     if len(ids) < len(sizes):
         found = found.where(F.col("doc_id").isin(ids))
     for row in found.orderBy("doc_id").toLocalIterator():

@@ -32,9 +32,10 @@ def terms(docs: list[bytes], bits: int) -> list[np.ndarray]:
 
 
 class Machine:
-    """score = sigmoid(bias + sum of w + sum over pairs of v_i . v_j) over the terms present."""
+    """score = sigmoid(bias + sum of w + sum over pairs of v_i . v_j) over the terms present. fitted: both labels were seen."""
 
-    def __init__(self, bias: float, w: np.ndarray, v: np.ndarray, bits: int):
+    def __init__(self, bias: float, w: np.ndarray, v: np.ndarray, bits: int, fitted: bool = True):
+        self.fitted = fitted
         self.bias, self.w, self.v, self.bits = float(bias), w.astype(np.float32), v.astype(np.float32), bits
 
     def score(self, docs: list[bytes]) -> np.ndarray:
@@ -69,7 +70,7 @@ def train(sample: Iterable[tuple[bytes, int]], bits: int = 19, rank: int = 4, ep
     bias = float(np.log(share / (1 - share)))
     w, v = np.zeros(1 << bits, np.float32), np.zeros((1 << bits, rank), np.float32)
     if len(set(y.tolist())) < 2:
-        return Machine(bias, w, v, bits)
+        return Machine(bias, w, v, bits, fitted=False)
     n1, n0, p = y.sum(), len(y) - y.sum(), seen / len(y)
     z = (toxic / n1 - (seen - toxic) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
     telling = (seen >= least_docs) & (np.abs(z) >= least_z)

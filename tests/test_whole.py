@@ -1,6 +1,7 @@
 """Bound queries over whole tables: SQL without bounds on ids or rows, where the catalogue's SQL has such a bound."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_oracle import duck, plain
 
 from rollcall.functions import text
@@ -159,3 +160,23 @@ def test_simhash_stage_keeps_unrelated_texts_of_one_id(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted(((r["doc_id"], r["text"]) for r in pipeline.simhash_near_dedup(spark, docs, str(tmp_path)).collect()), key=repr)
     assert kept == sorted({x for x in rows if x != (7, long + " end")}, key=repr)
+
+
+def test_sample_passes_over_what_does_not_fit(spark):
+    """However large one text is, all that fit beside it are used."""
+    from rollcall.llm.hashing import fold_of, labelled_sample
+
+    ids = [r["doc_id"] for r in spark.range(60).toDF("doc_id").where(fold_of(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    for large in (ids[0], ids[5]):
+        docs = spark.createDataFrame([(i, "x" * (10_000 if i == large else 10)) for i in ids], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+        assert len(list(labelled_sample(docs, labels, "toxic", 100, 1000))) == len(ids) - 1
+
+
+def test_toxicity_stage_without_both_labels_keeps_all(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    for k, rows in enumerate(([], [(i, 1, 1) for i in range(20)])):
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        assert pipeline.toxicity(spark, docs, f"{tmp_path}/{k}").count() == 20
