@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_or_last, parse_date
+from ..sources.scratch import materialize
 
 
 def lookup(df: DataFrame, column: str, value) -> DataFrame:
@@ -57,30 +58,35 @@ def every_nth(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return numbered(df, order, "__pos").where(F.col("__pos") % n == 0).drop("__pos")
 
 
+def _ranged(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df dealt by ranges of order and sorted, with its range (__part) and place in it (__at), written once: whatever reads
+    it sees the same ranges, which Spark would otherwise draw anew from a sample for each branch of a plan."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return materialize(ranged.withColumns({"__part": F.spark_partition_id(), "__at": at}), name)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with its positions (from 0) in a total order, without a single sorting task.
 
-    Rows are dealt by ranges; each partition numbers its own, and the counts of those before it are added. The counts are
-    one row per partition.
+    Rows are dealt by ranges and written; each range numbers its own, and the counts of those before it (a row per range)
+    are added. df is computed once, when this is called.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
-    local = ranged.withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    local = _ranged(df, order, "numbered")
     counts = local.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return local.join(F.broadcast(before), "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__id", "__at", "__before")
+    return local.join(F.broadcast(before), "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
 
 
 def running_total(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
     """df with the sum of value over all rows up to each one in a total order, without a single task over the table: sums
-    run within range partitions, and the totals of the partitions before (a row each) are added."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("__v", value).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    local = ranged.withColumn("__local", F.sum("__v").over(Window.partitionBy("__part").orderBy(*order)))
+    run within ranges that are written once, and the totals of the ranges before (a row each) are added."""
+    ranged = _ranged(df.withColumn("__v", value), order, "running-total")
+    local = ranged.withColumn("__local", F.sum("__v").over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)))
     totals = ranged.groupBy("__part").agg(F.sum("__v").alias("__t"))
     before = totals.select("__part", (F.sum("__t").over(Window.orderBy("__part")) - F.col("__t")).alias("__before"))
-    return local.join(F.broadcast(before), "__part").withColumn(name, F.col("__local") + F.col("__before")).drop("__v", "__part", "__local", "__before")
+    return local.join(F.broadcast(before), "__part").withColumn(name, F.col("__local") + F.coalesce("__before", F.lit(0))).drop("__v", "__part", "__at", "__local", "__before")
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0, strata: str | None = None) -> DataFrame:

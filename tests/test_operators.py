@@ -44,6 +44,26 @@ def test_numbers_over_ranges(spark):
     assert relational.every_nth(df, [F.col("v")], 10).count() == 100
 
 
+@pytest.mark.parametrize("parts", [2, 4, 8, 211])
+def test_numbers_and_sums_with_further_columns(spark, parts):
+    """More rows than a range sample holds, and columns beside the order, so that the branches read different columns."""
+    n = 20_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("v"), F.lit("x").alias("other"), (F.col("id") % 7).alias("k"))
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = relational.numbered(df, [F.desc("v")], "pos").where(F.col("pos") != n - 1 - F.col("v"))
+        assert got.count() == 0
+        want = [0] * n
+        for i in range(n):
+            want[i * 7919 % n] = i % 7
+        for i in range(1, n):
+            want[i] += want[i - 1]
+        sums = relational.running_total(df, [F.col("v")], F.col("k"), "upto").collect()
+        assert len(sums) == n and all(r["upto"] == want[r["v"]] for r in sums)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id long, v double")
     assert relational.every_nth(none, [F.col("id")], 3).count() == 0
