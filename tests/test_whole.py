@@ -1,43 +1,14 @@
-"""Bound queries over whole tables: SQL without bounds on ids or rows, where the catalogue's SQL has such a bound."""
+"""Bound queries over whole tables: no bound on ids or rows, shown on tables larger than any such bound."""
 
 import pytest
-from pyspark.sql import functions as F
-from test_oracle import duck, plain
+from test_oracle import duck
 
-from rollcall.functions import text
 from rollcall.operators import graph, ml
 from rollcall.plans import catalog_views
-from rollcall.plans.bindings import with_views
 from rollcall.plans.catalog import QUERIES
 
 assert catalog_views and duck  # one adds to the catalogue, the other is a fixture
 
-WHOLE = {
-    "g15_slip_features": with_views("slips") + " select bill_id, count(*) total, count(*) filter (position = 'Proponent') / greatest(count(*), 1)::double pro_ratio, count(distinct organization) organizations from slips group by 1",
-    "g21_coalition_profiles": with_views("members", "casts") + """, v as (select *, member_id % 4 coalition_id from casts where vote in ('Y','N')), e as (select coalition_id, event_id, greatest(count(*) filter (vote = 'Y'), count(*) filter (vote = 'N')) / count(*)::double x from v group by all),
- k as (select coalition_id, round(avg(x), 9) cohesion from e group by 1) select coalition_id, count(*) votes, round(count(*) filter (vote = 'Y') / count(*)::double, 9) yes_rate, any_value(cohesion) cohesion from v join k using (coalition_id) group by 1""",
-    "j15_zip_to_member": "select c_custkey zip, senator from customer left join (select s_nationkey, min(s_suppkey) senator from supplier where s_suppkey % 2 = 0 group by 1) on s_nationkey = c_nationkey",
-    "e2_resolve_names": with_views("members") + " select name, chamber, member_id, 'exact' as method, 1.0::double confidence from members",
-    "g39_resolution_methods": "select case when c_custkey % 5 = 0 then 'non_member' else 'exact' end as method, count(*) n from customer group by 1",
-    "c16_clean_text": f"with c as (select doc_id, trim(regexp_replace(text, '{text.WHITE}+', ' ', 'g'), ' ') t from documents) select doc_id, split_part(t, ' ', 1) first_word, length(t)::int n from c",
-    "j5_weighted_pairs_capped": "with d as (select distinct l_orderkey g, l_suppkey n from lineitem), k as (select g from d group by g having count(*) between 2 and 40) select x.n a, y.n b, count(*) weight from d x join d y using (g) join k using (g) where x.n < y.n group by all",
-    "c20_scaling": "select c_custkey, round(least(c_acctbal / (select max(c_acctbal) from customer), 1.0), 9) share, round((c_acctbal - (select min(c_acctbal) from customer)) / ((select max(c_acctbal) from customer) - (select min(c_acctbal) from customer)), 9) scaled from customer",
-}
-
-
-def rows_of(df) -> list:
-    columns = sorted(df.columns)
-    return sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole(spark, sf, duck, name):
-    cur = duck.execute(WHOLE[name])
-    names = [x[0] for x in cur.description]
-    want = sorted((tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in cur.fetchall()), key=repr)
-    assert want and rows_of(QUERIES[name](spark, sf)) == want
-
-
 def test_slips_and_zips_of_large_ids(spark, tmp_path):
     """More events and zips than the ids that were once read: none goes missing."""
     spark.range(6000).selectExpr("id event_id", "id % 40 user_id", "'click' event_type", "1.0D value").write.parquet(f"{tmp_path}/events.parquet")
@@ -149,34 +120,3 @@ def test_model_queries(spark, sf):
     assert {r["model"] for r in QUERIES["m6_model_comparison"](spark, sf).collect()} == {"boosting", "forest", "logistic"}
     best = QUERIES["m7_tuned_depth"](spark, sf).collect()
     assert len(best) == 1 and best[0]["depth"] in (2, 3, 4)
-
-
-def test_simhash_stage_keeps_unrelated_texts_of_one_id(spark, tmp_path):
-    """An id with two clean texts keeps both; where one is a near copy of a smaller id, that one goes; a repeated row stays once."""
-    import corpus_pipeline as pipeline
-
-    long = " ".join(f"w{i * i}" for i in range(400))
-    rows = [(5, "one text about rivers and lakes"), (5, "quite another on trains, tickets and timetables"), (1, long), (7, long + " end"), (7, "a third subject: bread, ovens and flour"), (8, "said twice in the same words"), (8, "said twice in the same words"), (None, "no id here"), (None, "no id here")]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = sorted(((r["doc_id"], r["text"]) for r in pipeline.simhash_near_dedup(spark, docs, str(tmp_path)).collect()), key=repr)
-    assert kept == sorted({x for x in rows if x != (7, long + " end")}, key=repr)
-
-
-def test_sample_passes_over_what_does_not_fit(spark):
-    """However large one text is, all that fit beside it are used."""
-    from rollcall.llm.hashing import fold_of, labelled_sample
-
-    ids = [r["doc_id"] for r in spark.range(60).toDF("doc_id").where(fold_of(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
-    for large in (ids[0], ids[5]):
-        docs = spark.createDataFrame([(i, "x" * (10_000 if i == large else 10)) for i in ids], "doc_id long, text string")
-        labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
-        assert len(list(labelled_sample(docs, labels, "toxic", 100, 1000))) == len(ids) - 1
-
-
-def test_toxicity_stage_without_both_labels_keeps_all(spark, tmp_path):
-    import corpus_pipeline as pipeline
-
-    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
-    for k, rows in enumerate(([], [(i, 1, 1) for i in range(20)])):
-        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
-        assert pipeline.toxicity(spark, docs, f"{tmp_path}/{k}").count() == 20
