@@ -42,13 +42,16 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"), passage=200, least_words=50)
+    covered = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
         "doc_id",
         "n_bytes",
-        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        covered("spans").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("passages").cast("long").alias("n_passages"),
+        covered("passages").alias("n_passage_bytes"),
     )
 
 

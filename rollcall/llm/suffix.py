@@ -4,17 +4,20 @@ Every string of `length` bytes that occurs twice is found like this:
 
 1. Each document is cut into runs of window starts that share a minimizer: the least hash of `gram` bytes inside the
    window of `length` bytes. Equal windows have equal minimizers at equal places, so they lie in runs of one group (the
-   hash of the minimizer's bytes). A run's context is its bytes from its first window's start to its last window's end.
-2. Runs with equal contexts repeat each other throughout. Groups that hold several different contexts go on, each
-   context once.
-3. The contexts of such groups are brought together, and a suffix array over them, built by two-stage sorting, puts equal
-   windows next to each other: adjacent common prefixes of `length` bytes or more are repeats.
-4. Groups of more than `cap` contexts (a common passage in ever new surroundings) don't fit into one task: their windows
-   are counted by hash instead, with partial aggregation.
+   minimizer's hash). A run's context is its bytes from its first window's start to its last window's end.
+2. Groups of one run hold no repeat. The contexts of all others are brought together group by group. Equal ones are found
+   by their bytes and go on once; a suffix array over the different ones, built by two-stage sorting, puts equal windows
+   next to each other: adjacent common prefixes of `length` bytes or more are repeats.
+3. A group of more than `cap` runs is first dealt by content, copies of one context over many tasks, so that each context
+   stays a few times. If it is still too wide (a common passage in ever new surroundings), its runs are cut finer, by a
+   second minimizer away from the first, and in the end into single windows. All of them are compared as bytes.
+
+Hashes only say what has to be compared: no byte goes because hashes agree.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, partitions, slices, texts
 
@@ -59,18 +63,24 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs_of(flat: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, minimizer) of the runs in documents laid end to end (ends: where each ends)."""
+def places_of(h: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of the width hashes from each position on is, the first one of equal ones."""
+    low = np.uint64((1 << POSITION_BITS) - 1)
+    return (sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), width) & low).astype(np.int64)
+
+
+def mixed(h: np.ndarray, by: int = 0xD6E8FEB86659FD93) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(by)
+    return h ^ (h >> np.uint64(29))
+
+
+def runs_of(flat: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, last start, minimizer, its hash) of the runs in documents laid end to end (ends: where each ends)."""
     none = np.zeros(0, np.int64)
-    width = length - gram + 1
     if len(flat) < length:
-        return none, none, none
-    h = window_hashes(flat, gram)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    low = np.uint64((1 << POSITION_BITS) - 1)
-    key = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # equal hashes: the first one
-    place = (sliding_min(key, width) & low).astype(np.int64)
+        return none, none, none, none.view(np.uint64)
+    h = mixed(window_hashes(flat, gram))
+    place = places_of(h, length - gram + 1)
     n = len(place)
     fits = np.zeros(n + 1, np.int32)
     starts = np.concatenate([[0], ends[:-1]])
@@ -85,7 +95,8 @@ def runs_of(flat: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     first = np.flatnonzero(change)
     last = np.append(first[1:], n) - 1
     good = fits[first]
-    return first[good], last[good], place[first[good]]
+    at = place[first[good]]
+    return first[good], last[good], at, h[at]
 
 
 def suffix_types(text: np.ndarray) -> np.ndarray:
@@ -259,8 +270,8 @@ def intervals(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """The runs of all documents: d, th, a, b, p, h (group), c (context) and sure: 0 for one to compare, 1 for a repeat
-    within its batch, of which one (2) is compared for all."""
+    """The runs of all documents: d, th, a, b, p (the minimizer), h (its hash) and sure. Neighbouring runs of equal bytes,
+    as in periodic texts, repeat each other: the first of them (2) is compared for all, the others (1) are not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -274,107 +285,65 @@ def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for x in range(0, len(flat), PART):  # one part but for texts of megabytes
                 stop = min(len(flat), x + PART + length - 1)
                 cuts = np.unique(np.clip(ends, x, stop)) - x
-                a, b, p = (v + x for v in runs_of(flat[x:stop], cuts[cuts > 0], length, gram))
+                a, b, p, h = runs_of(flat[x:stop], cuts[cuts > 0], length, gram)
                 if len(a):
-                    yield judged(whole, d, th, ends, a, b, p)
-
-    def judged(whole: bytes, d: np.ndarray, th: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-        view, digest = memoryview(whole), xxhash.xxh3_64_intdigest
-        h = np.array([digest(view[i : i + gram], 1) for i in p.tolist()], np.uint64).view(np.int64)
-        c = np.array([digest(view[i : j + length], k) for i, j, k in zip(a.tolist(), b.tolist(), (p - a).tolist(), strict=True)], np.uint64).view(np.int64)
-        order = np.lexsort((c, h))
-        new = np.append(True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1]))
-        last = np.append(new[1:], True)
-        sure = np.zeros(len(a), np.int8)
-        sure[order[~(new & last)]] = 1
-        sure[order[new & ~last]] = 2
+                    yield judged(whole, d, th, ends, a + x, b + x, p + x, h.view(np.int64))
+
+    def judged(whole: bytes, d: np.ndarray, th: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
         doc = np.searchsorted(ends, a, side="right")
-        # sure runs that touch, as in long monotonous texts, become one
+        view, sure = memoryview(whole), np.zeros(len(a), np.int8)
+        alike = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (b[1:] - a[1:] == b[:-1] - a[:-1]) & (p[1:] - a[1:] == p[:-1] - a[:-1])
+        for i in np.flatnonzero(alike).tolist():
+            if view[a[i] : b[i] + length] == view[a[i + 1] : b[i + 1] + length]:
+                sure[i] = sure[i] or 2
+                sure[i + 1] = 1
+        # sure runs that touch become one
         touch = np.append(False, (sure[1:] == 1) & (sure[:-1] == 1) & (doc[1:] == doc[:-1]) & (a[1:] <= b[:-1] + 1))
         first = np.flatnonzero(~touch)
         b = np.maximum.reduceat(b, first)
-        a, p, h, c, sure, doc = (v[first] for v in (a, p, h, c, sure, doc))
+        a, p, h, sure, doc = (v[first] for v in (a, p, h, sure, doc))
         begin = np.concatenate([[0], ends[:-1]])[doc]
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (d[doc], th[doc], a - begin, b - begin, p - begin, h, c, sure)], names=["d", "th", "a", "b", "p", "h", "c", "sure"])
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (d[doc], th[doc], a - begin, b - begin, p - begin, h, sure)], names=["d", "th", "a", "b", "p", "h", "sure"])
 
-    return docs.mapInArrow(run, "d long, th long, a long, b long, p long, h long, c long, sure byte")
+    return docs.mapInArrow(run, "d long, th long, a long, b long, p long, h long, sure byte")
 
 
-def compare_runs(runs: DataFrame) -> DataFrame:
-    """Reads the runs group by group, context by context, and reports with kind 1 the runs whose context repeats, with
-    kind 2 a run of each context of a group of several (of kind 3 if its context repeats, so that it needs no answer)."""
-    rows = runs.where("sure <> 1").select("h", "c", "d", "th", "a", "b", "p", "sure").repartition(partitions(runs.sparkSession), "h").sortWithinPartitions("h", "c")
+CONTEXTS = "h long, d long, th long, a long, b long, o long, n long, known boolean, bytes binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the rows of the last group of a batch, cut down to what still matters
-        for batch in batches:
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            h = batch.column("h").to_numpy()
-            cut = int(np.searchsorted(h == h[-1], True)) if len(h) else 0
-            yield from judge(batch.slice(0, cut))
-            held = batch.slice(cut)
-            if held.num_rows > 50_000:  # a very frequent group: all but one row of each context can go ahead
-                more, held = shorten(held)
-                yield from more
-        if held is not None and held.num_rows:
-            yield from judge(held)
-
-    def shorten(batch: pa.RecordBatch) -> tuple[list[pa.RecordBatch], pa.RecordBatch]:
-        c = batch.column("c").to_numpy()
-        new = np.append(True, c[1:] != c[:-1])
-        many = ~(new & np.append(new[1:], True))
-        out = report(batch, np.flatnonzero(many & ~new), 1)
-        sure = np.where(many & new, 2, batch.column("sure").to_numpy()).astype(np.int8)
-        kept = batch.set_column(batch.schema.get_field_index("sure"), "sure", pa.array(sure)).take(pa.array(np.flatnonzero(new)))
-        return [out], kept
-
-    def judge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not batch.num_rows:
-            return
-        h, c, sure = (batch.column(k).to_numpy() for k in ("h", "c", "sure"))
-        fresh = np.append(True, h[1:] != h[:-1])
-        new = np.append(True, (c[1:] != c[:-1])) | fresh
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(h)))
-        twice = (count > 1) | np.maximum.reduceat(sure == 2, first)
-        yield report(batch, np.flatnonzero(np.repeat(twice, count)), 1)
-        contexts = np.add.reduceat(new.astype(np.int64), np.flatnonzero(fresh))
-        several = np.repeat(contexts > 1, np.diff(np.append(np.flatnonzero(fresh), len(h))))[first]
-        yield report(batch, first[several & ~twice], 2)
-        yield report(batch, first[several & twice], 3)
-
-    def report(batch: pa.RecordBatch, rows: np.ndarray, kind: int) -> pa.RecordBatch:
-        out = batch.take(pa.array(rows))
-        return pa.RecordBatch.from_arrays([*(out.column(k) for k in ("d", "th", "a", "b", "p", "h")), pa.array(np.full(len(rows), kind, np.int8))], names=["d", "th", "a", "b", "p", "h", "kind"])
-
-    return rows.mapInArrow(run, "d long, th long, a long, b long, p long, h long, kind byte")
-
-
-def compare_contexts(asked: DataFrame, docs: DataFrame, length: int, cap: int, shard_bytes: int) -> DataFrame:
-    """Windows repeated between the different contexts of a group, as SPANS of window starts."""
-    wide = asked.groupBy("h").count().where(F.col("count") > cap).select("h", F.lit(True).alias("wide"))
-    # without such groups, which is the rule, the join would only gather the requests of frequent ones
-    asked = asked.withColumn("wide", F.lit(False)) if wide.isEmpty() else asked.join(wide, "h", "left")
-    asked = asked.select("d", "th", F.struct("a", "b", "h", (F.col("kind") == 3).alias("known"), F.coalesce("wide", F.lit(False)).alias("wide")).alias("r"))
-    asked = asked.groupBy("d", "th").agg(F.collect_list("r").alias("rs"))
+
+def context_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 7 + [pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "d", "th", "a", "b", "o", "n", "known", "bytes"])
+
+
+def span_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["d", "th", "a", "b"])
+
+
+def contexts_of(asked: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """The contexts of the runs asked for (h, d, th, a, b, p, n, known): CONTEXTS, o being the minimizer's place in it."""
+    asked = asked.groupBy("d", "th").agg(F.collect_set(F.struct("a", "b", "p", "h", "n", "known")).alias("rs"))
     held = docs.join(asked, ["d", "th"]).select("d", "th", "text", "rs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            rows, seen = [], set()
+            rows = []
             for d, th, raw, rs in zip(batch.column("d").to_pylist(), batch.column("th").to_pylist(), texts(batch.column("text")), batch.column("rs").to_pylist(), strict=True):
-                if (d, th) in seen:
-                    continue
-                seen.add((d, th))
-                rows += [(r["h"], d, th, r["a"], r["b"], r["known"], r["wide"], raw[r["a"] : r["b"] + length]) for r in rs]
+                for r in rs:
+                    rows.append((r["h"], d, th, r["a"], r["b"], r["p"] - r["a"], r["n"], r["known"], raw[r["a"] : r["b"] + length]))
+                    if len(rows) == 20_000:
+                        yield context_batch(rows)
+                        rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["h", "d", "th", "a", "b", "known", "wide", "bytes"])
+                yield context_batch(rows)
+
+    return held.mapInArrow(cut, CONTEXTS)
 
-    contexts = held.mapInArrow(cut, "h long, d long, th long, a long, b long, known boolean, wide boolean, bytes binary")
-    contexts = materialize(contexts, "contexts")
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compare_groups(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """Windows repeated among the contexts of a group, as SPANS of window starts; groups are brought together here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         size, last = 0, None
         for batch in batches:
@@ -389,66 +358,197 @@ def compare_contexts(asked: DataFrame, docs: DataFrame, length: int, cap: int, s
             yield from answer(rows)
 
     def answer(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        starts = repeated_starts([r["bytes"] for r in rows], [r["b"] - r["a"] + 1 for r in rows], length)
+        numbers: dict[tuple[int, bytes], int] = {}
+        which = [numbers.setdefault((r["h"], r["bytes"]), len(numbers)) for r in rows]
+        copies = np.bincount(which, minlength=len(numbers))
+        different = Counter(h for h, _ in numbers)
+        asked = [(i, x) for i, (h, x) in enumerate(numbers) if different[h] > 1]
+        starts = dict(zip((i for i, _ in asked), repeated_starts([x for _, x in asked], [len(x) - length + 1 for _, x in asked], length), strict=True)) if asked else {}
         out = []
-        for r, s in zip(rows, starts, strict=True):
-            if len(s) and not r["known"]:
-                out += [(r["d"], r["th"], r["a"] + i, r["a"] + j) for i, j in zip(*(x.tolist() for x in intervals(s)), strict=True)]
+        for r, k in zip(rows, which, strict=True):
+            if r["known"]:
+                continue
+            if copies[k] > 1:
+                out.append((r["d"], r["th"], r["a"], r["b"]))
+            elif k in starts:
+                out += [(r["d"], r["th"], r["a"] + i, r["a"] + j) for i, j in zip(*(x.tolist() for x in intervals(starts[k])), strict=True)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["d", "th", "a", "b"])
+            yield span_batch(out)
+
+    rows = contexts.select("h", "d", "th", "a", "b", "known", "bytes")
+    return rows.repartition(partitions(contexts.sparkSession), "h").sortWithinPartitions("h").mapInArrow(run, SPANS)
+
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+def drop_copies(contexts: DataFrame) -> DataFrame:
+    """CONTEXTS and told. Equal contexts of a group, dealt by content and at random over about the root of the group's size,
+    are compared as bytes. All but one that meet are told to be repeats and need no more; that one goes on, known."""
+    salt = F.pmod(F.xxhash64("d", "th", "a", F.lit(23)), F.ceil(F.sqrt("n")).cast("long"))
+    dealt = contexts.withColumns({"key": F.xxhash64("bytes"), "salt": salt}).repartition(partitions(contexts.sparkSession), "h", "key", "salt").sortWithinPartitions("h", "key", "salt")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, firsts = None, []
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                rows = batch.slice(i, 500).to_pylist()
-                n = [r["b"] - r["a"] + 1 for r in rows]
-                w = np.array([digest(memoryview(r["bytes"])[s : s + length]) for r, k in zip(rows, n, strict=True) for s in range(k)], np.uint64).view(np.int64)
-                at = np.concatenate([np.arange(r["a"], r["b"] + 1) for r in rows])
-                yield pa.RecordBatch.from_arrays([pa.array(w), *(pa.array(np.repeat(np.array([r[k] for r in rows]), n)) for k in ("d", "th")), pa.array(at), pa.array(np.repeat(np.array([r["known"] for r in rows]), n))], names=["w", "d", "th", "s", "known"])
+            out = []
+            for r in batch.to_pylist():
+                if group != (r["h"], r["key"], r["salt"]):
+                    out += [(x, False) for x in firsts]
+                    group, firsts = (r["h"], r["key"], r["salt"]), []
+                first = next((x for x in firsts if x["bytes"] == r["bytes"]), None)
+                if first is None:
+                    firsts.append(r)
+                    continue
+                if not first["known"]:
+                    out.append((dict(first), True))
+                    first["known"] = True
+                if not r["known"]:
+                    out.append((r, True))
+            if out:
+                yield told(out)
+        if firsts:
+            yield told([(x, False) for x in firsts])
+
+    def told(rows: list[tuple[dict, bool]]) -> pa.RecordBatch:
+        fields = ("h", "d", "th", "a", "b", "o", "n", "known")
+        batch = context_batch([(*(r[k] for k in fields), b"" if done else r["bytes"]) for r, done in rows])
+        return batch.append_column("told", pa.array([done for _, done in rows]))
+
+    return dealt.mapInArrow(run, f"{CONTEXTS}, told boolean")
+
 
-    narrow = contexts.where("not wide").repartition(partitions(docs.sparkSession), "h").sortWithinPartitions("h").mapInArrow(sort, SPANS)
-    each = contexts.where("wide").mapInArrow(windows, "w long, d long, th long, s long, known boolean")
-    counted = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    broad = each.where("not known").join(counted, "w").select("d", "th", F.col("s").alias("a"), F.col("s").alias("b"))
-    return narrow.unionByName(broad)
+def cut_finer(contexts: DataFrame, length: int, gram: int, single: bool, fine: int = 16) -> DataFrame:
+    """CONTEXTS of shorter runs: of windows that share a second minimizer, of fine bytes clear of the first one of gram
+    bytes, or of single windows. Equal windows still meet."""
+    width = length - fine + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                x, span = r["bytes"], len(r["bytes"]) - length + 1
+                if single:
+                    first, h, o = np.arange(span), [xxhash.xxh3_64_intdigest(x[i : i + length]) for i in range(span)], np.zeros(span, np.int64)
+                else:
+                    key = mixed(window_hashes(np.frombuffer(x, np.uint8), fine), 0xA24BAED4963EE407)
+                    key[max(0, r["o"] - fine + 1) : r["o"] + gram] = np.uint64(2**64 - 1)
+                    place = places_of(key, width)
+                    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+                    o = place[first] - first
+                    h = mixed(key[place[first]] ^ np.uint64(r["h"] & (2**64 - 1))).tolist()
+                last = np.append(first[1:], span) - 1
+                for i, j, k, at in zip(first.tolist(), last.tolist(), h, o.tolist(), strict=True):
+                    rows.append((k - (1 << 64) if k >> 63 else k, r["d"], r["th"], r["a"] + i, r["a"] + j, at, r["n"], r["known"], x[i : j + length]))
+                    if len(rows) == 10_000:
+                        yield context_batch(rows)
+                        rows = []
+            if rows:
+                yield context_batch(rows)
+
+    return contexts.select(*(c.split()[0] for c in CONTEXTS.split(", "))).mapInArrow(run, CONTEXTS)
+
+
+def repeated_spans(docs: DataFrame, length: int, gram: int, cap: int, shard_bytes: int) -> DataFrame:
+    """SPANS of the window starts of docs (d, th, text) whose window of length bytes also starts in another place."""
+    runs = materialize(find_runs(docs, length, gram), "runs")
+    open_runs = runs.where("sure <> 1")
+    sizes = open_runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    asked = open_runs.join(sizes, "h").select("h", "d", "th", "a", "b", "p", "n", (F.col("sure") == 2).alias("known"))
+    contexts = materialize(contexts_of(asked, docs, length), "contexts")
+    spans = runs.where("sure > 0").select("d", "th", "a", "b").unionByName(compare_groups(contexts.where(F.col("n") <= cap), length, shard_bytes))
+    wide = contexts.where(F.col("n") > cap)
+    for single in (False, True, None):
+        if wide.isEmpty():
+            break
+        told = materialize(drop_copies(wide), "contexts-once")
+        rest = told.where("not told").drop("told", "n")
+        rest = rest.join(rest.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
+        narrow = rest if single is None else rest.where(F.col("n") <= cap)
+        spans = spans.unionByName(told.where("told").select("d", "th", "a", "b")).unionByName(compare_groups(narrow, length, shard_bytes))
+        if single is not None:
+            wide = materialize(cut_finer(rest.where(F.col("n") > cap), length, gram, single), "contexts-cut")
+    return spans
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), length: int = 400, gram: int = 128, cap: int = 4096, shard_bytes: int = 2 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), length: int = 400, gram: int = 128, least_words: int = 0, always: int | None = None, passage: int | None = None, cap: int = 512, shard_bytes: int = 2 << 20) -> DataFrame:
     """The columns of keep, n_bytes, spans (array of start and end of the maximal removed runs) and kept (the other bytes).
 
     A byte goes if some string of length bytes over it also starts anywhere else in the texts, in the same one included;
-    strings overlap freely and are judged on the input. Texts are UTF-8 bytes, null is empty. Repeated rows repeat each
-    other. Other columns don't matter; an empty table gives no rows. gram is a power of two below length.
+    strings overlap freely and are judged on the input. Texts are UTF-8 bytes or binary, null is empty. Repeated rows
+    repeat each other. Other columns don't matter, and those of keep may have any name but n_bytes, spans, kept and
+    passages, which raise; an empty table gives no rows. gram is a power of two below length.
 
-    Memory per task: a batch of about a megabyte of text or one longer text, one shard of contexts, or the rows of one
-    group cut down to its contexts. Contexts are compared as a hash of 64 bits within groups of another 64 bits.
+    With least_words a maximal run of so many words or fewer stays, unless it has always bytes or more. With passage,
+    a shorter length, there is a further column passages: the maximal runs of repeats of passage bytes that have over
+    least_words words or length bytes; spans and kept aren't changed by it. Repeats of length bytes lie inside repeats of
+    passage bytes, so they are then looked for in those alone.
+
+    Memory per task: a batch of about a megabyte of text or one longer text, the runs of one document, or one shard of
+    contexts.
     """
-    base = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.withColumns({"th": F.xxhash64("text"), "d": F.xxhash64(*keep, F.lit(3)) if keep else F.lit(0).cast("long")})
+    if taken := {"n_bytes", "spans", "kept", "passages"} & set(keep):
+        raise ValueError(f"columns of the result can't be kept: {sorted(taken)}")
+    if always is None:
+        always = length
+    base = docs.select(F.struct(*keep).alias("keep") if keep else F.struct(F.lit(0)).alias("keep"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    base = base.withColumns({"th": F.xxhash64("text"), "d": F.xxhash64("keep", F.lit(3))})
     keyed = base.select("d", "th", "text")
-    runs = materialize(find_runs(keyed, length, gram), "runs")
-    compared = materialize(compare_runs(runs), "compared-runs")
-    found = compare_contexts(compared.where("kind > 1"), keyed, length, cap, shard_bytes)
-    spans = runs.where("sure > 0").select("d", "th", "a", "b").unionByName(compared.where("kind = 1").select("d", "th", "a", "b")).unionByName(found)
-    spans = spans.groupBy("d", "th").agg(F.collect_list(F.struct("a", "b")).alias("hits"))
-    joined = base.join(spans, ["d", "th"], "left").select(*keep, F.col("text").alias("__text"), F.col("hits").alias("__hits"))
-    schema = docs.select(*keep, F.lit(0).cast("long").alias("n_bytes"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).alias("spans"), F.lit(b"").alias("kept")).schema
+    if passage is None:
+        hits = repeated_spans(keyed, length, gram, cap, shard_bytes).withColumn("k", F.lit(0))
+    else:
+        short = materialize(repeated_spans(keyed, passage, min(gram, 1 << (passage // 3).bit_length() - 1), cap, shard_bytes), "passages")
+        parts = repeats_within(keyed, short, passage, length)
+        long = repeated_spans(parts.select("d", "th", "text"), length, gram, cap, shard_bytes)
+        where = parts.select("d", "th", F.col("doc_d"), F.col("doc_th"), "start").dropDuplicates(["d", "th"])
+        long = long.join(where, ["d", "th"]).select(F.col("doc_d").alias("d"), F.col("doc_th").alias("th"), (F.col("a") + F.col("start")).alias("a"), (F.col("b") + F.col("start")).alias("b"))
+        hits = long.withColumn("k", F.lit(0)).unionByName(short.withColumn("k", F.lit(1)))
+    hits = hits.groupBy("d", "th").agg(F.collect_set(F.struct("k", "a", "b")).alias("hits"))
+    joined = base.join(hits, ["d", "th"], "left").select("keep", "text", "hits")
+    span = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
+    schema = joined.select("keep").schema.add("n_bytes", "long").add("spans", span).add("kept", "binary").add("passages", span)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in slices(batches, "text", 4 << 20):
+            raw, spans, kept, passages = texts(batch.column("text")), [], [], []
+            for x, found in zip(raw, batch.column("hits").to_pylist(), strict=True):
+                cut = [merged([(h["a"], h["b"] + size) for h in found or () if h["k"] == k]) for k, size in ((0, length), (1, passage or 0))]
+                enough = [(a, b) for a, b in cut[0 if passage is None else 1] if not least_words or b - a >= always or len(x[a:b].split()) > least_words]
+                if passage is None:
+                    cut[0] = enough
+                edges = [0, *(v for s in cut[0] for v in s), len(x)]
+                kept.append(b"".join(x[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if cut[0] else x)
+                spans.append([{"start": a, "end": b} for a, b in cut[0]])
+                passages.append([{"start": a, "end": b} for a, b in enough])
+            yield pa.RecordBatch.from_arrays([batch.column("keep"), pa.array([len(x) for x in raw], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(passages, kind)], names=["keep", "n_bytes", "spans", "kept", "passages"])
+
+    out = joined.mapInArrow(run, schema)
+    columns = [*(F.col("keep")[c].alias(c) for c in keep), "n_bytes", "spans", "kept"]
+    return out.select(*columns) if passage is None else out.select(*columns, "passages")
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching (start, end) as maximal ones, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def repeats_within(docs: DataFrame, short: DataFrame, passage: int, length: int) -> DataFrame:
+    """The maximal repeated runs of passage bytes and more that have length bytes or more, as texts of their own: d, th and
+    text, and where they are from (doc_d, doc_th, start)."""
+    asked = short.groupBy("d", "th").agg(F.collect_set(F.struct("a", "b")).alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", 4 << 20):
-            raw, all_spans, kept = texts(batch.column("__text")), [], []
-            for x, hits in zip(raw, batch.column("__hits").to_pylist(), strict=True):
-                merged: list[list[int]] = []
-                for a, b in sorted((h["a"], h["b"] + length) for h in hits or ()):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
-                edges = [0, *(v for s in merged for v in s), len(x)]
-                kept.append(b"".join(x[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if merged else x)
-                all_spans.append([{"start": a, "end": b} for a, b in merged])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([len(x) for x in raw], pa.int64()), pa.array(all_spans, kind), pa.array(kept, pa.binary())], names=[*keep, "n_bytes", "spans", "kept"])
-
-    return joined.mapInArrow(run, schema)
+        for batch in slices(batches, "text", 2 << 20):
+            rows = []
+            for d, th, x, hits in zip(batch.column("d").to_pylist(), batch.column("th").to_pylist(), texts(batch.column("text")), batch.column("hits").to_pylist(), strict=True):
+                rows += [(d, th, a, x[a:b]) for a, b in merged([(h["a"], h["b"] + passage) for h in hits]) if b - a >= length]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["doc_d", "doc_th", "start", "text"])
+
+    parts = docs.join(asked, ["d", "th"]).select("d", "th", "text", "hits").mapInArrow(run, "doc_d long, doc_th long, start long, text binary")
+    parts = parts.withColumns({"d": F.xxhash64("doc_d", "doc_th", "start"), "th": F.xxhash64("text")})
+    return materialize(parts, "long-passages")

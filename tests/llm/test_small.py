@@ -348,26 +348,87 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("cap", "length", "gram"), [(4096, 40, 16), (1, 40, 16), (4096, 400, 128), (2, 33, 8)])
-def test_suffix_removal(spark, cap, length, gram):
+def runs_in(gone):
+    edges = np.diff(np.concatenate([[0], gone.astype(int), [0]]))
+    return list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
+
+
+def suffix_texts(length, gram):
     rng = np.random.default_rng(length)
     fresh = lambda n: "".join(rng.choice(list("abcdefgh ä"), n))
     shared, edge = fresh(3 * length), fresh(length - 1)
     exact = "e" + "".join(rng.choice(list("abcdefgh "), length - 1))
     texts = [*TEXTS, shared + fresh(50), fresh(70) + shared, fresh(30) + shared[: length + 5] + fresh(9), edge + fresh(99), fresh(33) + edge, exact + fresh(7), fresh(8) + exact, "ab" * length, fresh(900), "x" * (length + 1), shared]
     texts += [fresh(40) + shared[10 : 10 + gram + 12] + fresh(40) for _ in range(12)]
-    texts += [texts[9]]
+    return [*texts, texts[9]]
+
+
+@pytest.mark.parametrize(("cap", "length", "gram"), [(512, 40, 16), (1, 40, 16), (512, 400, 128), (2, 33, 8), (3, 200, 64)])
+def test_suffix_removal(spark, cap, length, gram):
+    texts = suffix_texts(length, gram)
     docs = table(spark, texts)
     got = {r["doc_id"]: r for r in suffix.remove_repeats(docs, length=length, gram=gram, cap=cap, shard_bytes=2000).collect()}
     for i, (gone, kept) in enumerate(brute_removed(texts, length)):
         r = got[i]
         assert (r["n_bytes"], bytes(r["kept"])) == (len(gone), kept), i
-        spans = [(s["start"], s["end"]) for s in r["spans"]]
-        edges = np.diff(np.concatenate([[0], gone.astype(int), [0]]))
-        assert spans == list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
+        assert [(s["start"], s["end"]) for s in r["spans"]] == runs_in(gone)
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cap", [512, 1])
+def test_suffix_passages(spark, cap):
+    """Shorter repeats beside the removed ones: the same spans and bytes, and the passages by words or bytes."""
+    texts = [*suffix_texts(60, 16), "k l m n o p q r s t u v w x y z 1", "9 k l m n o p q r s t u v w x y z"]
+    docs = table(spark, texts)
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(docs, length=60, gram=16, passage=24, least_words=10, cap=cap).collect()}
+    plain = {r["doc_id"]: r for r in suffix.remove_repeats(docs, length=24, gram=8, least_words=10, always=60).collect()}
+    long, short = brute_removed(texts, 60), brute_removed(texts, 24)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        want = [(a, b) for a, b in runs_in(short[i][0]) if b - a >= 60 or len(raw[a:b].split()) > 10]
+        assert bytes(got[i]["kept"]) == long[i][1] and [(s["start"], s["end"]) for s in got[i]["spans"]] == runs_in(long[i][0])
+        assert [(s["start"], s["end"]) for s in got[i]["passages"]] == want == [(s["start"], s["end"]) for s in plain[i]["spans"]]
+        edges = [0, *(v for s in want for v in s), len(raw)]
+        assert bytes(plain[i]["kept"]) == b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
+    assert suffix.remove_repeats(docs.limit(0), passage=200).count() == 0
+
+
+@pytest.mark.parametrize("cap", [512, 20])
+def test_suffix_frequent_passage(spark, cap):
+    """A passage in many new surroundings, and many copies of a text: groups over the cap are cut finer, with no loss."""
+    rng = np.random.default_rng(4)
+    fresh = lambda n: "".join(rng.choice(list("abcdefghij klmno"), n))
+    common, copy = fresh(300), fresh(500)
+    texts = [fresh(90) + common[: 180 + i % 90] + fresh(90) for i in range(150)] + [copy] * 60 + [fresh(50) + copy[i : i + 250] for i in range(40)]
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(table(spark, texts), length=200, gram=64, cap=cap).collect()}
+    for i, (gone, kept) in enumerate(brute_removed(texts, 200)):
+        assert ([(s["start"], s["end"]) for s in got[i]["spans"]], bytes(got[i]["kept"])) == (runs_in(gone), kept), i
+
+
+def test_suffix_does_not_trust_hashes(spark, monkeypatch):
+    """With hashes that agree far too often the result is the same: bytes decide."""
+    texts = suffix_texts(40, 16)
+    docs = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "d long, text string").withColumns({"th": F.xxhash64("text"), "text": F.col("text").cast("binary")})
+    runs = suffix.find_runs(docs, 40, 16).where("sure <> 1").withColumn("h", F.col("h") % 3)
+    sizes = runs.groupBy("h").count().withColumnRenamed("count", "n")
+    contexts = suffix.contexts_of(runs.join(sizes, "h").select("h", "d", "th", "a", "b", "p", "n", (F.col("sure") == 2).alias("known")), docs, 40)
+    spans = suffix.find_runs(docs, 40, 16).where("sure > 0").select("d", "a", "b").unionByName(suffix.compare_groups(contexts, 40, 1 << 20).select("d", "a", "b")).collect()
+    gone = [np.zeros(len((t or "").encode()), bool) for t in texts]
+    for r in spans:
+        gone[r["d"]][r["a"] : r["b"] + 40] = True
+    assert [g.tolist() for g in gone] == [g.tolist() for g, _ in brute_removed(texts, 40)]
+
+
+def test_suffix_clashing_columns(spark):
+    names = ["d", "th", "text", "a", "b", "h", "p", "k", "keep", "hits", "bytes"]
+    rows = [(*range(i, i + len(names)), "same words " * 60) for i in range(3)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names) + ", body string")
+    got = suffix.remove_repeats(df, text="body", keep=tuple(names), passage=200).orderBy("d").collect()
+    assert [tuple(r[n] for n in names) for r in got] == [r[:-1] for r in rows] and all(bytes(r["kept"]) == b"" for r in got)
+    with pytest.raises(ValueError, match="kept"):
+        suffix.remove_repeats(df.withColumnRenamed("d", "kept"), text="body", keep=("kept",))
+
+
 def test_suffix_removal_of_long_texts(spark):
     rng = np.random.default_rng(9)
     long = "".join(rng.choice(list("abcdefghij klmno"), 1_300_000))
@@ -456,10 +517,13 @@ def test_pipeline(spark, sf):
     assert {r[0] for r in after.select("doc_id").collect()} == set(groups.values())
     before, after = seen["suffix_array_dedup"]
     rows = before.orderBy("doc_id").collect()
-    brute = brute_removed([r["text"] for r in rows], 400)
+    brute = brute_removed([r["text"] for r in rows], 200)
     got = {r["doc_id"]: r["text"] for r in after.collect()}
-    for r, (gone, kept) in zip(rows, brute, strict=True):
-        assert got[r["doc_id"]] == kept.decode("utf-8", "ignore")
+    for r, (gone, _) in zip(rows, brute, strict=True):
+        raw = (r["text"] or "").encode()
+        cuts = [(a, b) for a, b in runs_in(gone) if b - a >= 400 or len(raw[a:b].split()) > 50]
+        edges = [0, *(v for c in cuts for v in c), len(raw)]
+        assert got[r["doc_id"]] == b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)).decode("utf-8", "ignore")
     packed = pipeline.STAGES[-1][1](spark, docs, big)
     assert packed.agg(F.sum("length")).first()[0] == sum(len(words(r["text"])) + 1 for r in docs.collect())
 
