@@ -8,9 +8,9 @@ Every string of `length` bytes that occurs twice is found like this:
 2. Groups of one run hold no repeat. The contexts of all others are brought together group by group. Equal ones are found
    by their bytes and go on once; a suffix array over the different ones, built by two-stage sorting, puts equal windows
    next to each other: adjacent common prefixes of `length` bytes or more are repeats.
-3. A group of more than `cap` runs is first dealt by content, copies of one context over many tasks, so that each context
-   stays a few times. If it is still too wide (a common passage in ever new surroundings), its runs are cut finer, by a
-   second minimizer away from the first, and in the end into single windows. All of them are compared as bytes.
+3. A group of more than `cap` runs is first dealt by content, copies of one context over many tasks, until each context
+   stays once. If more than `different` are left (a common passage in ever new surroundings), runs are cut into shorter
+   ones, which are grouped by the bytes that their windows share. All of them are compared as bytes.
 
 Hashes only say what has to be compared: no byte goes because hashes agree.
 """
@@ -19,11 +19,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,8 +70,8 @@ def places_of(h: np.ndarray, width: int) -> np.ndarray:
     return (sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), width) & low).astype(np.int64)
 
 
-def mixed(h: np.ndarray, by: int = 0xD6E8FEB86659FD93) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(by)
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
 
 
@@ -379,10 +380,10 @@ def compare_groups(contexts: DataFrame, length: int, shard_bytes: int) -> DataFr
     return rows.repartition(partitions(contexts.sparkSession), "h").sortWithinPartitions("h").mapInArrow(run, SPANS)
 
 
-def drop_copies(contexts: DataFrame) -> DataFrame:
-    """CONTEXTS and told. Equal contexts of a group, dealt by content and at random over about the root of the group's size,
+def drop_copies(contexts: DataFrame, salted: bool) -> DataFrame:
+    """CONTEXTS and told. Equal contexts of a group, dealt by content, and if salted over about the root of the group's size,
     are compared as bytes. All but one that meet are told to be repeats and need no more; that one goes on, known."""
-    salt = F.pmod(F.xxhash64("d", "th", "a", F.lit(23)), F.ceil(F.sqrt("n")).cast("long"))
+    salt = F.pmod(F.xxhash64("d", "th", "a", F.lit(23)), F.ceil(F.sqrt("n")).cast("long")) if salted else F.lit(0).cast("long")
     dealt = contexts.withColumns({"key": F.xxhash64("bytes"), "salt": salt}).repartition(partitions(contexts.sparkSession), "h", "key", "salt").sortWithinPartitions("h", "key", "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,60 +416,59 @@ def drop_copies(contexts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, f"{CONTEXTS}, told boolean")
 
 
-def cut_finer(contexts: DataFrame, length: int, gram: int, single: bool, fine: int = 16) -> DataFrame:
-    """CONTEXTS of shorter runs: of windows that share a second minimizer, of fine bytes clear of the first one of gram
-    bytes, or of single windows. Equal windows still meet."""
-    width = length - fine + 1
+def cut_finer(contexts: DataFrame, length: int, step: int) -> DataFrame:
+    """CONTEXTS of shorter runs: step neighbouring windows by their distance to the minimizer, in groups by the bytes that
+    these windows share. Equal windows have equal distances and share those bytes, so they still meet; with a step of one
+    only equal windows do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                x, span = r["bytes"], len(r["bytes"]) - length + 1
-                if single:
-                    first, h, o = np.arange(span), [xxhash.xxh3_64_intdigest(x[i : i + length]) for i in range(span)], np.zeros(span, np.int64)
-                else:
-                    key = mixed(window_hashes(np.frombuffer(x, np.uint8), fine), 0xA24BAED4963EE407)
-                    key[max(0, r["o"] - fine + 1) : r["o"] + gram] = np.uint64(2**64 - 1)
-                    place = places_of(key, width)
-                    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-                    o = place[first] - first
-                    h = mixed(key[place[first]] ^ np.uint64(r["h"] & (2**64 - 1))).tolist()
-                last = np.append(first[1:], span) - 1
-                for i, j, k, at in zip(first.tolist(), last.tolist(), h, o.tolist(), strict=True):
-                    rows.append((k - (1 << 64) if k >> 63 else k, r["d"], r["th"], r["a"] + i, r["a"] + j, at, r["n"], r["known"], x[i : j + length]))
-                    if len(rows) == 10_000:
-                        yield context_batch(rows)
-                        rows = []
+                x, span, o = r["bytes"], len(r["bytes"]) - length + 1, r["o"]
+                for k in range((o - span + 1) // step, o // step + 1):
+                    at = o - k * step  # the last of the windows, whose bytes they all share but for the last step - 1
+                    i, j = max(0, at - step + 1), min(span - 1, at)
+                    h = xxhash.xxh3_64_intdigest(x[at : at - step + 1 + length], k)
+                    rows.append((h - (1 << 64) if h >> 63 else h, r["d"], r["th"], r["a"] + i, r["a"] + j, o - i, r["n"], r["known"], x[i : j + length]))
+                if len(rows) >= 10_000:
+                    yield context_batch(rows)
+                    rows = []
             if rows:
                 yield context_batch(rows)
 
     return contexts.select(*(c.split()[0] for c in CONTEXTS.split(", "))).mapInArrow(run, CONTEXTS)
 
 
-def repeated_spans(docs: DataFrame, length: int, gram: int, cap: int, shard_bytes: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, gram: int, cap: int, different: int, shard_bytes: int) -> DataFrame:
     """SPANS of the window starts of docs (d, th, text) whose window of length bytes also starts in another place."""
     runs = materialize(find_runs(docs, length, gram), "runs")
-    open_runs = runs.where("sure <> 1")
-    sizes = open_runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    asked = open_runs.join(sizes, "h").select("h", "d", "th", "a", "b", "p", "n", (F.col("sure") == 2).alias("known"))
-    contexts = materialize(contexts_of(asked, docs, length), "contexts")
-    spans = runs.where("sure > 0").select("d", "th", "a", "b").unionByName(compare_groups(contexts.where(F.col("n") <= cap), length, shard_bytes))
-    wide = contexts.where(F.col("n") > cap)
-    for single in (False, True, None):
-        if wide.isEmpty():
+    compared = runs.where("sure <> 1")
+    # sizes are written, so that a frequent group's rows can be split in the join
+    sizes = materialize(compared.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "group-sizes")
+
+    def contexts(which: Column) -> DataFrame:
+        asked = compared.join(sizes.where(which), "h")
+        return contexts_of(asked.select("h", "d", "th", "a", "b", "p", "n", (F.col("sure") == 2).alias("known")), docs, length)
+
+    spans = [runs.where("sure > 0").select("d", "th", "a", "b"), compare_groups(contexts(F.col("n") <= cap), length, shard_bytes)]
+    wide = None if sizes.where(F.col("n") > cap).isEmpty() else materialize(contexts(F.col("n") > cap), "contexts")
+    for step in (16, 4, 1, None):
+        if wide is None:
             break
-        told = materialize(drop_copies(wide), "contexts-once")
-        rest = told.where("not told").drop("told", "n")
-        rest = rest.join(rest.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
-        narrow = rest if single is None else rest.where(F.col("n") <= cap)
-        spans = spans.unionByName(told.where("told").select("d", "th", "a", "b")).unionByName(compare_groups(narrow, length, shard_bytes))
-        if single is not None:
-            wide = materialize(cut_finer(rest.where(F.col("n") > cap), length, gram, single), "contexts-cut")
-    return spans
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), length: int = 400, gram: int = 128, least_words: int = 0, always: int | None = None, passage: int | None = None, cap: int = 512, shard_bytes: int = 2 << 20) -> DataFrame:
+        for salted in (True, False):
+            told = materialize(drop_copies(wide, salted), "contexts-once")
+            spans.append(told.where("told").select("d", "th", "a", "b"))
+            wide = told.where("not told").drop("told")
+        sizes = materialize(wide.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "group-sizes")
+        wide = wide.drop("n").join(sizes, "h")
+        spans.append(compare_groups(wide if step is None else wide.where(F.col("n") <= different), length, shard_bytes))
+        rest = None if step is None or sizes.where(F.col("n") > different).isEmpty() else wide.where(F.col("n") > different)
+        wide = None if rest is None else materialize(cut_finer(rest, length, step), "contexts-cut")
+    return reduce(DataFrame.unionByName, spans)
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), length: int = 400, gram: int = 128, least_words: int = 0, always: int | None = None, passage: int | None = None, cap: int = 512, different: int = 4096, shard_bytes: int = 2 << 20) -> DataFrame:
     """The columns of keep, n_bytes, spans (array of start and end of the maximal removed runs) and kept (the other bytes).
 
     A byte goes if some string of length bytes over it also starts anywhere else in the texts, in the same one included;
@@ -492,11 +492,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     base = base.withColumns({"th": F.xxhash64("text"), "d": F.xxhash64("keep", F.lit(3))})
     keyed = base.select("d", "th", "text")
     if passage is None:
-        hits = repeated_spans(keyed, length, gram, cap, shard_bytes).withColumn("k", F.lit(0))
+        hits = repeated_spans(keyed, length, gram, cap, different, shard_bytes).withColumn("k", F.lit(0))
     else:
-        short = materialize(repeated_spans(keyed, passage, min(gram, 1 << (passage // 3).bit_length() - 1), cap, shard_bytes), "passages")
+        short = materialize(repeated_spans(keyed, passage, min(gram, 1 << (passage // 5).bit_length() - 1), cap, different, shard_bytes), "passages")
         parts = repeats_within(keyed, short, passage, length)
-        long = repeated_spans(parts.select("d", "th", "text"), length, gram, cap, shard_bytes)
+        long = repeated_spans(parts.select("d", "th", "text"), length, gram, cap, different, shard_bytes)
         where = parts.select("d", "th", F.col("doc_d"), F.col("doc_th"), "start").dropDuplicates(["d", "th"])
         long = long.join(where, ["d", "th"]).select(F.col("doc_d").alias("d"), F.col("doc_th").alias("th"), (F.col("a") + F.col("start")).alias("a"), (F.col("b") + F.col("start")).alias("b"))
         hits = long.withColumn("k", F.lit(0)).unionByName(short.withColumn("k", F.lit(1)))
