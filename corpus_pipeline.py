@@ -55,7 +55,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     bytes and more. (51 words of prose have 285 bytes at least on the test tables, so that 400 bytes would miss most.)
     A code point that a cut splits goes whole (and with it any replacement character of such a text). A document may be
     left without text."""
-    found = suffix.remove_repeats(docs, keep=("doc_id", "lang", "source"), length=200, gram=64, least_words=50, always=400)
+    found = suffix.remove_repeats(docs, keep=("doc_id", "lang", "source"), length=200, gram=32, least_words=50, always=400)
     text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
     cut = F.size("spans") > 0
     out = found.select("doc_id", F.when(cut, text).otherwise(F.col("kept").cast("string")).alias("text"), "lang", "source")
