@@ -221,6 +221,37 @@ def test_machine_learns_pairs():
     assert float((v[0].sum(0) * v[1].sum(0)).sum()) > 0
 
 
+def test_machine_learns_pairs_of_words_that_say_nothing_alone():
+    """Toxic if exactly one of two words is there: neither has an association of its own, nor has either a weight without the other."""
+    rng = np.random.default_rng(1)
+    filler = [f"filler{i}" for i in range(40)]
+    rows = []
+    for _ in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((" ".join([*rng.choice(filler, 6), *(["oneword"] if a else []), *(["otherword"] if b else [])]).encode(), int(a != b)))
+    m = toxicity.train(rows, bits=16, epochs=20)
+    s = m.score([b"oneword filler1 filler2", b"filler3 filler4 otherword", b"filler5 oneword otherword filler6", b"filler7 filler8"])
+    assert min(s[0], s[1]) > 0.9 and max(s[2], s[3]) < 0.1
+
+
+def test_machine_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(2)
+    m = toxicity.Machine(-0.3, rng.normal(size=1 << 8), rng.normal(size=(1 << 8, 3)) * 0.2, 8)
+    texts = ["one two three", "Insult, insult! Two", "", "漢字 wörd-y (group)"]
+    for t, s in zip(texts, m.score([t.encode() for t in texts]), strict=True):
+        ids = toxicity.terms([t.encode()], 8)[0].tolist()
+        raw = -0.3 + sum(float(m.w[i]) for i in ids) + sum(float(m.v[i] @ m.v[j]) for i, j in combinations(ids, 2))
+        assert s == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-5)
+
+
+def test_toxicity_recall_on_held_out_rows(spark, sf):
+    big = sf.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    rows = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
+    toxic, clean = [r["predicted"] for r in rows if r["toxic"] == 1], [r["predicted"] for r in rows if r["toxic"] == 0]
+    assert len(toxic) > 90 and np.mean(toxic) >= 0.85 and np.mean(clean) <= 0.01
+
+
 # SimHash -----------------------------------------------------------------------------------------------------------------
 def brute_print(text, width=4):
     w = (text or "").encode().lower().split()
