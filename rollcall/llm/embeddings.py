@@ -142,7 +142,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     counts = found.groupBy(F.col("src").alias("cid")).agg(F.sum("links").alias("links"))
     named = classes.join(counts, "cid", "left").join(reach, classes["cid"] == reach["node"], "left")
     named = named.select("v", "least", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cid").alias("component"))
-    roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written, so that the rows of a large component can be split in the join
+    roots = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "vector-roots")
     named = materialize(named.join(roots, "component").select("v", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id"), "vector-components")
     out = rows.where("fine").join(named, "v").select("vec_id", "n_links", "component_id")
     out = out.unionByName(rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))

@@ -130,7 +130,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = deal(rows, "key", "fp", cap).mapInArrow(run, "src long, dst long")
     reach = components(links, "simhash")
     classes = distinct.join(reach, distinct["fp"] == reach["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    roots = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written, so that the rows of a large component can be split in the join
+    roots = materialize(classes.groupBy("component").agg(F.min("least").alias("component_id")), "fingerprint-roots")
     named = materialize(classes.join(roots, "component").select(F.col("fp").alias("__fp"), "component_id"), "fingerprint-components")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, prints["fp"] == named["__fp"]).select("doc_id", digits.alias("fingerprint"), "component_id")
