@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from rollcall.plans import catalog_views
+from rollcall.plans import catalog_functions, catalog_views
 from rollcall.plans.catalog import ORACLE, QUERIES
 
-assert catalog_views  # adds to the catalogue
+assert catalog_views and catalog_functions  # add to the catalogue
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
