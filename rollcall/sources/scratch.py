@@ -5,10 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_REMOVE: dict[str, Callable[[], None]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where it is unset, a local session (tests) gets a folder of its own; on a cluster
     that is an error, since a folder of the driver's machine is none of the executors'."""
@@ -34,12 +38,21 @@ def work_path(spark: SparkSession, name: str) -> str:
             pass
 
     atexit.register(remove)
+    _REMOVE[path] = remove
     return path
 
 
+def discard(*frames: DataFrame) -> None:
+    """Removes the tables behind results of materialize; nothing that is still to be computed may read them."""
+    for df in frames:
+        _REMOVE[df._scratch_path]()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
