@@ -28,13 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import discard
 from .common import materialize, partitions, slices, texts
 
 BASE = 0x9E3779B97F4A7C15
 POSITION_BITS = 24
 #: Starts of windows that are worked on at a time.
 PART = 1 << 20
-SPANS = "d long, th long, a long, b long"
+SPANS = "d long, th long, a long, b long, size long"
 
 
 def _table(seed: int = 5) -> np.ndarray:
@@ -247,20 +248,26 @@ def adjacent_repeats(text: np.ndarray, order: np.ndarray, length: int) -> np.nda
     return out
 
 
-def repeated_starts(contexts: list[bytes], spans: list[int], length: int) -> list[np.ndarray]:
-    """Per context the starts below its span whose window of length bytes also starts in another place among them all."""
+def repeated_starts(contexts: list[bytes], spans: list[int], length: int, reach: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per context the starts below its span whose window of length bytes also starts in another place among them all, and
+    those whose window of reach bytes does. One suffix array serves both."""
     text = np.frombuffer(b"".join(contexts), np.uint8)
     size = np.fromiter(map(len, contexts), np.int64, len(contexts))
     base = np.cumsum(size) - size
     span = np.array(spans, np.int64)
-    order = two_stage(text, base, base + span - 1, length)
+    order = two_stage(text, base, base + span - 1, reach)
     owner = np.searchsorted(base, order, side="right") - 1
-    order = order[order - base[owner] < span[owner]]
-    same = adjacent_repeats(text, order, length)
-    hit = np.zeros(len(text), bool)
-    hit[order[:-1][same]] = True
-    hit[order[1:][same]] = True
-    return [np.flatnonzero(hit[b : b + s]) for b, s in zip(base.tolist(), span.tolist(), strict=True)]
+    inside = order - base[owner] < span[owner]
+    order, owner = order[inside], owner[inside]
+    hits = []
+    for n in (length, reach):
+        whole = order[order + n <= (base + size)[owner]]
+        same = adjacent_repeats(text, whole, n)
+        hit = np.zeros(len(text), bool)
+        hit[whole[:-1][same]] = True
+        hit[whole[1:][same]] = True
+        hits.append(hit)
+    return [tuple(np.flatnonzero(hit[b : b + s]) for hit in hits) for b, s in zip(base.tolist(), span.tolist(), strict=True)]
 
 
 def intervals(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,9 +277,9 @@ def intervals(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], starts[np.append(first[1:], len(starts)) - 1] if len(starts) else starts
 
 
-def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """The runs of all documents: d, th, a, b, p (the minimizer), h (its hash) and sure. Neighbouring runs of equal bytes,
-    as in periodic texts, repeat each other: the first of them (2) is compared for all, the others (1) are not."""
+def find_runs(docs: DataFrame, length: int, gram: int, reach: int) -> DataFrame:
+    """The runs of all documents: d, th, a, b, p (the minimizer), h (its hash) and sure. Neighbouring runs of equal bytes up
+    to reach, as in periodic texts, repeat each other: the first of them (2) is compared for all, the others (1) are not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -293,9 +300,9 @@ def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def judged(whole: bytes, d: np.ndarray, th: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
         doc = np.searchsorted(ends, a, side="right")
         view, sure = memoryview(whole), np.zeros(len(a), np.int8)
-        alike = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (b[1:] - a[1:] == b[:-1] - a[:-1]) & (p[1:] - a[1:] == p[:-1] - a[:-1])
+        alike = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (b[1:] - a[1:] == b[:-1] - a[:-1]) & (p[1:] - a[1:] == p[:-1] - a[:-1]) & (b[1:] + reach <= ends[doc[1:]])
         for i in np.flatnonzero(alike).tolist():
-            if view[a[i] : b[i] + length] == view[a[i + 1] : b[i + 1] + length]:
+            if view[a[i] : b[i] + reach] == view[a[i + 1] : b[i + 1] + reach]:
                 sure[i] = sure[i] or 2
                 sure[i + 1] = 1
         # sure runs that touch become one
@@ -309,29 +316,29 @@ def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "d long, th long, a long, b long, p long, h long, sure byte")
 
 
-CONTEXTS = "h long, d long, th long, a long, b long, o long, n long, known boolean, bytes binary"
+#: A run's bytes up to reach behind its last start: e is the last start with reach bytes, o the minimizer's place, n the size
+#: of the group; known ones need no answer. kind: 0 for both lengths, 1 for windows of length bytes, 2 for those of reach.
+CONTEXTS = "h long, d long, th long, a long, b long, e long, o long, n long, known boolean, kind long, bytes binary"
+FIELDS = [x.split()[0] for x in CONTEXTS.split(", ")]
 
 
 def context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 7 + [pa.bool_(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "d", "th", "a", "b", "o", "n", "known", "bytes"])
+    kinds = [pa.int64()] * 8 + [pa.bool_(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=FIELDS)
 
 
-def span_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["d", "th", "a", "b"])
-
-
-def contexts_of(asked: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """The contexts of the runs asked for (h, d, th, a, b, p, n, known): CONTEXTS, o being the minimizer's place in it."""
+def contexts_of(asked: DataFrame, docs: DataFrame, reach: int, few: bool = False) -> DataFrame:
+    """The CONTEXTS of the runs asked for (h, d, th, a, b, p, n, known); if they are few they are broadcast."""
     asked = asked.groupBy("d", "th").agg(F.collect_set(F.struct("a", "b", "p", "h", "n", "known")).alias("rs"))
-    held = docs.join(asked, ["d", "th"]).select("d", "th", "text", "rs")
+    held = docs.join(F.broadcast(asked) if few else asked, ["d", "th"]).select("d", "th", "text", "rs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             rows = []
             for d, th, raw, rs in zip(batch.column("d").to_pylist(), batch.column("th").to_pylist(), texts(batch.column("text")), batch.column("rs").to_pylist(), strict=True):
                 for r in rs:
-                    rows.append((r["h"], d, th, r["a"], r["b"], r["p"] - r["a"], r["n"], r["known"], raw[r["a"] : r["b"] + length]))
+                    a, b = r["a"], r["b"]
+                    rows.append((r["h"], d, th, a, b, max(a - 1, min(b, len(raw) - reach)), r["p"] - a, r["n"], r["known"], 0, raw[a : b + reach]))
                     if len(rows) == 20_000:
                         yield context_batch(rows)
                         rows = []
@@ -341,8 +348,15 @@ def contexts_of(asked: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     return held.mapInArrow(cut, CONTEXTS)
 
 
-def compare_groups(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """Windows repeated among the contexts of a group, as SPANS of window starts; groups are brought together here."""
+def whole_spans(rows: DataFrame, length: int, reach: int) -> DataFrame:
+    """SPANS of runs (d, th, a, b, e, kind) that repeat throughout."""
+    long = F.when((F.col("kind") != 1) & (F.col("e") >= F.col("a")) & F.lit(reach > length), F.struct("a", F.col("e").alias("b"), F.lit(reach).cast("long").alias("size")))
+    short = F.when(F.col("kind") != 2, F.struct("a", "b", F.lit(length).cast("long").alias("size")))
+    return rows.select("d", "th", F.explode(F.array_compact(F.array(short, long))).alias("s")).select("d", "th", "s.a", "s.b", "s.size")
+
+
+def compare_groups(contexts: DataFrame, length: int, reach: int, shard_bytes: int) -> DataFrame:
+    """SPANS of windows repeated among the contexts of a group; groups are brought together here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -359,24 +373,29 @@ def compare_groups(contexts: DataFrame, length: int, shard_bytes: int) -> DataFr
             yield from answer(rows)
 
     def answer(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[tuple[int, bytes], int] = {}
-        which = [numbers.setdefault((r["h"], r["bytes"]), len(numbers)) for r in rows]
+        numbers: dict[tuple[int, int, int, bytes], int] = {}
+        which = [numbers.setdefault((r["h"], r["kind"], r["b"] - r["a"], r["bytes"]), len(numbers)) for r in rows]
         copies = np.bincount(which, minlength=len(numbers))
-        different = Counter(h for h, _ in numbers)
-        asked = [(i, x) for i, (h, x) in enumerate(numbers) if different[h] > 1]
-        starts = dict(zip((i for i, _ in asked), repeated_starts([x for _, x in asked], [len(x) - length + 1 for _, x in asked], length), strict=True)) if asked else {}
+        different = Counter(h for h, *_ in numbers)
+        asked = [(i, x, last + 1) for i, (h, kind, last, x) in enumerate(numbers) if different[h] > 1 and kind == 0]
+        starts = dict(zip((i for i, *_ in asked), repeated_starts([x for _, x, _ in asked], [n for *_, n in asked], length, reach), strict=True)) if asked else {}
         out = []
         for r, k in zip(rows, which, strict=True):
             if r["known"]:
                 continue
+            at = (r["d"], r["th"])
             if copies[k] > 1:
-                out.append((r["d"], r["th"], r["a"], r["b"]))
+                if r["kind"] != 2:
+                    out.append((*at, r["a"], r["b"], length))
+                if r["kind"] != 1 and r["e"] >= r["a"] and reach > length:
+                    out.append((*at, r["a"], r["e"], reach))
             elif k in starts:
-                out += [(r["d"], r["th"], r["a"] + i, r["a"] + j) for i, j in zip(*(x.tolist() for x in intervals(starts[k])), strict=True)]
+                for size, found in zip((length, reach) if reach > length else (length,), starts[k], strict=False):
+                    out += [(*at, r["a"] + i, r["a"] + j, size) for i, j in zip(*(x.tolist() for x in intervals(found)), strict=True)]
         if out:
-            yield span_batch(out)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["d", "th", "a", "b", "size"])
 
-    rows = contexts.select("h", "d", "th", "a", "b", "known", "bytes")
+    rows = contexts.select("h", "d", "th", "a", "b", "e", "known", "kind", "bytes")
     return rows.repartition(partitions(contexts.sparkSession), "h").sortWithinPartitions("h").mapInArrow(run, SPANS)
 
 
@@ -384,7 +403,8 @@ def drop_copies(contexts: DataFrame, salted: bool) -> DataFrame:
     """CONTEXTS and told. Equal contexts of a group, dealt by content, and if salted over about the root of the group's size,
     are compared as bytes. All but one that meet are told to be repeats and need no more; that one goes on, known."""
     salt = F.pmod(F.xxhash64("d", "th", "a", F.lit(23)), F.ceil(F.sqrt("n")).cast("long")) if salted else F.lit(0).cast("long")
-    dealt = contexts.withColumns({"key": F.xxhash64("bytes"), "salt": salt}).repartition(partitions(contexts.sparkSession), "h", "key", "salt").sortWithinPartitions("h", "key", "salt")
+    dealt = contexts.select(*FIELDS, F.xxhash64("kind", "bytes").alias("key"), salt.alias("salt"))
+    dealt = dealt.repartition(partitions(contexts.sparkSession), "h", "key", "salt").sortWithinPartitions("h", "key", "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, firsts = None, []
@@ -394,7 +414,7 @@ def drop_copies(contexts: DataFrame, salted: bool) -> DataFrame:
                 if group != (r["h"], r["key"], r["salt"]):
                     out += [(x, False) for x in firsts]
                     group, firsts = (r["h"], r["key"], r["salt"]), []
-                first = next((x for x in firsts if x["bytes"] == r["bytes"]), None)
+                first = next((x for x in firsts if (x["kind"], x["b"] - x["a"], x["bytes"]) == (r["kind"], r["b"] - r["a"], r["bytes"])), None)
                 if first is None:
                     firsts.append(r)
                     continue
@@ -409,66 +429,80 @@ def drop_copies(contexts: DataFrame, salted: bool) -> DataFrame:
             yield told([(x, False) for x in firsts])
 
     def told(rows: list[tuple[dict, bool]]) -> pa.RecordBatch:
-        fields = ("h", "d", "th", "a", "b", "o", "n", "known")
-        batch = context_batch([(*(r[k] for k in fields), b"" if done else r["bytes"]) for r, done in rows])
+        batch = context_batch([(*(r[k] for k in FIELDS[:-1]), b"" if done else r["bytes"]) for r, done in rows])
         return batch.append_column("told", pa.array([done for _, done in rows]))
 
     return dealt.mapInArrow(run, f"{CONTEXTS}, told boolean")
 
 
-def cut_finer(contexts: DataFrame, length: int, step: int) -> DataFrame:
+def cut_finer(contexts: DataFrame, length: int, reach: int, step: int) -> DataFrame:
     """CONTEXTS of shorter runs: step neighbouring windows by their distance to the minimizer, in groups by the bytes that
-    these windows share. Equal windows have equal distances and share those bytes, so they still meet; with a step of one
-    only equal windows do."""
+    these windows share. Equal windows have equal distances and share those bytes, so they still meet. With a step of one
+    only equal windows do, and windows of length and of reach bytes go apart."""
+
+    def pieces(r: dict) -> Iterator[tuple[int, int, int, int, bytes]]:
+        """(hash, first start, last start, kind, bytes)"""
+        x, span, o = r["bytes"], r["b"] - r["a"] + 1, r["o"]
+        for k in range((o - span + 1) // step, o // step + 1):
+            at = o - k * step  # the last of the windows, whose bytes they all share but for the last step - 1
+            i, j = max(0, at - step + 1), min(span - 1, at)
+            if step > 1 or reach == length:
+                yield xxhash.xxh3_64_intdigest(x[at : at - step + 1 + length], k), i, j, 0, x[i : j + reach]
+                continue
+            yield xxhash.xxh3_64_intdigest(x[i : i + length], 1), i, i, 1, x[i : i + length]
+            if r["a"] + i <= r["e"]:
+                yield xxhash.xxh3_64_intdigest(x[i : i + reach], 2), i, i, 2, x[i : i + reach]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                x, span, o = r["bytes"], len(r["bytes"]) - length + 1, r["o"]
-                for k in range((o - span + 1) // step, o // step + 1):
-                    at = o - k * step  # the last of the windows, whose bytes they all share but for the last step - 1
-                    i, j = max(0, at - step + 1), min(span - 1, at)
-                    h = xxhash.xxh3_64_intdigest(x[at : at - step + 1 + length], k)
-                    rows.append((h - (1 << 64) if h >> 63 else h, r["d"], r["th"], r["a"] + i, r["a"] + j, o - i, r["n"], r["known"], x[i : j + length]))
+                for h, i, j, kind, x in pieces(r):
+                    a, b = r["a"] + i, r["a"] + j
+                    rows.append((h - (1 << 64) if h >> 63 else h, r["d"], r["th"], a, b, max(a - 1, min(b, r["e"])), r["o"] - i, r["n"], r["known"], kind, x))
                 if len(rows) >= 10_000:
                     yield context_batch(rows)
                     rows = []
             if rows:
                 yield context_batch(rows)
 
-    return contexts.select(*(c.split()[0] for c in CONTEXTS.split(", "))).mapInArrow(run, CONTEXTS)
+    return contexts.select(*FIELDS).mapInArrow(run, CONTEXTS)
 
 
-def repeated_spans(docs: DataFrame, length: int, gram: int, cap: int, different: int, shard_bytes: int) -> DataFrame:
-    """SPANS of the window starts of docs (d, th, text) whose window of length bytes also starts in another place."""
-    runs = materialize(find_runs(docs, length, gram), "runs")
+def repeated_spans(docs: DataFrame, length: int, reach: int, gram: int, cap: int, different: int, shard_bytes: int, few: int = 100_000) -> DataFrame:
+    """SPANS of the window starts of docs (d, th, text) whose window of size (length or reach) bytes also starts elsewhere."""
+    runs = materialize(find_runs(docs, length, gram, reach), "runs")
     compared = runs.where("sure <> 1")
     # sizes are written, so that a frequent group's rows can be split in the join
     sizes = materialize(compared.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "group-sizes")
-
-    def contexts(which: Column) -> DataFrame:
-        asked = compared.join(sizes.where(which), "h")
-        return contexts_of(asked.select("h", "d", "th", "a", "b", "p", "n", (F.col("sure") == 2).alias("known")), docs, length)
-
-    spans = [runs.where("sure > 0").select("d", "th", "a", "b"), compare_groups(contexts(F.col("n") <= cap), length, shard_bytes)]
-    wide = None if sizes.where(F.col("n") > cap).isEmpty() else materialize(contexts(F.col("n") > cap), "contexts")
+    asked = materialize(compared.join(sizes, "h").select("h", "d", "th", "a", "b", "p", "n", (F.col("sure") == 2).alias("known")), "asked")
+    sure = materialize(runs.where("sure > 0").select("d", "th", "a", "b", F.col("b").alias("e"), F.lit(0).cast("long").alias("kind")), "sure")
+    discard(runs)
+    spans = [whole_spans(sure, length, reach), compare_groups(contexts_of(asked.where(F.col("n") <= cap), docs, reach), length, reach, shard_bytes)]
+    n_wide = sizes.where(F.col("n") > cap).agg(F.sum("n")).first()[0]
+    wide = materialize(contexts_of(asked.where(F.col("n") > cap), docs, reach, n_wide <= few), "contexts") if n_wide else None
+    used = [sizes, asked, sure, *([wide] if n_wide else [])]
     for step in (16, 4, 1, None):
         if wide is None:
             break
         for salted in (True, False):
             told = materialize(drop_copies(wide, salted), "contexts-once")
-            spans.append(told.where("told").select("d", "th", "a", "b"))
+            used.append(told)
+            spans.append(whole_spans(told.where("told"), length, reach))
             wide = told.where("not told").drop("told")
         sizes = materialize(wide.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "group-sizes")
+        used.append(sizes)
         wide = wide.drop("n").join(sizes, "h")
-        spans.append(compare_groups(wide if step is None else wide.where(F.col("n") <= different), length, shard_bytes))
+        spans.append(compare_groups(wide if step is None else wide.where(F.col("n") <= different), length, reach, shard_bytes))
         rest = None if step is None or sizes.where(F.col("n") > different).isEmpty() else wide.where(F.col("n") > different)
-        wide = None if rest is None else materialize(cut_finer(rest, length, step), "contexts-cut")
-    return reduce(DataFrame.unionByName, spans)
+        wide = None if rest is None else materialize(cut_finer(rest, length, reach, step), "contexts-cut")
+        used += [] if wide is None else [wide]
+    found = materialize(reduce(DataFrame.unionByName, spans), "repeats")
+    discard(*used)
+    return found
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), length: int = 400, gram: int = 128, least_words: int = 0, always: int | None = None, passage: int | None = None, cap: int = 512, different: int = 4096, shard_bytes: int = 2 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), length: int = 400, gram: int = 128, least_words: int = 0, always: int | None = None, passage: int | None = None, cap: int = 1024, different: int = 4096, shard_bytes: int = 2 << 20) -> DataFrame:
     """The columns of keep, n_bytes, spans (array of start and end of the maximal removed runs) and kept (the other bytes).
 
     A byte goes if some string of length bytes over it also starts anywhere else in the texts, in the same one included;
@@ -478,8 +512,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
 
     With least_words a maximal run of so many words or fewer stays, unless it has always bytes or more. With passage,
     a shorter length, there is a further column passages: the maximal runs of repeats of passage bytes that have over
-    least_words words or length bytes; spans and kept aren't changed by it. Repeats of length bytes lie inside repeats of
-    passage bytes, so they are then looked for in those alone.
+    least_words words or length bytes; spans and kept aren't changed by it. Both come from the same suffix arrays.
 
     Memory per task: a batch of about a megabyte of text or one longer text, the runs of one document, or one shard of
     contexts.
@@ -491,16 +524,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     base = docs.select(F.struct(*keep).alias("keep") if keep else F.struct(F.lit(0)).alias("keep"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     base = base.withColumns({"th": F.xxhash64("text"), "d": F.xxhash64("keep", F.lit(3))})
     keyed = base.select("d", "th", "text")
-    if passage is None:
-        hits = repeated_spans(keyed, length, gram, cap, different, shard_bytes).withColumn("k", F.lit(0))
-    else:
-        short = materialize(repeated_spans(keyed, passage, min(gram, 1 << (passage // 5).bit_length() - 1), cap, different, shard_bytes), "passages")
-        parts = repeats_within(keyed, short, passage, length)
-        long = repeated_spans(parts.select("d", "th", "text"), length, gram, cap, different, shard_bytes)
-        where = parts.select("d", "th", F.col("doc_d"), F.col("doc_th"), "start").dropDuplicates(["d", "th"])
-        long = long.join(where, ["d", "th"]).select(F.col("doc_d").alias("d"), F.col("doc_th").alias("th"), (F.col("a") + F.col("start")).alias("a"), (F.col("b") + F.col("start")).alias("b"))
-        hits = long.withColumn("k", F.lit(0)).unionByName(short.withColumn("k", F.lit(1)))
-    hits = hits.groupBy("d", "th").agg(F.collect_set(F.struct("k", "a", "b")).alias("hits"))
+    short = length if passage is None else passage
+    hits = repeated_spans(keyed, short, length, gram if passage is None else min(gram, 1 << (short // 5).bit_length() - 1), cap, different, shard_bytes)
+    hits = hits.groupBy("d", "th").agg(F.collect_set(F.struct("size", "a", "b")).alias("hits"))
     joined = base.join(hits, ["d", "th"], "left").select("keep", "text", "hits")
     span = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
     schema = joined.select("keep").schema.add("n_bytes", "long").add("spans", span).add("kept", "binary").add("passages", span)
@@ -510,7 +536,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
         for batch in slices(batches, "text", 4 << 20):
             raw, spans, kept, passages = texts(batch.column("text")), [], [], []
             for x, found in zip(raw, batch.column("hits").to_pylist(), strict=True):
-                cut = [merged([(h["a"], h["b"] + size) for h in found or () if h["k"] == k]) for k, size in ((0, length), (1, passage or 0))]
+                cut = [merged([(h["a"], h["b"] + size) for h in found or () if h["size"] == size]) for size in (length, passage)]
                 enough = [(a, b) for a, b in cut[0 if passage is None else 1] if not least_words or b - a >= always or len(x[a:b].split()) > least_words]
                 if passage is None:
                     cut[0] = enough
@@ -534,21 +560,3 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
         else:
             out.append((a, b))
     return out
-
-
-def repeats_within(docs: DataFrame, short: DataFrame, passage: int, length: int) -> DataFrame:
-    """The maximal repeated runs of passage bytes and more that have length bytes or more, as texts of their own: d, th and
-    text, and where they are from (doc_d, doc_th, start)."""
-    asked = short.groupBy("d", "th").agg(F.collect_set(F.struct("a", "b")).alias("hits"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
-            rows = []
-            for d, th, x, hits in zip(batch.column("d").to_pylist(), batch.column("th").to_pylist(), texts(batch.column("text")), batch.column("hits").to_pylist(), strict=True):
-                rows += [(d, th, a, x[a:b]) for a, b in merged([(h["a"], h["b"] + passage) for h in hits]) if b - a >= length]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["doc_d", "doc_th", "start", "text"])
-
-    parts = docs.join(asked, ["d", "th"]).select("d", "th", "text", "hits").mapInArrow(run, "doc_d long, doc_th long, start long, text binary")
-    parts = parts.withColumns({"d": F.xxhash64("doc_d", "doc_th", "start"), "th": F.xxhash64("text")})
-    return materialize(parts, "long-passages")

@@ -440,23 +440,28 @@ def test_suffix_frequent_passage(spark, cap, different):
     fresh = lambda n: "".join(rng.choice(list("abcdefghij klmno"), n))
     common, copy = fresh(300), fresh(500)
     texts = [fresh(90) + common[: 180 + i % 90] + fresh(90) for i in range(150)] + [copy] * 60 + [fresh(50) + copy[i : i + 250] for i in range(40)]
-    got = {r["doc_id"]: r for r in suffix.remove_repeats(table(spark, texts), length=200, gram=64, cap=cap, different=different).collect()}
-    for i, (gone, kept) in enumerate(brute_removed(texts, 200)):
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(table(spark, texts), length=250, passage=200, cap=cap, different=different).collect()}
+    for i, ((gone, kept), (short, _)) in enumerate(zip(brute_removed(texts, 250), brute_removed(texts, 200), strict=True)):
         assert ([(s["start"], s["end"]) for s in got[i]["spans"]], bytes(got[i]["kept"])) == (runs_in(gone), kept), i
+        assert [(s["start"], s["end"]) for s in got[i]["passages"]] == runs_in(short), i
 
 
-def test_suffix_does_not_trust_hashes(spark, monkeypatch):
+def test_suffix_does_not_trust_hashes(spark):
     """With hashes that agree far too often the result is the same: bytes decide."""
     texts = suffix_texts(40, 16)
     docs = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "d long, text string").withColumns({"th": F.xxhash64("text"), "text": F.col("text").cast("binary")})
-    runs = suffix.find_runs(docs, 40, 16).where("sure <> 1").withColumn("h", F.col("h") % 3)
-    sizes = runs.groupBy("h").count().withColumnRenamed("count", "n")
-    contexts = suffix.contexts_of(runs.join(sizes, "h").select("h", "d", "th", "a", "b", "p", "n", (F.col("sure") == 2).alias("known")), docs, 40)
-    spans = suffix.find_runs(docs, 40, 16).where("sure > 0").select("d", "a", "b").unionByName(suffix.compare_groups(contexts, 40, 1 << 20).select("d", "a", "b")).collect()
-    gone = [np.zeros(len((t or "").encode()), bool) for t in texts]
-    for r in spans:
-        gone[r["d"]][r["a"] : r["b"] + 40] = True
-    assert [g.tolist() for g in gone] == [g.tolist() for g, _ in brute_removed(texts, 40)]
+    runs = suffix.find_runs(docs, 40, 16, 60)
+    open_runs = runs.where("sure <> 1").withColumn("h", F.col("h") % 3)
+    sizes = open_runs.groupBy("h").count().withColumnRenamed("count", "n")
+    contexts = suffix.contexts_of(open_runs.join(sizes, "h").select("h", "d", "th", "a", "b", "p", "n", (F.col("sure") == 2).alias("known")), docs, 60)
+    sure = suffix.whole_spans(runs.where("sure > 0").select("d", "th", "a", "b", F.col("b").alias("e"), F.lit(0).alias("kind")), 40, 60)
+    spans = sure.unionByName(suffix.compare_groups(contexts, 40, 60, 1 << 20)).collect()
+    for size in (40, 60):
+        gone = [np.zeros(len((t or "").encode()), bool) for t in texts]
+        for r in spans:
+            if r["size"] == size:
+                gone[r["d"]][r["a"] : r["b"] + size] = True
+        assert [g.tolist() for g in gone] == [g.tolist() for g, _ in brute_removed(texts, size)]
 
 
 def test_suffix_clashing_columns(spark):
