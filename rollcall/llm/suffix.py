@@ -469,7 +469,7 @@ def cut_finer(contexts: DataFrame, length: int, reach: int, step: int) -> DataFr
     return contexts.select(*FIELDS).mapInArrow(run, CONTEXTS)
 
 
-def repeated_spans(docs: DataFrame, length: int, reach: int, gram: int, cap: int, different: int, shard_bytes: int, few: int = 100_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, reach: int, gram: int, cap: int, different: int, shard_bytes: int, few: int = 200_000) -> DataFrame:
     """SPANS of the window starts of docs (d, th, text) whose window of size (length or reach) bytes also starts elsewhere."""
     runs = materialize(find_runs(docs, length, gram, reach), "runs")
     compared = runs.where("sure <> 1")
@@ -502,7 +502,7 @@ def repeated_spans(docs: DataFrame, length: int, reach: int, gram: int, cap: int
     return found
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), length: int = 400, gram: int = 128, least_words: int = 0, always: int | None = None, passage: int | None = None, cap: int = 1024, different: int = 4096, shard_bytes: int = 2 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), length: int = 400, gram: int = 128, least_words: int = 0, always: int | None = None, passage: int | None = None, cap: int = 4096, different: int = 16_384, shard_bytes: int = 2 << 20) -> DataFrame:
     """The columns of keep, n_bytes, spans (array of start and end of the maximal removed runs) and kept (the other bytes).
 
     A byte goes if some string of length bytes over it also starts anywhere else in the texts, in the same one included;
@@ -515,7 +515,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     least_words words or length bytes; spans and kept aren't changed by it. Both come from the same suffix arrays.
 
     Memory per task: a batch of about a megabyte of text or one longer text, the runs of one document, or one shard of
-    contexts.
+    contexts: shard_bytes and a group of at most different contexts of less than twice the longer length (13 MB, for which
+    the suffix array takes about 0.3 GB).
     """
     if taken := {"n_bytes", "spans", "kept", "passages"} & set(keep):
         raise ValueError(f"columns of the result can't be kept: {sorted(taken)}")
