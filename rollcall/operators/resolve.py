@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import member_name_parts, name_key, seat_key, seat_name_parts, similarity
+from ..functions.text import indel_ratio, member_name_parts, name_key, seat_key, seat_name_parts, token_sort
 
 
 def variants(members: DataFrame) -> DataFrame:
@@ -67,8 +67,16 @@ def resolve(names: DataFrame, members: DataFrame, gold: DataFrame | None = None,
 
 
 def candidates(names: DataFrame, members: DataFrame, n: int = 5, threshold: float = 50.0) -> DataFrame:
-    """The n most similar members of its chamber for each name, blocked by chamber."""
-    pairs = names.join(members.select("chamber", "member_id", F.col("name").alias("full")), "chamber").withColumn("score", similarity(F.col("name"), F.col("full"))).where(F.col("score") >= threshold)
+    """The n most similar members of its chamber for each name, blocked by chamber.
+
+    The score is the token-sort ratio of the texts as they are written (case counts). Pairs whose edit distance is beyond
+    what the threshold allows to insertions and deletions, which are no fewer, are left out before they are scored.
+    """
+    x = names.select("chamber", "name", token_sort(F.col("name"), False).alias("__x"))
+    y = members.select("chamber", "member_id", F.col("name").alias("full"), token_sort(F.col("name"), False).alias("__y"))
+    room = (F.length("__x") + F.length("__y")) * (1 - threshold / 100) + 1e-9
+    near = x.join(y, "chamber").where(F.levenshtein("__x", "__y") <= room)
+    pairs = near.withColumn("score", indel_ratio("__x", "__y")).drop("__x", "__y").where(F.col("score") >= threshold)
     w = Window.partitionBy("chamber", "name").orderBy(F.desc("score"), "member_id")
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 

@@ -167,7 +167,10 @@ def a23_power_badges(s, d):
     return b.select("member_id", F.size(c.power_badges(F.lit(0.0), F.array().cast("array<string>"), F.col("r"), F.col("n"))).alias("badges"))
 
 
-@query()
+@query(""", o as (select bill_id, organization, count(*) n from slips group by all), h as (select bill_id, sum(n * n) / (sum(n) * sum(n))::double hhi, max(n) / sum(n)::double top_share from o group by 1),
+ f as (select bill_id, any_value(hhi) hhi, any_value(top_share) top_share, count(*) / count(distinct name)::double duplication, abs(count(*) filter (position = 'Proponent') - count(*) filter (position = 'Opponent')) / count(*)::double unanimity, count(distinct organization) / count(*)::double diversity from slips join h using (bill_id) group by 1 having count(*) >= 10)
+ select bill_id, coalesce(nullif(concat_ws('; ', case when top_share > 0.5 then printf('one organization files %.0f%%', 100 * top_share) end, case when duplication > 2 then printf('names recur %.1f times', duplication) end, case when unanimity > 0.95 then 'nearly all on one side' end,
+ case when diversity < 0.05 then printf('few organizations (%.1f%%)', 100 * diversity) end, case when hhi > 0.3 then printf('concentrated (HHI %.2f)', hhi) end), ''), 'unusual pattern') reason from f""", "slips")
 def a25_anomaly_reasons(s, d):
     f = metrics.anomaly_features(slips(s, d), "bill_id")
     return f.select("bill_id", c.anomaly_reason(*(F.col(x) for x in ("top_share", "duplication", "unanimity", "diversity", "hhi"))).alias("reason"))
