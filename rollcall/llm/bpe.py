@@ -28,6 +28,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def unlike(spec: dict) -> list[str]:
+    """What a vocabulary file asks for that merges of bytes within SPLIT don't give."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    found = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges") if model.get(k)]
+    found += ["model"] * (model.get("type", "BPE") != "BPE") + ["normalizer"] * bool(spec.get("normalizer"))
+    found += ["pre_tokenizer"] * (pre.get("type") != "ByteLevel" or bool(pre.get("add_prefix_space")) or not pre.get("use_regex", True))
+    return found + [t["content"] for t in spec.get("added_tokens", []) if t["single_word"] or t["lstrip"] or t["rstrip"]]
+
+
 class Remembered(dict):
     """What stays, and in rest what is held for the current batch."""
 
@@ -41,10 +50,12 @@ class Remembered(dict):
 
 class ByteBpe:
     """A vocabulary file as sorted pair keys. Up to word_cache pretokens, those met first, stay remembered with their ids;
-    further ones are held for their batch."""
+    further ones are held for their batch. A vocabulary of another form (see unlike) is an error."""
 
     def __init__(self, data: bytes, word_cache: int = 500_000):
         spec = json.loads(data)
+        if found := unlike(spec):
+            raise ValueError(f"not a plain byte-level vocabulary: {', '.join(found)}")
         vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.size = np.int64(1 + max(vocab.values()))

@@ -14,6 +14,7 @@ frame's CRC-32.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import sys
@@ -133,7 +134,8 @@ class WordEncoder:
     White space of ASCII never lies inside a token of a vocabulary that drops it, so a text is cut there and a chunk's ids
     are remembered. Two more facts of this vocabulary save calls: it ignores case, so a text without a special string is
     lowered first (in ASCII), and marks of ASCII behind a letter or digit of ASCII are always a token run of their own, so a
-    chunk that ends in marks is two chunks that are better known.
+    chunk that ends in marks is two chunks that are better known. A vocabulary file that doesn't say all this of itself
+    (by_words) is applied to whole texts instead.
     """
 
     MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -146,23 +148,46 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.by_words = by_words(json.loads(data))
         self.cache = Remembered(limit, self.chunk)
 
+    def ids(self, text: bytes) -> bytes:
+        ids = array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def chunk(self, word: bytes) -> bytes:
         core = word.rstrip(self.MARKS)
         if core and len(core) < len(word) and core[-1] in self.PLAIN and b"<|" not in word:
             return self.cache[core] + self.cache[word[len(core) :]]
-        ids = array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+        return self.ids(word)
 
     def encode(self, docs: list[bytes]) -> list[bytes]:
+        if not self.by_words:
+            return [self.ids(x) for x in docs]
         self.cache.rest = {}
         get = self.cache.__getitem__
         return [b"".join(map(get, (x if b"<|" in x else x.lower()).split())) for x in docs]
 
 
+#: The split pattern and the normalizers of the vocabularies that go by words.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a vocabulary file drops white space, ignores case, splits marks from words, and has only special strings
+    that begin with <| and hold no white space."""
+    normal = spec.get("normalizer") or {}
+    split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    same = normal.get("normalizers") == WORD_NORMALIZERS
+    words = split[0].get("pattern") == {"Regex": WORD_SPLIT} and split[0].get("behavior") == "Removed" and split[0].get("invert") is True
+    level = len(split) == 2 and split[1].get("type") == "ByteLevel" and not split[1].get("add_prefix_space") and split[1].get("use_regex") is False
+    plain = all(t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in spec.get("added_tokens", []))
+    return same and words and level and plain and not spec["model"].get("dropout")
+
+
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
@@ -181,7 +206,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, target: str, end_id: int
     The rows are dealt out by ranges of (doc_id, hash of the text), so that a doc_id that repeats is split over shards; null
     ids come first. Each task writes its shard under a name of its own attempt and then renames it, so that a task that
     runs again after a lost executor replaces it whole. Empty and null texts hold only end_id. Nothing is written for an
-    empty range. Memory: one batch of texts, one frame and 24 bytes per document of a shard.
+    empty range. Memory: one batch of texts, one frame and the index, a tuple of
+    some 200 bytes per document of a shard.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, "rb") as f:

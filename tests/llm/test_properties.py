@@ -1,6 +1,7 @@
 """Properties over random inputs."""
 
 import io
+import json
 
 import numpy as np
 import pytest
@@ -33,6 +34,45 @@ def test_encoders_equal_the_library(libraries, texts):
         assert byte_own.decode(np.frombuffer(ids, "<i4")).decode() == t
 
 
+def changed(data, path, value):
+    spec = json.loads(data)
+    at = spec
+    for k in path[:-1]:
+        at = at[k]
+    at[path[-1]] = value
+    return json.dumps(spec).encode()
+
+
+ODD = [
+    (["normalizer"], None),
+    (["normalizer", "normalizers"], [{"type": "NFC"}]),
+    (["pre_tokenizer", "pretokenizers", 0, "pattern"], {"Regex": r"[^\s]+ ?"}),
+    (["pre_tokenizer", "pretokenizers", 1, "add_prefix_space"], True),
+    (["added_tokens", 0, "content"], "end of text"),
+]
+
+
+@pytest.mark.parametrize(("path", "value"), ODD)
+def test_words_of_another_vocabulary_are_encoded_whole(path, value):
+    from tokenizers import Tokenizer
+
+    data = changed(WORDS, path, value)
+    lib, own = Tokenizer.from_str(data.decode()), token_files.WordEncoder(data)
+    texts = ["", "Some TEXT, of two\u00a0 kinds!!", "an end of text here <|endoftext|>x", "\u00c9t\u00e9 1,234"]
+    assert not own.by_words
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_vocabulary_of_words_is_known():
+    assert token_files.WordEncoder(WORDS).by_words
+
+
+@pytest.mark.parametrize(("path", "value"), [(["normalizer"], {"type": "NFC"}), (["pre_tokenizer", "add_prefix_space"], True), (["model", "end_of_word_suffix"], "</w>"), (["added_tokens", 0, "lstrip"], True)])
+def test_bytes_of_another_vocabulary_are_refused(path, value):
+    with pytest.raises(ValueError, match="not a plain byte-level vocabulary"):
+        ByteBpe(changed(BYTES, path, value))
+
+
 @settings(max_examples=200, deadline=None)
 @given(lengths=st.lists(st.integers(1, 64), max_size=60), sizes=st.sets(st.integers(1, 63), max_size=3))
 def test_bins_hold_what_they_say(lengths, sizes):
