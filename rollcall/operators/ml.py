@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, StopWordsRemover, VectorAssembler
@@ -56,15 +57,106 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(n), label).withColumn("weight", F.col("__t") / (2 * F.col("__c"))).drop("__c", "__t")
 
 
+class Stumps:
+    """Discrete adaptive boosting of small trees: each is fitted with the rows that the ones before it got wrong weighing
+    more, and votes by the logarithm of its odds of being right. Every round is one distributed fit and one sum."""
+
+    def __init__(self, label: str, weight: str | None = None, rounds: int = 10, rate: float = 1.0, depth: int = 1):
+        self.label, self.weight, self.rounds, self.rate, self.depth = label, weight, rounds, rate, depth
+
+    def getWeightCol(self) -> str | None:
+        return self.weight
+
+    def fit(self, df: DataFrame) -> Votes:
+        """Fitting ends early when a tree is right on all rows, or no better than chance. Rows without any weight give no
+        tree, and then every score is even."""
+        rows = df.withColumn("__w", F.col(self.weight).cast("double") if self.weight else F.lit(1.0))
+        trees: list[tuple] = []
+        while len(trees) < self.rounds:
+            said = f"__said{len(trees)}"
+            maker = DecisionTreeClassifier(maxDepth=self.depth, labelCol=self.label, featuresCol="features", weightCol="__w", predictionCol=said, rawPredictionCol="", probabilityCol="", seed=1)
+            if not trees and rows.isEmpty():
+                break
+            tree = maker.fit(rows)
+            judged = tree.transform(rows)
+            missed = (F.col(said) != F.col(self.label)).cast("double")
+            wrong = judged.agg(F.sum(missed * F.col("__w")) / F.sum("__w")).first()[0]
+            if wrong is None or wrong >= 0.5:
+                break
+            vote = self.rate * float(np.log((1 - wrong) / max(wrong, 1e-10)))
+            trees.append((tree, said, vote))
+            if wrong == 0:
+                break
+            rows = judged.withColumn("__w", F.col("__w") * F.exp(F.lit(vote) * missed)).drop(said)
+        return Votes(trees)
+
+
+class Votes:
+    """Fitted trees with their votes. rawPrediction holds the sum of votes for 0 and 1, of -1 to 1, probability its sigmoid."""
+
+    def __init__(self, trees: list[tuple]):
+        self.trees = trees
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        total = sum(vote for *_, vote in self.trees) or 1.0
+        side = F.lit(0.0)
+        for tree, said, vote in self.trees:
+            df = tree.transform(df)
+            side = side + F.lit(vote / total) * (2 * F.col(said) - 1)
+        df = df.withColumn("__side", side).drop(*(said for _, said, _ in self.trees))
+        one = 1 / (1 + F.exp(-F.col("__side")))
+        out = df.withColumn("rawPrediction", array_to_vector(F.array(-F.col("__side"), F.col("__side")))).withColumn("probability", array_to_vector(F.array(1 - one, one)))
+        return out.withColumn("prediction", (F.col("__side") > 0).cast("double")).drop("__side")
+
+
 def models(label: str, depth: int = 3, rounds: int = 10, weight: str | None = None) -> dict:
     common = {"labelCol": label, "featuresCol": "features"} | ({"weightCol": weight} if weight else {})
     return {
         "boosting": GBTClassifier(maxDepth=depth, maxIter=rounds, seed=1, **common),
         "forest": RandomForestClassifier(maxDepth=depth + 2, numTrees=20, seed=1, **common),
         "logistic": LogisticRegression(maxIter=50, regParam=0.01, **common),
+        "stumps": Stumps(label, weight, rounds),
     }
 
 
+#: Values that a search may take by kind of model (fixed values). A strength C is the inverse of regParam times rows; None
+#: stands for the deepest tree that Spark grows, 30.
+SPACES = {
+    "boosting": {"maxIter": [100, 200, 300], "maxDepth": [3, 5, 7], "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.8, 1.0], "minInstancesPerNode": [5, 10]},
+    "forest": {"numTrees": [100, 200, 300, 500], "maxDepth": [5, 10, 15, 20, None], "minInstancesPerNode": [2, 5, 10], "featureSubsetStrategy": ["sqrt", "log2", "0.3"]},
+    "logistic": {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "elasticNetParam": [1.0, 0.0]},
+    "stumps": {"rounds": [50, 100, 150, 200, 300], "rate": [0.01, 0.05, 0.1, 0.5, 1.0]},
+}
+
+
+def with_setting(kind: str, label: str, setting: dict, n_rows: int, weight: str = "weight"):
+    """A model of this kind with the values of one setting."""
+    if kind == "stumps":
+        return Stumps(label, weight, **setting)
+    values = {k: v for k, v in setting.items() if k != "C"}
+    if "C" in setting:
+        values["regParam"] = 1 / (setting["C"] * max(n_rows, 1))
+    if values.get("maxDepth", 0) is None:
+        values["maxDepth"] = 30
+    return models(label, weight=weight)[kind].copy().setParams(**values)
+
+
+def random_search(df: DataFrame, label: str, key: str, kind: str, tries: int = 20, n: int = 5, seed: int = 42, space: dict | None = None) -> tuple[dict, float]:
+    """The setting with the best cross-validated area of up to `tries` different ones drawn from a space (by default that
+    of the kind of model), and that area; of equal ones the first drawn."""
+    space = space or SPACES[kind]
+    every = list(product(*space.values()))
+    drawn = np.random.default_rng(seed).permutation(len(every))[:tries]
+    n_rows = df.count() if "C" in space else 0
+    best: tuple[dict, float] | None = None
+    for i in drawn:
+        setting = dict(zip(space, every[i], strict=True))
+        area = compare(df, label, key, n, {"m": with_setting(kind, label, setting, n_rows)})["m"]
+        if best is None or area > best[1]:
+            best = setting, area
+    return best
+
+
 def compare(df: DataFrame, label: str, key: str, n: int = 5, candidates: dict | None = None) -> dict[str, float]:
     """The mean area under the curve of each model over stratified folds. Both classes weigh the same in fitting."""
     data = folds(class_weights(df, label), label, key, n).persist()
@@ -182,14 +274,17 @@ def clusters(df: DataFrame, key: str, vector: str, ks: range = range(2, 9)) -> t
     return best
 
 
-def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 0) -> DataFrame:
+def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 300, sample: int = 256, seed: int = 0) -> DataFrame:
     """(key, score) of an isolation forest: 0.5 is ordinary, towards 1 is rare.
 
     Each tree needs only `sample` rows, so the forest is grown on the driver from trees times sample rows at most, taken by
     hash; scoring is one Arrow pass.
     """
     x = df.select(F.col(key).alias("__k"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
-    pool = x.orderBy(F.xxhash64("__k", F.lit(seed)), "__k").limit(min(trees * sample, 20_000)).toPandas()[columns].to_numpy()
+    wanted, total, place = min(trees * sample, 76_800), x.count(), F.xxhash64("__k", F.lit(seed))
+    # twice the wanted share by hash, so that no task has to order all rows
+    near = x.where(F.pmod(place, F.lit(1 << 30)) < int((1 << 30) * 2 * wanted / total)) if total > 2 * wanted else x
+    pool = near.orderBy(place, "__k").limit(wanted).toPandas()[columns].to_numpy()
     rng = np.random.default_rng(seed)
     size = min(sample, len(pool))
     forest = [grow(pool[rng.choice(len(pool), size, replace=False)], rng, int(np.ceil(np.log2(max(size, 2))))) for _ in range(trees)] if size else []

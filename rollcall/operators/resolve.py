@@ -66,17 +66,20 @@ def resolve(names: DataFrame, members: DataFrame, gold: DataFrame | None = None,
     return out.select("chamber", "name", F.coalesce("member_id", "m3").alias("member_id"), F.coalesce("method", F.when(F.col("m3").isNotNull(), "fuzzy").otherwise("unresolved")).alias("method"), confidence.alias("confidence"))
 
 
-def candidates(names: DataFrame, members: DataFrame, n: int = 5, threshold: float = 50.0) -> DataFrame:
-    """The n most similar members of its chamber for each name, blocked by chamber.
+def candidates(names: DataFrame, members: DataFrame, n: int = 5, threshold: float = 50.0, blocks: int = 32) -> DataFrame:
+    """The n most similar members of its chamber for each name.
 
-    The score is the token-sort ratio of the texts as they are written (case counts). Pairs whose edit distance is beyond
-    what the threshold allows to insertions and deletions, which are no fewer, are left out before they are scored.
+    The score is the token-sort ratio of the texts as they are written (case counts). Pairs whose lengths, and then edit
+    distance, differ by more than the threshold allows to insertions and deletions, which are no fewer, are left out
+    before they are scored. A chamber's members are dealt to blocks that every name of the chamber meets, so that the few
+    chambers don't bound the number of tasks; of each task's pairs only the n best of a name are shuffled.
     """
-    x = names.select("chamber", "name", token_sort(F.col("name"), False).alias("__x"))
-    y = members.select("chamber", "member_id", F.col("name").alias("full"), token_sort(F.col("name"), False).alias("__y"))
+    x = names.select("chamber", "name", token_sort(F.col("name"), False).alias("__x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+    y = members.select("chamber", "member_id", F.col("name").alias("full"), token_sort(F.col("name"), False).alias("__y"), F.pmod(F.xxhash64("member_id", "name"), F.lit(blocks)).cast("int").alias("__block"))
     room = (F.length("__x") + F.length("__y")) * (1 - threshold / 100) + 1e-9
-    near = x.join(y, "chamber").where(F.levenshtein("__x", "__y") <= room)
-    pairs = near.withColumn("score", indel_ratio("__x", "__y")).drop("__x", "__y").where(F.col("score") >= threshold)
+    fits = F.when(F.abs(F.length("__x") - F.length("__y")) <= room, F.levenshtein("__x", "__y") <= room)
+    near = x.join(y, ["chamber", "__block"]).where(fits)
+    pairs = near.withColumn("score", indel_ratio("__x", "__y")).drop("__x", "__y", "__block").where(F.col("score") >= threshold)
     w = Window.partitionBy("chamber", "name").orderBy(F.desc("score"), "member_id")
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as c
-from ..operators.metrics import INFLUENCE, RECRUITMENT, max_share, min_max, slip_summary, weighted
+from ..operators.metrics import INFLUENCE, MONEYBALL, RECRUITMENT, max_share, min_max, slip_summary, weighted
 from ..operators.relational import page, top_n
 
 
@@ -136,18 +136,30 @@ def describe_bill(numbers: DataFrame, bills: DataFrame, key: Column, loose: Colu
     return out.join(exact, out["number"] == exact["__e"], "left").join(near, "__l", "left").select("number", F.coalesce("d1", "d2").alias("description"))
 
 
+#: (kind, meaning, formula) by metric. Counts and shares come from bills alone; of a score, the weights are those it is made with.
 METRICS = {
-    "law_rate": "Share of a member's laws that passed.",
-    "depth_avg": "Mean stage, 0 to 6, that the member's laws reached.",
-    "magnet": "Co-sponsors per law.",
-    "bridge": "Share of laws with a co-sponsor of another party.",
-    "centrality": "Share of the other members with whom the member shares a bill.",
-    "institutional": "Weight of the member's offices, 0 to 1.",
-    "score": "Weighted mean of the above, 0 to 100.",
-    "pivotal_rate": "Share of close votes on the winning side.",
-    "pull": "How much better than the chamber's average the member's bills are predicted to do.",
+    "laws": ("count", "House and Senate bills of which the member is the chief sponsor; shells are left out.", "bills of the two kinds"),
+    "laws_passed": ("count", "Laws of the member that passed.", "laws with status passed"),
+    "law_rate": ("share", "Share of a member's laws that passed.", "laws_passed / laws"),
+    "passed": ("count", "Chief-sponsored bills of any kind that passed.", ""),
+    "vetoed": ("count", "Chief-sponsored bills that ended in a veto.", ""),
+    "stuck": ("count", "Chief-sponsored bills that never left their committee.", ""),
+    "in_progress": ("count", "Chief-sponsored bills neither passed, vetoed nor stuck.", ""),
+    "resolutions_passed": ("count", "Resolutions of the member that were adopted.", ""),
+    "depth_avg": ("mean", "Mean stage, 0 to 6, that the member's laws reached.", "sum of stages / laws"),
+    "magnet": ("mean", "Co-sponsors per law.", "co-sponsors of laws / laws"),
+    "bridge": ("share", "Share of laws with a co-sponsor of another party.", "laws with one / laws"),
+    "centrality": ("share", "Share of the other members with whom the member shares a bill.", "partners / (members - 1)"),
+    "volume": ("product", "Bills times the share of them that passed; mixes amount with success.", "bills * passed / bills"),
+    "institutional": ("weight", "Weight of the member's offices, 0 to 1.", "1 leaders, 0.5 chairs, 0.25 whips"),
+    "score": ("composite", "Weighted mean of shares and of values over their maximum, 0 to 100.", "weights"),
+    "pivotal_rate": ("share", "Share of close votes on the winning side.", ""),
+    "pull": ("difference", "How much better than the chamber's average the member's bills are predicted to do.", ""),
 }
 
 
 def glossary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(METRICS.items()), "metric string, meaning string")
+    """(metric, kind, meaning, formula), formula null where the meaning says all, and a row per weight of the score."""
+    rows = [(k, kind, meaning, formula or None) for k, (kind, meaning, formula) in METRICS.items()]
+    rows += [(f"score.{k}", "weight of score", f"Part of {k} in the score.", f"{w:.2f}") for k, w in MONEYBALL.items()]
+    return spark.createDataFrame(rows, "metric string, kind string, meaning string, formula string")

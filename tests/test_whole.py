@@ -1,6 +1,11 @@
 """Bound queries over whole tables: no bound on ids or rows, shown on tables larger than any such bound."""
 
+import math
+
 import pytest
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 from test_oracle import duck
 
 from rollcall.operators import graph, ml
@@ -106,8 +111,8 @@ def test_comparison_has_all_models_folds_and_weights(labelled, monkeypatch):
     for kind in {type(m) for m in ml.models("label").values()}:
         monkeypatch.setattr(kind, "fit", lambda self, rows, *a, f=kind.fit: (seen.append((type(self).__name__, self.getWeightCol(), {(r["label"], round(r["weight"], 6)) for r in rows.select("label", "weight").distinct().collect()})), f(self, rows, *a))[1])
     found = ml.compare(labelled, "label", "id")
-    assert set(found) == {"boosting", "forest", "logistic"} and all(0 <= x <= 1 for x in found.values())
-    assert len(seen) == 15 and {x[1] for x in seen} == {"weight"} and all(x[2] == {(0.0, 0.555556), (1.0, 5.0)} for x in seen)
+    assert set(found) == {"boosting", "forest", "logistic", "stumps"} and all(0 <= x <= 1 for x in found.values())
+    assert len(seen) == 20 and {x[1] for x in seen} == {"weight"} and all(x[2] == {(0.0, 0.555556), (1.0, 5.0)} for x in seen)
 
 
 def test_tuned_depth_is_the_best_of_the_grid(labelled, monkeypatch):
@@ -116,7 +121,61 @@ def test_tuned_depth_is_the_best_of_the_grid(labelled, monkeypatch):
     assert ml.tune(labelled, "label", "id") == (3, 0.9)
 
 
+def boosted_by_hand(rows, rounds):
+    """Adaptive boosting with the best single cut of all, on (x, y, label, weight) rows."""
+    w, cuts = [r[3] for r in rows], []
+    for _ in range(rounds):
+        tried = []
+        for c in (0, 1):
+            for t in {r[c] for r in rows}:
+                for low in (0, 1):
+                    tried.append((sum(v for r, v in zip(rows, w) if (low if r[c] <= t else 1 - low) != r[2]) / sum(w), c, t, low))
+        wrong, c, t, low = min(tried)
+        if wrong >= 0.5:
+            break
+        vote = math.log((1 - wrong) / max(wrong, 1e-10))
+        cuts.append((c, t, low, vote))
+        if wrong == 0:
+            break
+        w = [v * (math.exp(vote) if (low if r[c] <= t else 1 - low) != r[2] else 1) for r, v in zip(rows, w)]
+    total = sum(x[3] for x in cuts)
+    return [sum(v * (2 * (low if r[c] <= t else 1 - low) - 1) for c, t, low, v in cuts) / total for r in rows]
+
+
+def test_boosted_stumps_against_all_cuts(spark):
+    rows = [(float(i % 7), float(i * 5 % 11), float((i % 7 > 3) != (i % 13 == 0)), 1.0 + (i % 3)) for i in range(200)]
+    df = ml.assemble(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, x double, y double, label double, v double"), ["x", "y"])
+    fitted = ml.Stumps("label", "v", 1).fit(df)
+    got = [r["s"] for r in fitted.transform(df).orderBy("id").select(vector_to_array("rawPrediction")[1].alias("s")).collect()]
+    assert got == pytest.approx(boosted_by_hand(rows, 1))
+    area = BinaryClassificationEvaluator(labelCol="label")
+    assert area.evaluate(ml.Stumps("label", "v", 12).fit(df).transform(df)) >= area.evaluate(fitted.transform(df))
+    none = ml.Stumps("label").fit(df.limit(0)).transform(df).first()
+    assert none["prediction"] == 0 and list(none["probability"]) == [0.5, 0.5]
+    sure = ml.Stumps("x1").fit(df.withColumn("x1", (F.col("x") > 2).cast("double")))
+    assert len(sure.trees) == 1
+
+
+def test_random_search_draws_different_settings(labelled, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ml, "compare", lambda df, label, key, n, candidates: (seen.append(candidates["m"]), {"m": 0.5 + 0.01 * (len(seen) == 7)})[1])
+    setting, area = ml.random_search(labelled, "label", "id", "boosting")
+    made = {tuple(m.getOrDefault(p) for p in ("maxIter", "maxDepth", "stepSize", "subsamplingRate", "minInstancesPerNode")) for m in seen}
+    assert len(seen) == 20 and len(made) == 20 and area == 0.51
+    assert tuple(setting.values()) == tuple(seen[6].getOrDefault(p) for p in setting)
+    for kind, count in (("logistic", 10), ("forest", 20), ("stumps", 20)):
+        seen.clear()
+        ml.random_search(labelled, "label", "id", kind)
+        assert len(seen) == count
+    assert {m.weight for m in seen} == {"weight"} and len({(m.rounds, m.rate) for m in seen}) == 20
+
+
+def test_random_search_fits(labelled):
+    setting, area = ml.random_search(labelled, "label", "id", "forest", tries=2, n=2, space={"numTrees": [3, 5], "maxDepth": [None, 2]})
+    assert set(setting) == {"numTrees", "maxDepth"} and 0.5 < area <= 1
+
+
 def test_model_queries(spark, sf):
-    assert {r["model"] for r in QUERIES["m6_model_comparison"](spark, sf).collect()} == {"boosting", "forest", "logistic"}
+    assert {r["model"] for r in QUERIES["m6_model_comparison"](spark, sf).collect()} == {"boosting", "forest", "logistic", "stumps"}
     best = QUERIES["m7_tuned_depth"](spark, sf).collect()
     assert len(best) == 1 and best[0]["depth"] in (2, 3, 4)
