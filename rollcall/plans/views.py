@@ -55,9 +55,11 @@ def allies(seatmates: DataFrame, profiles: DataFrame, limit_to: DataFrame | None
 
 
 def zip_search(found: DataFrame, brokers: DataFrame, ally: DataFrame) -> DataFrame:
-    """A row per zip with its legislators, broker and ally; one who is both is shown once with both roles."""
-    rows = found.crossJoin(F.broadcast(brokers.select(F.col("member_id").alias("broker")))).join(ally.select(F.col("member_id").alias("senator"), F.col("ally_id").alias("ally")), "senator", "left")
-    both = F.col("broker").eqNullSafe(F.col("ally"))
+    """A row per zip with its legislators, broker and ally; one who is both is shown once with both roles. Of several
+    brokers the one of the least id is shown, and null where there is none."""
+    one = brokers.agg(F.min("member_id").alias("broker"))  # always one row
+    rows = found.crossJoin(F.broadcast(one)).join(ally.select(F.col("member_id").alias("senator"), F.col("ally_id").alias("ally")), "senator", "left")
+    both = F.coalesce(F.col("broker") == F.col("ally"), F.lit(False))
     return rows.select("zip", "senator", "representative", "broker", F.when(~both, F.col("ally")).alias("ally"), both.alias("broker_is_ally"))
 
 

@@ -59,6 +59,9 @@ def test_zip_and_ally(spark):
     broker = spark.createDataFrame([("3",)], "member_id string")
     r = views.zip_search(found, broker, views.allies(mates, prof)).first()
     assert r["broker_is_ally"] and r["ally"] is None
+    for rows, shown in (([("9",), ("5",)], "5"), ([], None)):
+        some = views.zip_search(found, spark.createDataFrame(rows, "member_id string"), views.allies(mates, prof)).collect()
+        assert [(r["broker"], r["ally"], r["broker_is_ally"]) for r in some] == [(shown, "3", False)]
 
 
 def test_small_sources(spark, tmp_path):
