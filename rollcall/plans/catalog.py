@@ -736,7 +736,7 @@ def m14_clusters(s, d):
 @query()
 def m15_anomalies(s, d):
     f = metrics.anomaly_features(slips(s, d), "bill_id")
-    return ml.flag(ml.isolation_scores(f, "bill_id", ["hhi", "top_share", "duplication", "unanimity", "written_ratio", "diversity", "log_total"], trees=50))
+    return ml.flag(ml.isolation_scores(f, "bill_id", ["hhi", "top_share", "duplication", "unanimity", "written_ratio", "diversity", "log_total"]))
 
 
 @query()
