@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, embeddings, packing, quality_rules, simhash, suffix, token_files, toxicity
+from . import chat, classifier, embeddings, merkle, packing, quality_rules, reference_sql, simhash, suffix, token_files, toxicity
 from .bpe import decode_bpe, encode_bpe
 
 
@@ -101,5 +101,22 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_binary(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_quality_rules, op4_quality_classifier, op5_embedding_near_dedup, op6_suffix_array_dedup, op7_toxicity, op8_bpe_codec, op9_chat_formatting, op10_token_binary)}
-ORACLE_SQL = {"op9_chat_formatting": OP9_SQL}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_best_fit_packing,
+    op2_simhash_near_dedup,
+    op3_quality_rules,
+    op4_quality_classifier,
+    op5_embedding_near_dedup,
+    op6_suffix_array_dedup,
+    op7_toxicity,
+    op8_bpe_codec,
+    op9_chat_formatting,
+    op10_token_binary,
+    op12_merkle_manifest,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE_SQL = {"op9_chat_formatting": OP9_SQL, "op12_merkle_manifest": reference_sql.merkle_sql()}

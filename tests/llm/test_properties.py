@@ -2,6 +2,7 @@
 
 import io
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,13 +91,21 @@ def test_repeats_equal_a_count(parts, data):
     blocks = [bytes(data.draw(st.lists(st.integers(97, 98), min_size=1, max_size=9))) for _ in range(4)]
     contexts = [b"".join(blocks[p] for p in parts[i::2]) for i in range(2)]
     length = data.draw(st.integers(1, 12))
+    reach = length + data.draw(st.integers(0, 6))
     contexts = [x for x in contexts if len(x) >= length]
     if not contexts:
         return
     spans = [len(x) - length + 1 for x in contexts]
-    seen = [x[i : i + length] for x, n in zip(contexts, spans, strict=True) for i in range(n)]
-    want = [[i for i in range(n) if seen.count(x[i : i + length]) > 1] for x, n in zip(contexts, spans, strict=True)]
-    assert [s.tolist() for s in suffix.repeated_starts(contexts, spans, length)] == want
+
+    def counted(n):
+        """Starts below the span whose n bytes also start at another such place; windows that don't fit are none."""
+        seen = [[x[i : i + n] for i in range(s) if i + n <= len(x)] for x, s in zip(contexts, spans, strict=True)]
+        every = Counter(w for x in seen for w in x)
+        return [[i for i, w in enumerate(x) if every[w] > 1] for x in seen]
+
+    got = suffix.repeated_starts(contexts, spans, length, reach)
+    assert [a.tolist() for a, _ in got] == counted(length)
+    assert [b.tolist() for _, b in got] == counted(reach)
 
 
 @settings(max_examples=100, deadline=None)
