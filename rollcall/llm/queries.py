@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, embeddings, merkle, packing, quality_rules, reference_sql, simhash, suffix, token_files, toxicity
+from . import chat, classifier, contamination, embeddings, merkle, packing, quality_rules, reference_sql, simhash, suffix, token_files, toxicity
 from .bpe import decode_bpe, encode_bpe
 
 
@@ -105,6 +105,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(table(spark, sf_dir, "documents"))
 
 
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _ALL = (
     op1_best_fit_packing,
     op2_simhash_near_dedup,
@@ -117,6 +121,11 @@ _ALL = (
     op9_chat_formatting,
     op10_token_binary,
     op12_merkle_manifest,
+    op13_benchmark_decontamination,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL = {"op9_chat_formatting": OP9_SQL, "op12_merkle_manifest": reference_sql.merkle_sql()}
+ORACLE_SQL = {
+    "op9_chat_formatting": OP9_SQL,
+    "op12_merkle_manifest": reference_sql.merkle_sql(),
+    "op13_benchmark_decontamination": reference_sql.contamination_sql(),
+}

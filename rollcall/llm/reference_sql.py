@@ -47,3 +47,26 @@ def merkle_sql(levels: int = 9) -> str:
     case when x.real then d.proof || x.before || x.after else d.proof end as proof) from d{i} d join {name}_side{k} x on {key})""")
         rows = f"d{i + 1}"
     return "with " + ",\n".join(parts) + f"\nselect doc_id, leaf, subroot, root, sha256(proof) proof_sha256, folded folded_root, folded = root verified from {rows}"
+
+
+WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def contamination_sql() -> str:
+    """Windows as joined words, met by equality."""
+
+    def runs(table: str, key: str) -> str:
+        return f"(select {key}, regexp_extract_all(translate(coalesce(text, ''), {A_Z}), {WORD}) w from {table})"
+
+    return f"""
+with d as (select row_number() over () id, doc_id, w from {runs("documents", "doc_id")}),
+i as (select coalesce(item_id::varchar, '') item, w from {runs("benchmark", "item_id")} where len(w) > 0),
+win as (select distinct item, least(len(w), 10) n, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') s
+  from (select item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) p from i)),
+places as (select id, p, n, array_to_string(w[p : p + n - 1], ' ') s from (select id, w, n, unnest(range(1, len(w) - n + 2)) p from d cross join (select distinct n from win))),
+found as (select id, p, places.n, item from places join win on win.n = places.n and win.s = places.s),
+hit as (select id, count(distinct q) n_hit from (select id, unnest(range(p, p + n)) q from found) group by id),
+items as (select id, count(distinct item) n_items, string_agg(distinct item, ',' order by item) names from found group by id)
+select doc_id, len(w) n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(names, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join hit using (id) left join items using (id)
+"""
