@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, contamination, embeddings, merkle, packing, quality_rules, reference_sql, simhash, suffix, token_files, toxicity
+from . import chat, classifier, contamination, embeddings, merkle, packing, quality_rules, reference_sql, simhash, spelling, suffix, token_files, toxicity
 from .bpe import decode_bpe, encode_bpe
 
 
@@ -101,6 +101,10 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_binary(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.corpus_words(table(spark, sf_dir, "documents")))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(table(spark, sf_dir, "documents"))
 
@@ -120,12 +124,14 @@ _ALL = (
     op8_bpe_codec,
     op9_chat_formatting,
     op10_token_binary,
+    op11_spelling_variants,
     op12_merkle_manifest,
     op13_benchmark_decontamination,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {
     "op9_chat_formatting": OP9_SQL,
+    "op11_spelling_variants": reference_sql.spelling_sql(),
     "op12_merkle_manifest": reference_sql.merkle_sql(),
     "op13_benchmark_decontamination": reference_sql.contamination_sql(),
 }

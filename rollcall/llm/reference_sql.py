@@ -70,3 +70,24 @@ items as (select id, count(distinct item) n_items, string_agg(distinct item, ','
 select doc_id, len(w) n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(names, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join hit using (id) left join items using (id)
 """
+
+
+def spelling_sql() -> str:
+    """Near words by deletions: a replacement leaves the same rest at one place, an insertion the shorter word."""
+    code = "case when unicode(x) < 128 then [unicode(x)] else [195, unicode(x) - 64] end"  # UTF-8 of U+00C0 to U+00FF
+    return f"""
+with recursive run as (select coalesce(doc_id::varchar, '') || ':' id, unnest(regexp_extract_all(translate(coalesce(text, ''), {A_Z}), '[a-zÀ-ÿ]+')) run from documents),
+distinct_runs as (select id, run, count(*) n from run where length(run) >= 7 group by all),
+hashed as (select *, {crc32(f"flatten(list_transform(string_split(id || run, ''), lambda x: {code}))")} h from distinct_runs),
+slipped as (select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end word, n from hashed),
+words as (select word, sum(n)::bigint n from slipped where length(word) >= 7 group by word having sum(n) >= 2),
+rest as (select word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) rest from (select *, unnest(range(1, length(word) + 1)) p from words)),
+near as (select a.word, b.word form, b.n form_n from rest a join rest b on a.rest = b.rest and a.p = b.p and a.word <> b.word
+  union select a.word, b.word, b.n from words a join rest b on a.word = b.rest
+  union select b.word, a.word, a.n from words a join rest b on a.word = b.rest),
+best as (select word, count(*) n_near, first(form order by form_n desc, form) form, max(form_n) form_n from near group by word),
+forms as (select word, n, coalesce(n_near, 0)::bigint n_near, case when form_n >= 10 * n then form end form, case when form_n >= 10 * n then form_n end form_n from words left join best using (word)),
+chain as (select word, form here, 1 step from forms where form is not null union all select chain.word, forms.form, step + 1 from chain join forms on forms.word = chain.here where forms.form is not null),
+ends as (select word, last(here order by step) root from chain group by word)
+select word, form, coalesce(root, word) root, n, n_near, form_n from forms left join ends using (word)
+"""
