@@ -71,13 +71,14 @@ def fold_of(doc_id) -> "F.Column":
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, total_bytes: int, doc_id: str = "doc_id", text: str = "text") -> Iterator[tuple[bytes, int]]:
     """(text, 0 or 1) of at most rows labelled documents of the learning folds, of total_bytes together, by doc_id.
 
-    Documents are taken in order of a hash of doc_id, so that the sample doesn't depend on layout; one that no longer fits
-    is passed over. Null labels and ids are
+    Of the ids that have both a label and a document, those of least hash are taken, so that the sample doesn't depend on
+    layout and labels of other documents take no place in it; one that no longer fits is passed over. Null labels and ids are
     left out; of conflicting labels the mean decides, one half counting as 1; of rows that repeat an id the least text is
     read. Both bounds hold before texts reach the driver, and they come partition by partition.
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold_of(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+    known = known.join(docs.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     found = materialize(found.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "labelled-sample")

@@ -32,3 +32,15 @@ def test_toxicity_stage_without_both_labels_keeps_all(spark, tmp_path):
     for k, rows in enumerate(([], [(i, 1, 1) for i in range(20)])):
         spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
         assert pipeline.toxicity(spark, docs, f"{tmp_path}/{k}").count() == 20
+
+
+def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
+    """Labels for a hundred times as many ids as there are documents: the sample is as full as its bound allows."""
+    from rollcall.llm.hashing import fold_of, labelled_sample
+
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    docs = spark.range(0, 60_000, 100).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    learnable = docs.where(fold_of(F.col("doc_id")) != 0).count()
+    assert learnable > 400
+    assert len(list(labelled_sample(docs, labels, "toxic", 300, 1 << 20))) == 300
+    assert len(list(labelled_sample(docs, labels, "toxic", 5_000, 1 << 20))) == learnable
