@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import indel_ratio, member_name_parts, name_key, seat_key, seat_name_parts, token_sort
+from ..sources.scratch import materialize
 
 
 def variants(members: DataFrame) -> DataFrame:
@@ -45,8 +47,7 @@ def resolve(names: DataFrame, members: DataFrame, gold: DataFrame | None = None,
     """(chamber, name, member_id, method, confidence) for each distinct name.
 
     In turn: no member, a known mapping, a variant, a variant without a vote code before it, the most similar member of
-    the chamber from threshold on, unresolved. Only names left over are compared with the members of their chamber, whose
-    number the chamber bounds.
+    the chamber from threshold on, unresolved. Only names left over are looked for among similar ones.
     """
     n = names.select("chamber", "name").distinct().withColumn("key", name_key(F.col("name")))
     n = n.withColumn("stripped", name_key(F.regexp_replace("name", CODE_PREFIX, "")))
@@ -66,20 +67,87 @@ def resolve(names: DataFrame, members: DataFrame, gold: DataFrame | None = None,
     return out.select("chamber", "name", F.coalesce("member_id", "m3").alias("member_id"), F.coalesce("method", F.when(F.col("m3").isNotNull(), "fuzzy").otherwise("unresolved")).alias("method"), confidence.alias("confidence"))
 
 
+#: Grams that are ordered by frequency, the most frequent last; all others come before them.
+FREQUENT = 4096
+
+
+def _grams(rows: DataFrame, keys: list[str], text: str, frequent: DataFrame | None, threshold: float, q: int) -> DataFrame:
+    """rows (keys, text) with a row per q-gram of a prefix: gram, at, k (its place by falling rarity), size and bucket.
+
+    Texts are framed, so that n code points have n + q - 1 grams. The prefix is as long as any partner's length may ask for:
+    q times the number of code points by which the shortest partner can differ, and one. Buckets grow by the factor of lengths
+    that can still be similar, so that partners lie in the same bucket or a neighbouring one. Without frequent: all grams.
+    """
+    t = threshold / 100
+    size = F.length(text)
+    framed = F.concat(F.lit("\u0002" * (q - 1)), text, F.lit("\u0003" * (q - 1)))
+    each = F.transform(F.sequence(F.lit(1), size + q - 1), lambda i: F.struct(framed.substr(i, F.lit(q)).alias("gram"), i.alias("at")))
+    out = rows.select(*keys, size.alias("size"), F.explode(each).alias("x")).select(*keys, "size", "x.*")
+    if frequent is None:
+        return out
+    out = out.join(F.broadcast(frequent), "gram", "left").groupBy(*keys, "size")
+    out = out.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("place", F.lit(-1)).alias("place"), "gram", "at"))).alias("__all"))
+    most = F.floor(q * F.col("size") * (2 - 2 * t) / (2 - t) + 1e-9) + 1
+    grow = 1.0001 * (2 - t) / t  # a little more, for rounded logarithms
+    bucket = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(np.log(grow))).cast("int")
+    return out.select(*keys, "size", bucket.alias("bucket"), F.posexplode(F.slice("__all", F.lit(1), most.cast("int"))).alias("k", "x")).select(*keys, "size", "bucket", "k", "x.gram", "x.at")
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], left_text: str, right_text: str, by: str, threshold: float) -> DataFrame:
+    """All pairs of a row of left and one of right with the same value of `by` whose texts have an indel ratio of threshold
+    (a percentage of two thirds at least) or more: left_keys, right_keys, by and both texts, not yet scored but for the
+    filters, and met, the number of places that they share. Keys with the texts name the rows; names of columns must differ
+    between the sides. What is asked of a pair next should depend on met: Spark would ask it before pairs are taken once.
+
+    d insertions and deletions between texts of n and m code points (d at most (n + m) (1 - threshold), of the parity of
+    n - m) are (d + n - m) / 2 deletions, which spoil q grams of the left text each, and (d - n + m) / 2 insertions, which
+    spoil q - 1. So both texts keep a shared gram among their rarest: q deletions + (q - 1) insertions + 1 of the left one's,
+    q insertions + (q - 1) deletions + 1 of the right one's (of trigrams from 80 on, of bigrams below: there are always as
+    many); and it moves to the right by at most the insertions, to the left by at
+    most the deletions. Rows meet by (by, length bucket, gram); prefixes and places are held against each pair's own
+    lengths, and a pair that meets more than once is taken once. No pair is lost.
+    """
+    if threshold < 200 / 3:
+        raise ValueError("below two thirds similar texts need not share a gram")
+    spread, q = 1 - threshold / 100, 3 if threshold >= 80 else 2
+    kl, kr = [*left_keys, left_text], [*right_keys, right_text]
+    counts = _grams(right.where(F.col(right_text).isNotNull()), [by, *kr], right_text, None, threshold, q).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.orderBy(F.desc("n"), "gram").limit(FREQUENT)
+    frequent = materialize(top.select("gram", (-F.dense_rank().over(Window.orderBy(F.desc("n"), "gram")) + FREQUENT).alias("place")), "frequent-grams")
+    x = _grams(left.where(F.col(left_text).isNotNull()), [by, *kl], left_text, frequent, threshold, q)
+    x = x.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)))
+    x = x.select(by, "bucket", "gram", *kl, F.col("size").alias("__n"), F.col("k").alias("__kx"), F.col("at").alias("__ax"))
+    y = _grams(right.where(F.col(right_text).isNotNull()), [by, *kr], right_text, frequent, threshold, q)
+    y = y.select(by, "bucket", "gram", *kr, F.col("size").alias("__m"), F.col("k").alias("__ky"), F.col("at").alias("__ay"))
+    room = F.floor((F.col("__n") + F.col("__m")) * spread + 1e-9)
+    d = room - F.pmod(room - F.col("__n") + F.col("__m"), F.lit(2))  # the most edits of the right parity
+    gone, new = (d + F.col("__n") - F.col("__m")) / 2, (d - F.col("__n") + F.col("__m")) / 2
+    moved = F.col("__ay") - F.col("__ax")
+    fits = (gone >= 0) & (new >= 0) & (moved <= new) & (moved >= -gone) & (F.col("__kx") <= q * gone + (q - 1) * new) & (F.col("__ky") <= q * new + (q - 1) * gone)
+    return x.join(y, [by, "bucket", "gram"]).where(fits).groupBy(by, *kl, *kr).agg(F.count(F.lit(1)).alias("met"))
+
+
 def candidates(names: DataFrame, members: DataFrame, n: int = 5, threshold: float = 50.0, blocks: int = 32) -> DataFrame:
     """The n most similar members of its chamber for each name.
 
-    The score is the token-sort ratio of the texts as they are written (case counts). Pairs whose lengths, and then edit
-    distance, differ by more than the threshold allows to insertions and deletions, which are no fewer, are left out
-    before they are scored. A chamber's members are dealt to blocks that every name of the chamber meets, so that the few
-    chambers don't bound the number of tasks; of each task's pairs only the n best of a name are shuffled.
+    The score is the token-sort ratio of the texts as they are written (case counts). From a threshold of two thirds on,
+    only pairs that share a rare gram at a fitting place are looked at (similar_pairs). Below that similar texts need not
+    share any: then all pairs of a chamber are looked at, with its members dealt to blocks that every name of the chamber
+    meets, so that the few chambers don't bound the number of tasks. Either way a pair whose lengths, and then edit distance,
+    differ by more than the threshold allows to insertions and deletions, which are no fewer, is left out before it is
+    scored; of each task's pairs only the n best of a name are shuffled.
     """
-    x = names.select("chamber", "name", token_sort(F.col("name"), False).alias("__x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
-    y = members.select("chamber", "member_id", F.col("name").alias("full"), token_sort(F.col("name"), False).alias("__y"), F.pmod(F.xxhash64("member_id", "name"), F.lit(blocks)).cast("int").alias("__block"))
+    x = names.select("chamber", "name", token_sort(F.col("name"), False).alias("__x"))
+    y = members.select("chamber", "member_id", F.col("name").alias("full"), token_sort(F.col("name"), False).alias("__y"))
+    if threshold >= 200 / 3:
+        near = similar_pairs(x, y, ["name"], ["member_id", "full"], "__x", "__y", "chamber", threshold)
+    else:
+        x = x.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        y = y.withColumn("__block", F.pmod(F.xxhash64("member_id", "full"), F.lit(blocks)).cast("int"))
+        near = x.join(y, ["chamber", "__block"]).drop("__block").withColumn("met", F.lit(1))
     room = (F.length("__x") + F.length("__y")) * (1 - threshold / 100) + 1e-9
-    fits = F.when(F.abs(F.length("__x") - F.length("__y")) <= room, F.levenshtein("__x", "__y") <= room)
-    near = x.join(y, ["chamber", "__block"]).where(fits)
-    pairs = near.withColumn("score", indel_ratio("__x", "__y")).drop("__x", "__y", "__block").where(F.col("score") >= threshold)
+    near = near.where(F.when((F.col("met") > 0) & (F.abs(F.length("__x") - F.length("__y")) <= room), F.levenshtein("__x", "__y") <= room))
+    pairs = near.withColumn("score", indel_ratio("__x", "__y")).drop("__x", "__y", "met").where(F.col("score") >= threshold)
     w = Window.partitionBy("chamber", "name").orderBy(F.desc("score"), "member_id")
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 

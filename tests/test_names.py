@@ -33,13 +33,13 @@ def test_ratio_of_any_texts(spark):
     assert got == pytest.approx(want)
 
 
-@pytest.mark.parametrize("threshold", [50.0, 80.0, 100.0])
+@pytest.mark.parametrize("threshold", [50.0, 66.0, 67.0, 80.0, 90.0, 100.0])
 def test_candidates_are_the_most_similar(spark, threshold):
     rng = random.Random(7)
     words = ["Mary", "mary", "A.", "Jones", "Jonas", "O'Neil", "van", "Dam", "Smith-Lee", "Åsa", "Li"]
     name = lambda: "  ".join(rng.choices(words, k=rng.randint(1, 4)))
-    members = [(i, rng.choice("HS"), name()) for i in range(40)]
-    names = sorted({(rng.choice("HSX"), name()) for _ in range(30)})
+    members = [(i, rng.choice("HS"), name()) for i in range(40)] + [(40, "H", ""), (41, "H", "a" * 300)]
+    names = sorted({(rng.choice("HSX"), name()) for _ in range(30)} | {("H", ""), ("H", "a" * 301), ("S", "aaaaaaa")})
     m = spark.createDataFrame(members, "member_id long, chamber string, name string")
     found = resolve.candidates(spark.createDataFrame(names, "chamber string, name string"), m, 3, threshold)
     want = set()
@@ -49,6 +49,59 @@ def test_candidates_are_the_most_similar(spark, threshold):
     assert {(r["chamber"], r["name"], r["member_id"], round(r["score"], 6), r["place"]) for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("threshold", [90.0, 95.0])
+def test_similarity_join_loses_no_pair_and_looks_at_few(spark, threshold):
+    """5,000 members and 2,000 misspelled or other names against all pairs."""
+    rng = random.Random(11)
+    parts = ["Ander", "son", "Bern", "ard", "Cas", "tillo", "De", "lacroix", "Ed", "wards", "Fitz", "gerald", "Gon", "zalez", "Har", "ington", "Jo", "hannsen", "Kowal", "ski", "Lind", "strom", "Mc", "Allister"]
+    word = lambda: "".join(rng.choices(parts, k=rng.randint(1, 3))).capitalize()
+    members = [(i, rng.choice("HS"), f"{word()} {rng.choice('ABCDEFGH')}. {word()}") for i in range(5000)]
+
+    def spoiled(n):
+        n = list(n)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(n))
+            n[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "e"])
+        rng.random() < 0.2 and n.reverse()
+        return "".join(n)
+
+    names = sorted({(c, spoiled(n)) for _, c, n in rng.sample(members, 2000)})
+    m = spark.createDataFrame(members, "member_id long, chamber string, name string")
+    x = spark.createDataFrame(names, "chamber string, name string").select("chamber", "name", text.token_sort(F.col("name"), False).alias("__x"))
+    y = m.select("chamber", "member_id", F.col("name").alias("full"), text.token_sort(F.col("name"), False).alias("__y"))
+    room = (F.length("__x") + F.length("__y")) * (1 - threshold / 100) + 1e-9
+    every = x.join(y, "chamber")
+    near = every.where(F.abs(F.length("__x") - F.length("__y")) <= room).where(F.levenshtein("__x", "__y") <= room)
+    want = {(r["name"], r["member_id"]) for r in near.where(text.indel_ratio("__x", "__y") >= threshold).collect()}
+    found = resolve.similar_pairs(x, y, ["name"], ["member_id", "full"], "__x", "__y", "chamber", threshold).cache()
+    assert len(want) > 400
+    assert want <= {(r["name"], r["member_id"]) for r in found.collect()}
+    total = every.count()
+    assert found.count() < 0.02 * total  # names made of 24 syllables share many grams
+    assert found.where((F.col("met") > 0) & (F.levenshtein("__x", "__y") <= room)).count() < 0.001 * total  # what is scored
+    found.unpersist()
+
+
+def test_cascade_of_odd_names(spark):
+    """Every method once: no member, known, exact, after a vote code, similar, unresolved; nulls match nothing."""
+    members = spark.createDataFrame([(1, "Mary Ann Flowers", "H"), (2, "Emanuel Welch", "H"), (3, "Robert Martwick", "S"), (4, None, "S")], "member_id long, name string, chamber string")
+    gold = spark.createDataFrame([("Chris", 2)], "name string, member_id long")
+    names = spark.createDataFrame([("H", "Mr. Speaker"), ("H", "Chris"), ("H", "Flowers, Mary Ann"), ("H", "Y Welch, Emanuel"), ("S", "Robert Martwik"), ("H", "Robert Martwik"), ("S", "Zzz"), ("S", None), (None, "Flowers"), ("S", "")], "chamber string, name string")
+    got = {(r["chamber"], r["name"]): (r["member_id"], r["method"]) for r in resolve.resolve(names, members, gold).collect()}
+    assert got == {
+        ("H", "Mr. Speaker"): (None, "non_member"),
+        ("H", "Chris"): (2, "gold"),
+        ("H", "Flowers, Mary Ann"): (1, "exact"),
+        ("H", "Y Welch, Emanuel"): (2, "stripped"),
+        ("S", "Robert Martwik"): (3, "fuzzy"),
+        ("H", "Robert Martwik"): (None, "unresolved"),
+        ("S", "Zzz"): (None, "unresolved"),
+        ("S", None): (None, "unresolved"),
+        (None, "Flowers"): (None, "unresolved"),
+        ("S", ""): (None, "non_member"),
+    }
+
+
 def test_known_ratios(spark):
     pairs = [("Jones Mary", "Mary Jones", 100.0), ("abcd", "abxd", 75.0), ("JONES", "jones", 0.0)]
     rows = spark.createDataFrame(pairs, "a string, b string, want double")
