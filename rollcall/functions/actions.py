@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .classify import is_favorable_report, is_re_referral, starts_any
+from .classify import is_favorable_report, is_re_referral, is_unfavorable_report, starts_any
 
 STAGE_ORDER = ("FILED", "IN_COMMITTEE", "PASSED_COMMITTEE", "FLOOR_VOTE", "CHAMBER_PASSED", "CROSSED_CHAMBERS", "PASSED_BOTH", "GOVERNOR", "SIGNED")
 
-#: (pattern, how it is matched, category, signal, stage), first match wins. startswith, contains and exact ignore case;
-#: subject is "To ..." with a subject other than a veto or total.
+#: (pattern, how it is matched, category, signal, stage), first match wins. startswith, contains and exact ignore case; of a
+#: pattern in two parts ("third reading|lost") the text starts with the first and contains the second; subject is "To ..."
+#: with a subject other than a veto or total. Report types, referral forms, concurrence options and kinds of veto are those
+#: of the chambers' rules; signals and stages of lost votes, unfavourable reports and vetoes are this library's own choice: a
+#: lost vote reaches no further stage, an unfavourable report leaves a bill in committee, only a veto that stands ends it.
 PATTERNS = (
     ("prefiled", "startswith", "filing", "neutral", "FILED"),
     ("filed with", "startswith", "filing", "neutral", "FILED"),
@@ -18,10 +21,19 @@ PATTERNS = (
     ("added as", "contains", "sponsorship", "positive_weak", None),
     ("chief sponsor changed", "contains", "sponsorship", "neutral", None),
     ("sponsor removed", "contains", "sponsorship", "negative_weak", None),
+    ("assignments refers to", "startswith", "assignment", "neutral", "IN_COMMITTEE"),
+    ("approved for consideration", "startswith", "assignment", "positive", "IN_COMMITTEE"),
     ("assigned to", "startswith", "assignment", "positive_weak", "IN_COMMITTEE"),
     ("referred to", "startswith", "assignment", "neutral", "IN_COMMITTEE"),
     ("re-assigned to", "startswith", "assignment", "neutral", "IN_COMMITTEE"),
     ("to ", "subject", "assignment", "neutral", "IN_COMMITTEE"),
+    ("do not pass", "startswith", "committee_action", "negative", "IN_COMMITTEE"),
+    ("be not adopted", "startswith", "committee_action", "negative", "IN_COMMITTEE"),
+    ("recommend do not adopt", "startswith", "committee_action", "negative", "IN_COMMITTEE"),
+    ("without recommendation", "startswith", "committee_action", "negative_weak", "IN_COMMITTEE"),
+    ("motion do pass|lost", "startswith", "committee_action", "negative", "IN_COMMITTEE"),
+    ("be adopted", "startswith", "committee_action", "positive", "PASSED_COMMITTEE"),
+    ("recommend do adopt", "startswith", "committee_action", "positive", "PASSED_COMMITTEE"),
     ("do pass", "startswith", "committee_action", "positive", "PASSED_COMMITTEE"),
     ("reported out", "startswith", "committee_action", "positive", "PASSED_COMMITTEE"),
     ("postponed", "startswith", "committee_action", "negative_weak", "IN_COMMITTEE"),
@@ -32,7 +44,20 @@ PATTERNS = (
     ("placed on calendar order of 2nd reading", "startswith", "floor_process", "positive_weak", "FLOOR_VOTE"),
     ("second reading", "startswith", "floor_process", "positive_weak", "FLOOR_VOTE"),
     ("held on calendar", "startswith", "floor_process", "neutral", "FLOOR_VOTE"),
+    ("third reading|lost", "startswith", "floor_vote", "negative", "FLOOR_VOTE"),
+    ("third reading|postponed", "startswith", "floor_vote", "negative_weak", "FLOOR_VOTE"),
     ("third reading", "startswith", "floor_vote", "positive", "CHAMBER_PASSED"),
+    ("house concurs", "startswith", "concurrence", "positive", "PASSED_BOTH"),
+    ("senate concurs", "startswith", "concurrence", "positive", "PASSED_BOTH"),
+    ("house non-concurs", "startswith", "concurrence", "negative_weak", None),
+    ("senate non-concurs", "startswith", "concurrence", "negative_weak", None),
+    ("house recedes", "startswith", "concurrence", "positive", "PASSED_BOTH"),
+    ("senate recedes", "startswith", "concurrence", "positive", "PASSED_BOTH"),
+    ("house refuses to recede", "startswith", "concurrence", "negative_weak", None),
+    ("senate refuses to recede", "startswith", "concurrence", "negative_weak", None),
+    ("house requests conference committee", "startswith", "concurrence", "neutral", None),
+    ("senate requests conference committee", "startswith", "concurrence", "neutral", None),
+    ("conference committee report", "startswith", "concurrence", "neutral", None),
     ("arrive in", "startswith", "cross_chamber", "positive", "CROSSED_CHAMBERS"),
     ("arrived in", "startswith", "cross_chamber", "positive", "CROSSED_CHAMBERS"),
     ("passed both houses", "startswith", "both_passed", "positive", "PASSED_BOTH"),
@@ -43,6 +68,17 @@ PATTERNS = (
     ("signed by governor", "startswith", "enacted", "positive_terminal", "SIGNED"),
     ("effective date", "startswith", "enacted", "positive", None),
     ("total veto stands", "contains", "veto", "negative_terminal", None),
+    ("bill dead|veto", "startswith", "veto", "negative_terminal", None),
+    ("override|lost", "startswith", "veto", "negative", None),
+    ("override|passed", "startswith", "veto", "positive", None),
+    ("accept amendatory veto|lost", "startswith", "veto", "negative", None),
+    ("accept amendatory veto|passed", "startswith", "veto", "positive", None),
+    ("governor amendatory veto", "startswith", "veto", "negative", None),
+    ("governor item", "startswith", "veto", "negative_weak", None),
+    ("governor reduction veto", "startswith", "veto", "negative_weak", None),
+    ("item/reduction veto", "startswith", "veto", "negative_weak", None),
+    ("item veto", "startswith", "veto", "negative_weak", None),
+    ("reduction veto", "startswith", "veto", "negative_weak", None),
     ("governor vetoed", "startswith", "veto", "negative_terminal", None),
     ("resolution adopted", "startswith", "resolution", "positive_terminal", None),
     ("appointment confirmed", "startswith", "appointment", "positive_terminal", None),
@@ -76,7 +112,7 @@ def bound(value: Column, f) -> Column:
 def _matched(text: Column) -> Column:
     """The first pattern that fits, as a struct; null where none does. The patterns are one literal array, so that the
     expression stays small however many there are."""
-    rows = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(how).alias("how"), F.lit(category).alias("category"), F.lit(signal).alias("signal"), F.lit(stage).cast("string").alias("stage")) for p, how, category, signal, stage in PATTERNS))
+    rows = F.array(*(F.struct(F.lit(p.partition("|")[0]).alias("p"), F.lit(p.partition("|")[2]).alias("also"), F.lit(how).alias("how"), F.lit(category).alias("category"), F.lit(signal).alias("signal"), F.lit(stage).cast("string").alias("stage")) for p, how, category, signal, stage in PATTERNS))
 
     def fits(r: Column, v: Column) -> Column:
         p, low, raw, rest = r["p"], v["low"], v["raw"], v["rest"]
@@ -85,7 +121,7 @@ def _matched(text: Column) -> Column:
             F.when(r["how"] == "exact", (low == p) | (raw == p))
             .when(r["how"] == "contains", F.contains(low, p) | F.contains(raw, p))
             .when(r["how"] == "subject", subject)
-            .otherwise(F.startswith(low, p) | F.startswith(raw, p))
+            .otherwise((F.startswith(low, p) | F.startswith(raw, p)) & F.contains(low, r["also"]))
         )
 
     low = F.lower(spaced(text))
@@ -110,6 +146,7 @@ def classify_action(text: Column) -> Column:
             .when(F.contains(low, F.lit("executive appointments")) & F.contains(low, F.lit("placed on calendar")), plain("appointment", "neutral", None))
             .when(F.startswith(low, F.lit("rule 2-10")), plain("deadline", "neutral", None))
             .when(is_re_referral(v["text"]), plain("deadline", "negative_weak", None))
+            .when(is_unfavorable_report(v["text"]), plain("committee_action", "negative", "IN_COMMITTEE"))
             .when(is_favorable_report(v["text"]), plain("committee_action", "positive", "PASSED_COMMITTEE"))
             .when(starts_any(low, ("placed on calendar", "placed calendar")), plain("floor_process", "positive_weak", "FLOOR_VOTE"))
             .otherwise(plain("other", "neutral", None))

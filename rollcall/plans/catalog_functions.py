@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import actions as act
 from ..functions import classify as c
 from ..functions import dates, text
 from ..operators import asof, metrics, relational, resolve, search, votes
@@ -312,3 +313,81 @@ def k12_vectors(s, d):
     return sinks.vectors_long(wide, "vec_id").select("vec_id", F.posexplode("vector").alias("dim", "v")).select("vec_id", F.col("dim").cast("int").alias("dim"), F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
+
+
+#: Texts of actions with their category, signal and stage: one of each kind, as pages write them, nulls and odd forms included.
+ACTION_TEXTS = (
+    ("Filed with the Clerk by Rep. Carol Ammons", "filing", "neutral", "FILED"),
+    ("First Reading", "filing", "neutral", "FILED"),
+    ("Prefiled with Clerk", "filing", "neutral", "FILED"),
+    ("Added as Chief Co-Sponsor Sen. Ann Gill", "sponsorship", "positive_weak", None),
+    ("Referred to Rules Committee", "assignment", "neutral", "IN_COMMITTEE"),
+    ("Assigned toTransportation", "assignment", "positive_weak", "IN_COMMITTEE"),
+    ("Assigned to Health Care Licenses Committee", "assignment", "positive_weak", "IN_COMMITTEE"),
+    ("Assignments Refers to Judiciary", "assignment", "neutral", "IN_COMMITTEE"),
+    ("Approved for Consideration Assignments", "assignment", "positive", "IN_COMMITTEE"),
+    ("ToElections Subcommittee", "assignment", "neutral", "IN_COMMITTEE"),
+    ("Do Pass / Short Debate Health Care Licenses Committee; 014-000-000", "committee_action", "positive", "PASSED_COMMITTEE"),
+    ("Do Pass Licensed Activities; 007-000-000", "committee_action", "positive", "PASSED_COMMITTEE"),
+    ("Be Adopted State Government; 009-000-000", "committee_action", "positive", "PASSED_COMMITTEE"),
+    ("Do Not Pass Judiciary; 002-009-000", "committee_action", "negative", "IN_COMMITTEE"),
+    ("Do Not Pass as Amended Judiciary", "committee_action", "negative", "IN_COMMITTEE"),
+    ("Be Not Adopted Executive", "committee_action", "negative", "IN_COMMITTEE"),
+    ("Without Recommendation Executive", "committee_action", "negative_weak", "IN_COMMITTEE"),
+    ("Motion Do Pass - Lost Judiciary; 004-006-000", "committee_action", "negative", "IN_COMMITTEE"),
+    ("Postponed - Judiciary", "committee_action", "negative_weak", "IN_COMMITTEE"),
+    ("Placed on Calendar Order of 2nd Reading", "floor_process", "positive_weak", "FLOOR_VOTE"),
+    ("Second Reading - Short Debate", "floor_process", "positive_weak", "FLOOR_VOTE"),
+    ("Placed on Calendar Order of Concurrence Senate Amendment(s) 1", "floor_process", "positive_weak", "FLOOR_VOTE"),
+    ("Third Reading - Short Debate - Passed 107-000-000", "floor_vote", "positive", "CHAMBER_PASSED"),
+    ("Third Reading - Passed; 056-000-000", "floor_vote", "positive", "CHAMBER_PASSED"),
+    ("Third Reading - Lost; 020-035-000", "floor_vote", "negative", "FLOOR_VOTE"),
+    ("Third Reading - Consideration Postponed", "floor_vote", "negative_weak", "FLOOR_VOTE"),
+    ("Arrive in Senate", "cross_chamber", "positive", "CROSSED_CHAMBERS"),
+    ("Arrived in House", "cross_chamber", "positive", "CROSSED_CHAMBERS"),
+    ("House Concurs", "concurrence", "positive", "PASSED_BOTH"),
+    ("Senate Non-Concurs in House Amendment(s)", "concurrence", "negative_weak", None),
+    ("Senate Refuses to Recede", "concurrence", "negative_weak", None),
+    ("House Recedes", "concurrence", "positive", "PASSED_BOTH"),
+    ("Conference Committee Report Submitted", "concurrence", "neutral", None),
+    ("Passed Both Houses", "both_passed", "positive", "PASSED_BOTH"),
+    ("Adopted Both Houses", "both_passed", "positive_terminal", "PASSED_BOTH"),
+    ("Sent to the Governor", "governor", "positive", "GOVERNOR"),
+    ("Governor Approved", "enacted", "positive_terminal", "SIGNED"),
+    ("Public Act . . . . . . . . . 104-0001", "enacted", "positive_terminal", "SIGNED"),
+    ("Governor Vetoed", "veto", "negative_terminal", None),
+    ("Total Veto Stands - No Positive Action Taken", "veto", "negative_terminal", None),
+    ("Governor Amendatory Veto", "veto", "negative", None),
+    ("Governor Item/Reduction Veto PA 103-0006", "veto", "negative_weak", None),
+    ("Item/Reduction Veto", "veto", "negative_weak", None),
+    ("Override Amendatory Veto - Senate Passed 040-010-000", "veto", "positive", None),
+    ("Override Total Veto - House Lost 060-050-000", "veto", "negative", None),
+    ("Bill Dead - Amendatory Veto", "veto", "negative_terminal", None),
+    ("Rule 19(b) / Re-referred to Rules Committee", "deadline", "negative", None),
+    ("Rule 3-9(a) / Re-referred to Assignments", "deadline", "negative_weak", None),
+    ("Rule 2-10 Third Reading Deadline Established As May 31", "deadline", "neutral", None),
+    ("House Committee Amendment No. 1 Adopted", "amendment", "neutral", None),
+    ("Senate Floor Amendment No. 2 Referred to Assignments", "amendment", "neutral", None),
+    ("Resolution Adopted", "resolution", "positive_terminal", None),
+    ("Session Sine Die", "terminal", "negative", None),
+    ("Tabled", "terminal", "negative", None),
+    ("Something nobody has seen", "other", "neutral", None),
+    ("", "other", "neutral", None),
+    ("  ", "other", "neutral", None),
+    (None, "other", "neutral", None),
+)
+
+
+def _literal(value: str | None) -> str:
+    return "null" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+_ACTION_ROWS = ", ".join(f"({i}, {', '.join(map(_literal, row))})" for i, row in enumerate(ACTION_TEXTS))
+
+
+@query(f"select p_partkey, category, signal, stage from part join (values {_ACTION_ROWS}) t(i, action, category, signal, stage) on p_partkey % {len(ACTION_TEXTS)} = i")
+def a7_action_texts(s, d):
+    """One text of every kind of action, dealt over the parts."""
+    texts = F.array(*(F.lit(x).cast("string") for x, *_ in ACTION_TEXTS))
+    found = act.classify_action(F.get(texts, (F.col("p_partkey") % len(ACTION_TEXTS)).cast("int")))
+    return table(s, d, "part").select("p_partkey", found.alias("c")).select("p_partkey", "c.category", "c.signal", "c.stage")

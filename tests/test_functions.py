@@ -120,3 +120,19 @@ def test_stuck_status(spark):
 def test_organizations(spark):
     f = lambda a: one(spark, classify.canonical_organization(F.col("a")), a=a)
     assert [f("N/A"), f(None), f("Self"), f("aes  clean energy")] == ["No organization", "No organization", "Individual", "aes  clean energy"]
+
+
+def test_every_kind_of_action(spark):
+    from rollcall.plans.catalog_functions import ACTION_TEXTS
+
+    rows = spark.createDataFrame([(i, x[0]) for i, x in enumerate(ACTION_TEXTS)], "i int, a string")
+    got = {r["i"]: (r["c"]["category"], r["c"]["signal"], r["c"]["stage"]) for r in rows.select("i", actions.classify_action(F.col("a")).alias("c")).collect()}
+    assert {i: (ACTION_TEXTS[i][0], *x) for i, x in got.items()} == dict(enumerate(ACTION_TEXTS))
+
+
+def test_a_lost_vote_is_no_passage(spark):
+    history = ["Filed with the Clerk", "Assigned to Judiciary", "Do Pass Judiciary; 007-000-000", "Second Reading", "Third Reading - Lost; 020-035-000"]
+    rows = spark.createDataFrame([(1, "2024-01-01", i, t) for i, t in enumerate(history)] + [(2, "2024-01-01", 0, "Do Not Pass Judiciary"), (2, "2024-01-02", 1, "Governor Amendatory Veto")], "b long, day string, ord int, a string")
+    got = {r["bill_id"]: r for r in actions.outcomes(rows, "b", "day", "ord", "a").collect()}
+    assert (got[1]["highest_stage"], got[1]["lifecycle"], got[1]["positive_signals"], got[1]["negative_signals"]) == ("FLOOR_VOTE", "OPEN", 3, 1)
+    assert (got[2]["highest_stage"], got[2]["has_veto"], got[2]["negative_signals"]) == ("IN_COMMITTEE", False, 2)
