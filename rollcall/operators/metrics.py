@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as c
 from ..functions.text import compact_number
+from .ranges import group_quantiles
 from .relational import running_total
 
 
@@ -109,8 +110,9 @@ def group_ratio(df: DataFrame, keys: list[str], column: str, valid: Column, aver
 
 
 def group_median(df: DataFrame, keys: list[str], column: str, median: str, ratio: str) -> DataFrame:
-    """The exact median of a group, and each row's multiple of it."""
-    out = df.join(df.groupBy(*keys).agg(F.percentile(column, F.lit(0.5)).alias(median)), keys, "left")
+    """The exact median of a group, and each row's multiple of it. The medians go where adaptive execution sends them: they
+    are as many as groups."""
+    out = df.join(group_quantiles(df, keys, column, {median: 0.5}), keys, "left")
     return out.withColumn(ratio, F.when(F.col(median) > 0, F.round(F.col(column) / F.col(median), 1)))
 
 
@@ -269,7 +271,10 @@ def cohesion(casts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, keys: list[str], column: str, at: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
-    """Nearest-rank quantiles and the mean."""
-    names = [f"p{round(q * 100)}" for q in at]
-    cells = [F.expr(f"percentile_disc({q}) within group (order by {column})").alias(n) for q, n in zip(at, names, strict=True)]
-    return df.groupBy(*keys).agg(*cells, F.avg(column).alias("mean"), F.count(F.lit(1)).alias("n"))
+    """Nearest-rank quantiles and the mean; a group without values has none of them."""
+    whole = df.groupBy(*keys).agg(F.avg(column).alias("mean"), F.count(F.lit(1)).alias("n"))
+    found = group_quantiles(df, keys, column, {f"p{round(q * 100)}": q for q in at}, nearest=True)
+    match = F.lit(True)
+    for k in keys:
+        match = match & whole[k].eqNullSafe(found[k])
+    return whole.join(found, match, "left").select(*(whole[k] for k in keys), *(c for c in found.columns if c not in keys), "mean", "n")

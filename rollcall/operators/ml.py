@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import share
+from .ranges import group_quantiles
 
 
 def term_counts(df: DataFrame, key: str, text: str, grams: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -328,7 +329,7 @@ def flag(scored: DataFrame, share_flagged: float = 0.08) -> DataFrame:
     """Scores from 0 to 1 and a flag for the share with the highest."""
     from .metrics import min_max
 
-    cut = scored.agg(F.percentile("score", F.lit(1 - share_flagged)).alias("__cut"))
+    cut = group_quantiles(scored, [], "score", {"__cut": 1 - share_flagged})
     out = scored.crossJoin(F.broadcast(cut)).withColumn("flagged", F.col("score") >= F.col("__cut")).drop("__cut")
     return min_max(out, "score", "score_share")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import group_quantiles, keyed_before
 from .relational import numbered, running_total
 
 
@@ -21,9 +22,8 @@ def positions(df: DataFrame, score: str, key: str, groups: dict[str, list[str]])
 
 
 def running_before(df: DataFrame, keys: list[str], order: list[str], **sums: Column) -> DataFrame:
-    """Sums over a group's rows before the current one, null (no history) as 0."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumns({name: F.coalesce(F.sum(value).over(w), F.lit(0)) for name, value in sums.items()})
+    """Sums over a group's rows before the current one, null (no history) as 0. Groups may be of any size."""
+    return keyed_before(df, keys, order, sums)
 
 
 def history_rate(df: DataFrame, keys: list[str], order: list[str], usable: Column, won: Column, empty: float = -1.0) -> DataFrame:
@@ -45,8 +45,7 @@ def average_rank_percentile(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def changes(df: DataFrame, keys: list[str], order: list[str], column: str, counted: Column) -> DataFrame:
     """Rows whose value differs from the last counted one before them in their group."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("previous", F.last(F.when(counted, F.col(column)), ignorenulls=True).over(w))
+    df = keyed_before(df, keys, order, lasts={"previous": F.when(counted, F.col(column))})
     return df.where(counted & F.col("previous").isNotNull() & (F.col("previous") != F.col(column)))
 
 
@@ -82,4 +81,4 @@ def windows_of(df: DataFrame, order: list[str], size: int, recent: str = "recent
 
 
 def nearest_rank(df: DataFrame, column: str, at: float) -> DataFrame:
-    return df.agg(F.expr(f"percentile_disc({at}) within group (order by {column})").alias("value"))
+    return group_quantiles(df, [], column, {"value": at}, nearest=True)
