@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import keyed_before
 from .classify import is_favorable_report, is_re_referral, is_unfavorable_report, starts_any
 
 STAGE_ORDER = ("FILED", "IN_COMMITTEE", "PASSED_COMMITTEE", "FLOOR_VOTE", "CHAMBER_PASSED", "CROSSED_CHAMBERS", "PASSED_BOTH", "GOVERNOR", "SIGNED")
+CROSSED = STAGE_ORDER.index("CROSSED_CHAMBERS")
 
 #: (pattern, how it is matched, category, signal, stage), first match wins. startswith, contains and exact ignore case; of a
 #: pattern in two parts ("third reading|lost") the text starts with the first and contains the second; subject is "To ..."
@@ -170,39 +172,49 @@ def stage_number(stage: Column) -> Column:
 def outcomes(actions: DataFrame, bill_id: str, day: str, order: str, text: str) -> DataFrame:
     """Per bill its highest and current stage, lifecycle, signals and flags, folded over its actions in order.
 
-    A step back after both chambers sets the current stage to committee before the action's own stage counts. A bill's
-    actions are one array; they are as many as one bill has.
+    A step back after both chambers sets the current stage to committee before the action's own stage counts. What the fold
+    needs of the order is this: a step back begins a new stretch; one whose stages reached CROSSED_CHAMBERS ends at committee
+    when a further stretch follows, a lower one hands its stage on, and SIGNED is never left. So the current stage is the
+    highest of the stretches behind the last one that was set back. Stretches are numbered by running counts over ranges of
+    (bill, order), and reduced before they are counted again: a bill of any number of actions lies in many tasks.
     """
-    c = actions.select(F.col(bill_id).alias("bill_id"), F.struct(F.col(day).alias("day"), F.col(order).alias("ord"), F.col(text).alias("text"), classify_action(F.col(text)).alias("c")).alias("a"))
-    c = c.where("a.c.bill_action").groupBy("bill_id").agg(F.array_sort(F.collect_list("a")).alias("acts"))
-    zero = F.struct(F.lit(0).alias("high"), F.lit(0).alias("now"), F.lit(0).alias("pos"), F.lit(0).alias("neg"), F.lit(False).alias("signed"), F.lit(False).alias("veto"), F.lit(False).alias("override"), F.lit(None).cast("string").alias("terminal"))
-
-    def step(s: Column, a: Column) -> Column:
-        stage, signal, low = stage_number(a["c"]["stage"]), a["c"]["signal"], F.lower(a["text"])
-        now = F.when(is_rollback(a["text"]) & (s["now"] >= 5) & (s["now"] <= 7), F.lit(1)).otherwise(s["now"])
-        return F.struct(
-            F.greatest(s["high"], stage).alias("high"),
-            F.greatest(now, stage).alias("now"),
-            (s["pos"] + F.startswith(signal, F.lit("positive")).cast("int")).alias("pos"),
-            (s["neg"] + F.startswith(signal, F.lit("negative")).cast("int")).alias("neg"),
-            (s["signed"] | (signal == "positive_terminal")).alias("signed"),
-            (s["veto"] | (signal == "negative_terminal")).alias("veto"),
-            (s["override"] | F.contains(low, F.lit("override")) | F.contains(low, F.lit("veto stands"))).alias("override"),
-            F.when(F.endswith(signal, F.lit("_terminal")), a["text"]).otherwise(s["terminal"]).alias("terminal"),
-        )
-
+    c = actions.select(F.col(bill_id).alias("bill_id"), F.col(day).alias("day"), F.col(order).alias("ord"), F.col(text).alias("text"), classify_action(F.col(text)).alias("c"))
+    c = c.where("c.bill_action").select("bill_id", "day", "ord", "text", stage_number(F.col("c.stage")).alias("stage"), F.col("c.signal").alias("signal"), F.coalesce(is_rollback(F.col("text")), F.lit(False)).cast("int").alias("back"))
+    rows = keyed_before(c, ["bill_id"], ["day", "ord", "text"], {"stretch": F.col("back")}, totals=["stretch"])
+    low, signal = F.lower("text"), F.col("signal")
+    parts = rows.groupBy("bill_id", (F.col("stretch") + F.col("back")).alias("stretch"), (F.col("stretch_total")).alias("last")).agg(
+        F.max("stage").alias("stage"),
+        F.count_if(F.startswith(signal, F.lit("positive"))).alias("pos"),
+        F.count_if(F.startswith(signal, F.lit("negative"))).alias("neg"),
+        F.max(signal == "positive_terminal").alias("signed"),
+        F.max(signal == "negative_terminal").alias("veto"),
+        F.max(F.contains(low, F.lit("override")) | F.contains(low, F.lit("veto stands"))).alias("override"),
+        F.max_by(F.struct("text"), F.when(F.endswith(signal, F.lit("_terminal")), F.struct("day", "ord", "text"))).alias("terminal"),
+    )
+    left = (F.col("stage") >= CROSSED) & (F.col("stretch") < F.col("last"))
+    parts = keyed_before(parts, ["bill_id"], ["stretch"], {"set_back": left.cast("int")}, totals=["set_back"])
+    whole = parts.groupBy("bill_id").agg(
+        F.greatest(F.max("stage"), F.lit(0)).alias("high"),
+        F.greatest(F.max(F.when(F.col("set_back") == F.col("set_back_total"), F.col("stage"))), F.max(F.when(F.col("set_back_total") > 0, 1).otherwise(0))).alias("now"),
+        F.sum("pos").cast("int").alias("pos"),
+        F.sum("neg").cast("int").alias("neg"),
+        F.max("signed").alias("signed"),
+        F.max("veto").alias("veto"),
+        F.max("override").alias("override"),
+        F.max_by("terminal", F.when(F.col("terminal").isNotNull(), F.col("stretch"))).alias("terminal"),
+    )
     names = F.array(*(F.lit(x) for x in STAGE_ORDER))
-    s = F.col("s")
-    return c.select("bill_id", F.aggregate("acts", zero, step).alias("s")).select(
+    now = F.when(F.col("high") == len(STAGE_ORDER) - 1, F.col("high")).otherwise(F.col("now"))
+    return whole.select(
         "bill_id",
-        F.element_at(names, s["high"] + 1).alias("highest_stage"),
-        F.element_at(names, s["now"] + 1).alias("current_stage"),
-        F.when(s["signed"], "PASSED").when(s["veto"], "VETOED").otherwise("OPEN").alias("lifecycle"),
-        s["pos"].alias("positive_signals"),
-        s["neg"].alias("negative_signals"),
-        s["veto"].alias("has_veto"),
-        s["override"].alias("has_override"),
-        s["terminal"].alias("terminal_action"),
+        F.element_at(names, F.col("high") + 1).alias("highest_stage"),
+        F.element_at(names, now + 1).alias("current_stage"),
+        F.when(F.col("signed"), "PASSED").when(F.col("veto"), "VETOED").otherwise("OPEN").alias("lifecycle"),
+        F.col("pos").alias("positive_signals"),
+        F.col("neg").alias("negative_signals"),
+        F.col("veto").alias("has_veto"),
+        F.col("override").alias("has_override"),
+        F.col("terminal.text").alias("terminal_action"),
     )
 
 

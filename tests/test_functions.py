@@ -136,3 +136,44 @@ def test_a_lost_vote_is_no_passage(spark):
     got = {r["bill_id"]: r for r in actions.outcomes(rows, "b", "day", "ord", "a").collect()}
     assert (got[1]["highest_stage"], got[1]["lifecycle"], got[1]["positive_signals"], got[1]["negative_signals"]) == ("FLOOR_VOTE", "OPEN", 3, 1)
     assert (got[2]["highest_stage"], got[2]["has_veto"], got[2]["negative_signals"]) == ("IN_COMMITTEE", False, 2)
+
+
+def folded(texts, kinds):
+    """The fold action by action: kinds give each text's signal and stage."""
+    order = actions.STAGE_ORDER
+    high = now = pos = neg = 0
+    signed = veto = override = False
+    terminal = None
+    for t in texts:
+        _, signal, stage, bill = kinds[t]
+        if not bill:
+            continue
+        at = order.index(stage) if stage else -1
+        low = (t or "").lower().strip()
+        back = low.startswith(("rule 19(a)", "rule 19(b)", "rule 3-9(a)", "rule 3-9(b)")) or "re-referred to rules" in low or "re-referred to assignments" in low
+        if back and 5 <= now <= 7:
+            now = 1
+        high, now = max(high, at), max(now, at)
+        pos, neg = pos + signal.startswith("positive"), neg + signal.startswith("negative")
+        signed, veto = signed or signal == "positive_terminal", veto or signal == "negative_terminal"
+        override = override or "override" in low or "veto stands" in low
+        terminal = t if signal.endswith("_terminal") else terminal
+    return order[high], order[now], "PASSED" if signed else "VETOED" if veto else "OPEN", pos, neg, veto, override, terminal
+
+
+def test_random_histories_fold_like_single_steps(spark):
+    """Histories of up to sixty actions, steps back among them, and one of four thousand."""
+    import random
+
+    from rollcall.plans.catalog_functions import ACTION_TEXTS
+
+    rng = random.Random(2)
+    texts = [x[0] for x in ACTION_TEXTS if x[0] is not None]
+    kinds = {r["a"]: (r["c"]["category"], r["c"]["signal"], r["c"]["stage"], r["c"]["bill_action"]) for r in spark.createDataFrame([(t,) for t in texts], "a string").select("a", actions.classify_action(F.col("a")).alias("c")).collect()}
+    back = "Rule 19(b) / Re-referred to Rules Committee"
+    often = ["Arrive in Senate", "Do Pass Licensed Activities; 007-000-000", "Second Reading - Short Debate", back, "Passed Both Houses", "Sent to the Governor"]
+    histories = [[rng.choice(rng.choice([texts, often])) for _ in range(rng.randint(1, 60))] for _ in range(150)] + [[rng.choice(often[:5]) for _ in range(4000)]]
+    rows = [(b, f"2024-01-{1 + i * 27 // len(h):02d}", i, t) for b, h in enumerate(histories) for i, t in enumerate(h)]
+    got = actions.outcomes(spark.createDataFrame(rows, "b int, day string, ord int, a string"), "b", "day", "ord", "a").collect()
+    want = {b: folded(h, kinds) for b, h in enumerate(histories) if any(kinds[t][3] for t in h)}
+    assert {r["bill_id"]: tuple(r)[1:] for r in got} == want
