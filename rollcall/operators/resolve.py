@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,9 +219,43 @@ def committee_codes(names: DataFrame, committees: DataFrame) -> DataFrame:
     return names.select("name", F.explode(keys(F.col("name"))).alias("key")).join(known, "key").groupBy("name").agg(F.min("code").alias("code"))
 
 
-def named_in(texts: DataFrame, members: DataFrame, text: str) -> DataFrame:
-    """Rows whose text contains a member's name. members are a table of bounded size: one per seat."""
-    return texts.join(members.select("member_id", F.col("name").alias("__n")), F.contains(F.lower(F.col(text)), F.lower(F.col("__n"))))
+def named_in(texts: DataFrame, members: DataFrame, text: str, limit: int = 32 << 20) -> DataFrame:
+    """Rows of texts with member_id and __n of each member (member_id, name) whose name they contain, in any case.
+
+    Each text is read once, by an automaton over all names. Names of over limit bytes together are looked for in several
+    passes, so that no task holds more. Null texts contain nothing and null names are nowhere; an empty name is everywhere.
+    """
+    named = members.where(F.col("name").isNotNull()).select("member_id", F.col("name").alias("__n"), F.lower("name").alias("__low"))
+    distinct = materialize(named.select("__low").distinct(), "names")
+    size = distinct.agg(F.sum(F.octet_length("__low") + 16)).first()[0] or 0
+    passes = max(1, -(-size // limit))
+    out = None
+    for k in range(passes):
+        block = [r["__low"] for r in distinct.where(F.pmod(F.xxhash64("__low"), F.lit(passes)) == k).collect()]  # limit bytes or so
+        shared = texts.sparkSession.sparkContext.broadcast(sorted(block))
+        found = texts.withColumn("__low", F.explode(_names_in(shared)(F.lower(F.col(text)))))
+        out = found if out is None else out.unionByName(found)
+    return out.join(named, "__low").drop("__low")
+
+
+def _names_in(shared):
+    """A function of texts that gives the names of the broadcast list in each, once each."""
+
+    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        names = shared.value
+        automaton = ahocorasick.Automaton()
+        for n in names:
+            if n:
+                automaton.add_word(n, n)
+        everywhere = {""} & set(names)
+        automaton.make_automaton()
+        for part in texts:
+            yield pd.Series([sorted({n for _, n in automaton.iter(t)} | everywhere) if len(automaton) and t is not None else sorted(everywhere) if t is not None else [] for t in part])
+
+    find.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(find, "array<string>")
 
 
 def fill_missing_groups(main: DataFrame, extra: DataFrame, key: str) -> DataFrame:

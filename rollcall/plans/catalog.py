@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,17 +170,19 @@ def j12_anti_join(s, d):
     return relational.new_rows(table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey")), table(s, d, "orders").where("o_orderstatus = 'F'"), ["o_custkey"])
 
 
-@query("""with o as (select o_orderkey k, o_orderstatus status, o_totalprice price, o_orderpriority note from orders where o_orderkey % 3 <> 0), n as (select o_orderkey k, 'N' status, o_totalprice + 1 price, null::varchar note from orders where o_orderkey % 2 = 0)
+@query("""with o as (select o_orderkey k, o_orderstatus status, o_totalprice price, o_orderpriority note from orders where o_orderstatus <> 'P'), n as (select o_orderkey k, 'N' status, o_totalprice + 1 price, null::varchar note from orders where o_orderstatus <> 'F')
  select coalesce(n.k, o.k) k, case when n.k is not null then n.status else o.status end status, case when n.k is not null then n.price else o.price end price, coalesce(o.note, n.note) note from o full join n on o.k = n.k""")
 def j22_upsert(s, d):
+    """Old are the orders that aren't pending, new those that aren't finished: open ones are updated."""
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("note"))
-    new = o.where("k % 2 = 0").select("k", F.lit("N").alias("status"), (F.col("price") + 1).alias("price"), F.lit(None).cast("string").alias("note"))
-    return relational.merge(o.where("k % 3 <> 0"), new, "k", ["note"])
+    new = o.where("status <> 'F'").select("k", F.lit("N").alias("status"), (F.col("price") + 1).alias("price"), F.lit(None).cast("string").alias("note"))
+    return relational.merge(o.where("status <> 'P'"), new, "k", ["note"])
 
 
-@query("select l_orderkey k, l_quantity from lineitem where l_orderkey % 2 = 0 union all select o_orderkey, -1.0 from orders where o_orderkey not in (select l_orderkey from lineitem where l_orderkey % 2 = 0)")
+@query("select l_orderkey k, l_quantity from lineitem where l_returnflag = 'R' union all select o_orderkey, -1.0 from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
 def j21_fill_missing_groups(s, d):
-    main = table(s, d, "lineitem").where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("k"), "l_quantity")
+    """Returned lines, and a row for every order without one."""
+    main = table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"), "l_quantity")
     extra = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(-1.0).alias("l_quantity"))
     return resolve.fill_missing_groups(main, extra, "k")
 
@@ -700,7 +703,8 @@ def g35_ambiguity(s, d):
 # Models ------------------------------------------------------------------------------------------------------------------
 @query()
 def m2_tfidf(s, d):
-    return ml.tfidf(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text", 100).groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum(F.col("weight") ** 2), 6).alias("length"))
+    """Every weight of 500 terms; the rows of a document have length one."""
+    return ml.tfidf(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text", 500)
 
 
 def _training(s: SparkSession, d: str) -> DataFrame:
@@ -723,13 +727,15 @@ def m7_tuned_depth(s, d):
 
 @query()
 def m8_calibrated_scores(s, d):
-    scored = ml.out_of_fold(_training(s, d), "label", "doc_id", ml.models("label")["logistic"], 3)
-    return scored.select("doc_id", "label", F.round("prob", 6).alias("prob"))
+    """Out-of-fold probabilities of five folds, and what the isotonic map makes of them."""
+    scored = ml.out_of_fold(_training(s, d), "label", "doc_id", ml.models("label")["logistic"], 5)
+    mapped = ml.calibrate(scored, "label").transform(scored.withColumn("features", array_to_vector(F.array("prob"))))
+    return mapped.select("doc_id", "label", F.round("prob", 6).alias("prob"), F.round("prediction", 6).alias("calibrated"))
 
 
 @query()
 def m14_clusters(s, d):
-    _, _, out = ml.clusters(table(s, d, "embeddings"), "vec_id", "embedding", range(2, 5))
+    _, _, out = ml.clusters(table(s, d, "embeddings"), "vec_id", "embedding")
     return out
 
 

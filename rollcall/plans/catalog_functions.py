@@ -183,9 +183,10 @@ def f19_one_bill(s, d):
     return relational.lookup(metrics.bill_facts(bills(s, d)), "bill_id", 7).select("bill_id", "status", F.col("depth").cast("int").alias("depth"))
 
 
-@query("select p_partkey, p_name from part where p_partkey % 50 = 7")
+@query("select p_partkey, p_name from part where p_partkey in (select l_partkey from lineitem where l_quantity >= 50)")
 def p2_by_key(s, d):
-    keys = table(s, d, "part").where("p_partkey % 50 = 7").select("p_partkey").unionByName(table(s, d, "part").where("p_partkey % 100 = 7").select("p_partkey"))
+    """The parts of large orders, whose keys repeat."""
+    keys = table(s, d, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey"))
     return relational.by_key(table(s, d, "part"), keys, "p_partkey").select("p_partkey", "p_name")
 
 
@@ -263,11 +264,12 @@ def e4_applied_resolution(s, d):
     return resolve.apply_resolution(rows, m.withColumn("method", F.lit("exact")), m).select("event_id", "member_id", "resolution_method", "member_name")
 
 
-@query("select o_orderkey, case when o_orderkey % 3 = 0 then 'EXACT' || o_orderkey::varchar else null end description from orders where o_orderkey % 3 < 2")
+@query("select o_orderkey, case when o_orderstatus = 'F' then 'EXACT' || o_orderkey::varchar end description from orders")
 def v11_described_bills(s, d):
+    """Finished orders are described; every second number is written without its zero."""
     k = F.col("o_orderkey")
-    known = table(s, d, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("HB0"), k.cast("string")).alias("bill_number"), F.concat(F.lit("EXACT"), k.cast("string")).alias("description"))
-    asked = table(s, d, "orders").where("o_orderkey % 3 < 2").select("o_orderkey", F.concat(F.when(k % 2 == 0, "HB0").otherwise("HB"), k.cast("string")).alias("number"))
+    known = table(s, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("HB0"), k.cast("string")).alias("bill_number"), F.concat(F.lit("EXACT"), k.cast("string")).alias("description"))
+    asked = table(s, d, "orders").select("o_orderkey", F.concat(F.when(k % 2 == 0, "HB0").otherwise("HB"), k.cast("string")).alias("number"))
     out = views.describe_bill(asked.select("number"), known, F.regexp_replace("number", "^HB0?", "HB"), F.regexp_replace("bill_number", "^HB0", "HB"))
     return asked.join(out, "number").select("o_orderkey", "description")
 
@@ -306,15 +308,13 @@ def k7_appended_json(s, d):
     return s.read.schema("p_partkey long, reading long").json(path)
 
 
-@query("select vec_id, i::int as dim, round(v::double, 6) as value from (select vec_id, unnest(embedding[1:4]) v, unnest([0, 1, 2, 3]) i from embeddings)")
+@query("select vec_id, i::int as dim, round(v::double, 6) as value from (select vec_id, unnest(embedding) v, unnest(range(len(embedding))) i from embeddings)")
 def k12_vectors(s, d):
-    rows = table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("embedding"))
-    wide = sinks.vectors_wide(rows, "vec_id", "embedding", 4)
+    rows = table(s, d, "embeddings").select("vec_id", "embedding")
+    wide = sinks.vectors_wide(rows, "vec_id", "embedding", rows.agg(F.max(F.size("embedding"))).first()[0])
     return sinks.vectors_long(wide, "vec_id").select("vec_id", F.posexplode("vector").alias("dim", "v")).select("vec_id", F.col("dim").cast("int").alias("dim"), F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
-
-
 #: Texts of actions with their category, signal and stage: one of each kind, as pages write them, nulls and odd forms included.
 ACTION_TEXTS = (
     ("Filed with the Clerk by Rep. Carol Ammons", "filing", "neutral", "FILED"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import actions as act
 from ..functions import classify as c
 from ..functions import text
-from ..operators import asof, graph, metrics, ml, ranking, relational, resolve, search, votes
+from ..operators import asof, explain, graph, metrics, ml, ranking, relational, resolve, search, votes
 from . import views
 from .bindings import actions, bills, casts, members, slips, sponsors, table
 from .catalog import CARD_SQL, MONEY_SQL, _training, board, cards, query
@@ -54,24 +54,40 @@ def f15_alignment(s, d):
     return metrics.alignment(said, lead, b.withColumn("bill_number", F.upper("bill_number")))
 
 
-@query("select 'FILED' stage, 0 ord, 1 n union all select 'IN_COMMITTEE', 1, 1 union all select 'PASSED_COMMITTEE', 2, 1 union all select 'FLOOR_VOTE', 3, 1 union all select 'CHAMBER_PASSED', 4, 1 union all select 'CROSSED_CHAMBERS', 5, 1 union all select 'PASSED_BOTH', 6, 1 union all select 'GOVERNOR', 7, 2 union all select 'SIGNED', 8, 0 union all select 'VETOED', 9, 0")
+STAGE_SQL = "(values ('FILED',0,1),('IN_COMMITTEE',1,1),('PASSED_COMMITTEE',2,1),('FLOOR_VOTE',3,1),('CHAMBER_PASSED',4,1),('CROSSED_CHAMBERS',5,1),('PASSED_BOTH',6,1),('GOVERNOR',7,2),('SIGNED',8,0),('VETOED',9,0)) t(stage, ord, n)"
+
+
+@query(f"select o_orderkey, stage, ord, n from orders join {STAGE_SQL} on ord = o_orderkey % 10")
 def a20_stages(s, d):
-    return act.stage_table(s).select("stage", "ord", F.size("next_stages").alias("n"))
+    """A stage of each bill, looked up in the table of stages."""
+    t = act.stage_table(s).select("stage", "ord", F.size("next_stages").alias("n"))
+    return table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 10).cast("int").alias("ord")).join(t, "ord")
+
 
+VOTES_SQL = "(values ('S','passage',30),('S','override',36),('S','discharge',36),('S','members',59),('H','passage',60),('H','override',71),('H','discharge',60),('H','members',118)) t(chamber, purpose, needed)"
 
-@query("select * from (values ('S','passage',30),('S','override',36),('S','discharge',36),('S','members',59),('H','passage',60),('H','override',71),('H','discharge',60),('H','members',118)) t(chamber, purpose, votes)")
+
+@query(f", v as (select event_id, chamber[1] chamber, count(*) filter (vote = 'Y') yes from casts group by all) select event_id, v.chamber, purpose, yes, yes >= needed reached from v join {VOTES_SQL} on t.chamber = v.chamber", "casts")
 def a20_vote_thresholds(s, d):
-    return act.vote_table(s)
+    """For each event and chamber whether its votes in favour reach what each purpose needs."""
+    v = casts(s, d).groupBy("event_id", F.substring("chamber", 1, 1).alias("chamber")).agg(F.count_if(F.col("vote") == "Y").alias("yes"))
+    return v.join(act.vote_table(s), "chamber").select("event_id", "chamber", "purpose", "yes", (F.col("yes") >= F.col("votes")).alias("reached"))
 
 
 @query()
 def f25_glossary(s, d):
-    return views.glossary(s)
+    """The glossary beside the mean over all members of each figure that it explains."""
+    rows = cards(s, d)
+    numbers = [n for n, t in rows.dtypes if t in ("bigint", "int", "double")]
+    means = rows.agg(*(F.avg(n).alias(n) for n in numbers)).select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("mean")) for n in numbers))).alias("x")).select("x.*")
+    return views.glossary(s).join(means, "metric", "left")
 
 
 @query()
 def f26_action_reference(s, d):
-    return act.category_table(s)
+    """The categories beside the number of actions of each."""
+    n = actions(s, d).groupBy(act.classify_action(F.col("action"))["category"].alias("category")).agg(F.count(F.lit(1)).alias("actions"))
+    return act.category_table(s).join(n, "category", "left")
 
 
 # Aggregates and roles ------------------------------------------------------------------------------------------------
@@ -250,9 +266,9 @@ def j10_share_of_group(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity") / F.sum("l_quantity").over(w)).alias("share"))
 
 
-@query("select c_custkey zip, senator from customer left join (select s_nationkey, min(s_suppkey) senator from supplier where s_suppkey % 2 = 0 group by 1) on s_nationkey = c_nationkey")
+@query("select c_custkey zip, senator from customer left join (select s_nationkey, min(s_suppkey) senator from supplier group by 1) on s_nationkey = c_nationkey")
 def j15_zip_to_member(s, d):
-    sup = table(s, d, "supplier").where("s_suppkey % 2 = 0").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("member_id"))
+    sup = table(s, d, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("member_id"))
     m = sup.select(F.lit("Senate").alias("chamber"), F.col("s_nationkey").alias("district"), "member_id")
     walk = table(s, d, "customer").select(F.col("c_custkey").alias("zip"), F.col("c_nationkey").cast("string").alias("senate"), F.lit("").alias("house"))
     return resolve.districts_of_zip(walk.select("zip"), walk, m).select("zip", "senator")
@@ -338,7 +354,7 @@ def m19_value_labels(s, d):
 
 @query()
 def m12_importances(s, d):
-    model = ml.models("label", rounds=5)["boosting"].fit(_training(s, d))
+    model = ml.models("label")["boosting"].fit(_training(s, d))
     return s.createDataFrame(ml.importances(model, ["log_words", "symbols", "capitals"]), "feature string, importance double")
 
 
@@ -348,9 +364,26 @@ def m13_contributions(s, d):
     return ml.contributions(rows, ml.models("label")["logistic"].fit(rows), ["log_words", "symbols", "capitals"], "doc_id")
 
 
+@query()
+def m13_tree_factors(s, d):
+    """The features that move each document's probability most, by the boosted trees that score it."""
+    rows = _training(s, d)
+    names = ["log_words", "symbols", "capitals"]
+    model = ml.models("label")["boosting"].fit(rows)
+    return explain.factors(explain.impacts(explain.explain(rows, model, "doc_id"), "doc_id", names), "doc_id")
+
+
+@query()
+def m24_margins(s, d):
+    """Each document's log-odds, what the trees expect of any, and the sum of its effects, which is their difference."""
+    rows = _training(s, d)
+    out = explain.explain(rows, ml.models("label")["boosting"].fit(rows), "doc_id")
+    return out.select("doc_id", "base", "margin", F.aggregate("effects", F.lit(0.0), lambda a, b: a + b).alias("effect"))
+
+
 @query()
 def m9_evaluation(s, d):
-    scored = ml.out_of_fold(_training(s, d), "label", "doc_id", ml.models("label")["logistic"], 3)
+    scored = ml.out_of_fold(_training(s, d), "label", "doc_id", ml.models("label")["logistic"], 5)
     return s.createDataFrame([ml.evaluate(scored, "label", "prob")], "auc double, accuracy double, precision double, recall double, f1 double")
 
 

@@ -107,3 +107,20 @@ def test_known_ratios(spark):
     rows = spark.createDataFrame(pairs, "a string, b string, want double")
     got = rows.select(text.similarity(F.col("a"), F.col("b"), fold=False).alias("r"), "want").collect()
     assert all(r["r"] == pytest.approx(r["want"]) for r in got)
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 60_000])
+def test_names_in_texts_equal_contains(spark, limit):
+    """10,000 names in texts of all kinds, in one pass and in several."""
+    rng = random.Random(3)
+    syllables = ["An", "der", "son", "Wel", "ch", "Mar", "tin", "O'", "Li", "Äs", "É"]
+    names = [(i, "".join(rng.choices(syllables, k=rng.randint(2, 5)))) for i in range(9_997)] + [(9_997, ""), (9_998, None), (9_999, "İ")]
+    texts = [(i, " ".join(n.upper() if rng.random() < 0.5 else n for _, n in rng.sample(names[:9_000], 3)) + rng.choice(["", " and others", "son"])) for i in range(60)] + [(60, ""), (61, None), (62, "İ i̇")]
+    m = spark.createDataFrame(names, "member_id int, name string")
+    t = spark.createDataFrame([(*r, "x") for r in texts], "i int, text string, name string")
+    got = resolve.named_in(t, m, "text", limit)
+    low = lambda df, c: {r[0]: r[1] for r in df.select(df.columns[0], F.lower(c)).collect()}
+    in_texts, in_names = low(t.select("i", "text"), "text"), low(m, "name")
+    want = {(i, n) for i, x in in_texts.items() for n, y in in_names.items() if x is not None and y is not None and y in x}
+    assert sorted((r["i"], r["member_id"]) for r in got.collect()) == sorted(want)
+    assert resolve.named_in(t, m.limit(0), "text").count() == 0
