@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, materialize
+
 
 def pair_counts(rows: DataFrame, group: str, node: str, least_size: int = 2, most_size: int | None = None, least: int = 1) -> DataFrame:
     """(a, b, weight) with a < b: how many groups hold both. Groups of fewer than least_size or, where most_size says so,
@@ -57,11 +59,12 @@ def betweenness(nodes: DataFrame, edges: DataFrame, node: str, most_edges: int =
     """Normalised betweenness of an unweighted graph, rounded to six digits; 0 for fewer than three nodes.
 
     Shortest paths from each source are one unit of work, spread over tasks; each task gets the edges, whose number is
-    checked against most_edges first. A larger graph raises an error instead of filling the executors.
+    checked against most_edges first. Of a larger graph no task and no driver gets the edges: see betweenness_by_levels,
+    which estimates from a sample of sources.
     """
     found = neighbours(edges.select("a", "b"), most_edges)
     if found is None:
-        raise ValueError(f"over {most_edges} edges: betweenness needs them in each task")
+        return betweenness_by_levels(nodes, edges, node)
     shared = edges.sparkSession.sparkContext.broadcast(found[:3])
     kind = dict(nodes.dtypes)[node]
 
@@ -81,6 +84,65 @@ def betweenness(nodes: DataFrame, edges: DataFrame, node: str, most_edges: int =
     return out.select(node, F.when(F.col("__n") >= 3, F.round(F.coalesce("part", F.lit(0.0)) / scale, 6)).otherwise(0.0).alias("betweenness"))
 
 
+def sources_needed(n: int, error: float, confidence: float) -> int:
+    """So many sources that with the given confidence no node's betweenness is off by more than error: a source's share of it
+    lies between 0 and 1, so the mean over a sample keeps to Hoeffding's bound for each of n nodes. n at most."""
+    return min(n, int(np.ceil(np.log(2 * max(n, 1) / (1 - confidence)) / (2 * error * error))))
+
+
+def betweenness_by_levels(nodes: DataFrame, edges: DataFrame, node: str, error: float = 0.02, confidence: float = 0.95, batch: int = 256, seed: int = 0) -> DataFrame:
+    """Normalised betweenness by joins, for graphs that no machine holds; exact where the sample is all nodes.
+
+    Brandes's accumulation for a batch of sources at a time: a level of all their breadth-first searches is the join of the
+    one before with the edges, less the two levels that neighbours of it can already be in; on the way back each level hands
+    its dependencies to the one before. A level is a written table of (source, node, paths), a batch has as many rows as
+    sources times nodes reached. Sources are taken by hash (sources_needed); links to nodes that aren't among nodes count
+    as paths, loops don't.
+    """
+    n = nodes.count()
+    if n < 3:
+        return nodes.select(node, F.lit(0.0).alias("betweenness"))
+    links = materialize(both_ways(edges.select("a", "b")).where("a <> b").distinct().select(F.col("a").alias("v"), F.col("b").alias("w")), "adjacency")
+    k = sources_needed(n, error, confidence)
+    picked = materialize(nodes.select(F.col(node).alias("s")).orderBy(F.xxhash64(F.col(node), F.lit(seed)), node).limit(k), "sources")
+    batches = -(-k // batch)
+    total = None
+    for i in range(batches):
+        part = materialize(_passed(picked.where(F.pmod(F.xxhash64("s", F.lit(seed + 1)), F.lit(batches)) == i), links), "betweenness")
+        total = part if total is None else total.unionAll(part)
+    sums = total.groupBy(F.col("v").alias(node)).agg(F.sum("passed").alias("__sum"))
+    scale = n / k / ((n - 1) * (n - 2))
+    return nodes.select(node).join(sums, node, "left").select(node, F.round(F.coalesce("__sum", F.lit(0.0)) * scale, 6).alias("betweenness"))
+
+
+def _passed(sources: DataFrame, links: DataFrame) -> DataFrame:
+    """(v, passed): how many shortest paths from the sources (s) pass each node (v), summed over them."""
+    level = materialize(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")), "paths")
+    levels = [level]
+    while True:
+        near = level.join(links, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
+        for old in levels[-2:]:
+            near = near.join(old.select("s", "v"), ["s", "v"], "left_anti")
+        level = materialize(near, "paths")
+        if level.isEmpty():
+            discard(level)
+            break
+        levels.append(level)
+    below = None  # of the level behind: s, v, paths, passed
+    out = None
+    for level in reversed(levels):
+        if below is None:
+            here = level.withColumn("passed", F.lit(0.0))
+        else:
+            each = below.select("s", F.col("v").alias("w"), ((1 + F.col("passed")) / F.col("paths")).alias("part")).join(links, "w")
+            back = each.groupBy("s", "v").agg(F.sum("part").alias("part"))
+            here = level.join(back, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("passed"))
+        below = materialize(here, "passed")
+        rows = below.where((F.col("s") != F.col("v")) & (F.col("passed") > 0)).select("v", "passed")
+        out = rows if out is None else out.unionAll(rows)
+    return out.groupBy("v").agg(F.sum("passed").alias("passed"))
+
+
 def dependencies(bounds: np.ndarray, near: np.ndarray, source: int) -> np.ndarray:
     """How many shortest paths from source pass each other node, by Brandes's accumulation, level by level."""
     n = len(bounds) - 1

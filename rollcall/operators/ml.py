@@ -8,7 +8,6 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,6 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .metrics import share
 from .ranges import group_quantiles
 
@@ -260,21 +260,34 @@ def fit_quality(predicted: DataFrame) -> DataFrame:
 
 
 def clusters(df: DataFrame, key: str, vector: str, ks: range = range(2, 9)) -> tuple[int, float, DataFrame]:
-    """(k, silhouette, assignments) of the number of clusters with the best cosine silhouette. Bisecting k-means stands
-    for agglomeration, which needs all pairs."""
-    data = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features")).persist()
+    """(k, silhouette, assignments) of the cut of an average-linkage tree with the best cosine silhouette; a cluster is named
+    by its least key. Vectors that are null, zero or not finite are in none."""
+    from . import linkage
+
+    v = F.col(vector).cast("array<double>")
+    length = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
+    data = df.where(F.col(key).isNotNull() & v.isNotNull()).where((length > 0) & (length < float("inf")) & ~F.isnan(length)).dropDuplicates([key])
+    data = materialize(data.select(key, array_to_vector(v).alias("features")), "vectors")
+    merges = materialize(linkage.average_linkage(df, key, vector), "tree")
     judge = ClusteringEvaluator(distanceMeasure="cosine")
     best = (0, -2.0, None)
+    n = merges.count() + 1
     for k in ks:
-        out = BisectingKMeans(k=k, seed=1, distanceMeasure="cosine").fit(data).transform(data)
-        if out.select("prediction").distinct().count() < 2:
-            continue
-        s = judge.evaluate(out)
+        if k > n or n < 2:
+            break
+        out = materialize(data.join(linkage.labels(data, key, merges, k), key), "cut")
+        s = judge.evaluate(_numbered_clusters(out))
         if s > best[1]:
-            best = (k, s, out.select(key, F.col("prediction").alias("coalition_id")))
+            best = (k, s, out.select(key, F.col("cluster").alias("coalition_id")))
     return best
 
 
+def _numbered_clusters(out: DataFrame) -> DataFrame:
+    """Clusters as numbers from 0, which the evaluator asks for; there are as many as a cut has."""
+    names = sorted(r["cluster"] for r in out.select("cluster").distinct().collect())
+    return out.withColumn("prediction", (F.array_position(F.array(*map(F.lit, names)), F.col("cluster")) - 1).cast("double"))
+
+
 def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 300, sample: int = 256, seed: int = 0) -> DataFrame:
     """(key, score) of an isolation forest: 0.5 is ordinary, towards 1 is rare.
 

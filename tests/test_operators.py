@@ -92,8 +92,25 @@ def test_betweenness_and_degree(spark):
     assert got == {"a": 1.0, "b": 0.0, "c": 0.0, "d": 0.0}
     deg = {r["n"]: r["centrality"] for r in graph.degree_centrality(nodes, star_, "n").collect()}
     assert deg["a"] == 1.0 and deg["b"] == pytest.approx(1 / 3)
-    with pytest.raises(ValueError):
-        graph.betweenness(nodes, star_, "n", most_edges=2)
+    assert {r["n"]: r["betweenness"] for r in graph.betweenness(nodes, star_, "n", most_edges=2).collect()} == got
+    assert graph.betweenness_by_levels(nodes.limit(2), star_, "n").agg({"betweenness": "sum"}).first()[0] == 0
+
+
+def test_betweenness_by_levels(spark):
+    """By joins and batches as by sources; a sample keeps to its bound."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n = 40
+    pairs = sorted({(int(min(p)), int(max(p))) for p in rng.integers(0, n - 2, (70, 2))})  # loops and unlinked nodes among them
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    nodes = spark.range(n).toDF("n")
+    loopless = edges.where("a <> b")
+    exact = {r["n"]: r["betweenness"] for r in graph.betweenness(nodes, loopless, "n").collect()}
+    assert {r["n"]: r["betweenness"] for r in graph.betweenness_by_levels(nodes, edges, "n", batch=25).collect()} == pytest.approx(exact, abs=2e-6)
+    assert graph.sources_needed(n, 0.3, 0.9) == 38 and graph.sources_needed(10**6, 0.02, 0.95) == 21_881
+    near = {r["n"]: r["betweenness"] for r in graph.betweenness_by_levels(nodes, edges, "n", error=0.35, confidence=0.9).collect()}
+    assert max(abs(near[v] - exact[v]) for v in exact) <= 0.35
 
 
 def test_blend(spark):
