@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import actions as act
 from ..functions import classify as c
 from ..functions import dates, text
-from ..operators import asof, graph, metrics, ml, ranking, relational, resolve, search, votes
+from ..operators import asof, graph, metrics, ml, ranking, relational, resolve, search, search_index, votes
 from ..sources import parsers
 from .bindings import actions, bills, casts, members, slips, sponsors, table, with_views
 
@@ -677,11 +677,22 @@ def x5_search(s, d):
     return search.search_all("Small Ring", t)
 
 
-@query("with k as (select doc_id::varchar id, text, strpos(lower(text), 'licensed under') as pos from documents where contains(lower(text), 'licensed under')) select 'document' kind, id, 'text' as field, (case when pos = 1 then 0.42 else 0.40 end)::double score, (case when pos - 80 > 1 then '...' else '' end) || substr(text, greatest(pos - 80, 1), least(pos + 14 + 80, length(text) + 1) - greatest(pos - 80, 1)) || (case when pos + 94 <= length(text) then '...' else '' end) snippet from k")
+X3_SQL = "with k as (select doc_id::varchar id, text, strpos(lower(text), 'licensed under') as pos from documents where contains(lower(text), 'licensed under')) select 'document' kind, id, 'text' as field, (case when pos = 1 then 0.42 else 0.40 end)::double score, (case when pos - 80 > 1 then '...' else '' end) || substr(text, greatest(pos - 80, 1), least(pos + 14 + 80, length(text) + 1) - greatest(pos - 80, 1)) || (case when pos + 94 <= length(text) then '...' else '' end) snippet from k"
+
+
+@query(X3_SQL)
 def x3_search_text(s, d):
     return search.search_one(table(s, d, "documents").select("doc_id", "text"), "document", "doc_id", (("text", 0.45, 0.42, 0.40),), "Licensed under")
 
 
+@query(X3_SQL)
+def x3_search_indexed(s, d):
+    """The same hits by way of an inverted index."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    return search_index.build(docs, "doc_id", (("text", 0.45, 0.42, 0.40),)).search(docs, "document", "Licensed under")
+
+
+
 @query("select name, chamber, member_id, 'exact' as method, 1.0::double confidence from members", "members")
 def e2_resolve_names(s, d):
     m = members(s, d)
