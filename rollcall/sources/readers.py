@@ -141,12 +141,51 @@ def committee_bills(committees: DataFrame) -> DataFrame:
 
 
 def rules(spark: SparkSession, path: str) -> DataFrame:
-    """(stage, progress, next_stages) of a rules glossary; the other parts are read in the same way."""
+    """(stage, progress, next_stages) of a rules glossary; rule_facts reads all of its parts."""
     whole = spark.read.text(path, wholetext=True)
     stages = whole.select(F.explode(F.from_json("value", "struct<stages:map<string,struct<progress_fraction:double,next_stages:array<string>>>>")["stages"]).alias("stage", "s"))
     return stages.select("stage", F.col("s.progress_fraction").alias("progress"), F.col("s.next_stages").alias("next_stages"))
 
 
+#: The parts of a rules glossary, each an object of named entries.
+RULE_PARTS = ("stages", "committees", "actions", "outcomes", "vote_thresholds", "deadlines")
+
+
+def rule_facts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, name, field, value) of every field of every entry of a rules glossary's six parts; nested values as JSON text.
+    An entry that is no object (a list of committees) has one field without a name. Parts that are missing have no rows."""
+    whole = spark.read.text(path, wholetext=True)
+    parts = F.from_json("value", "struct<" + ",".join(f"{p}:map<string,string>" for p in RULE_PARTS) + ">")
+    rows = whole.select(F.explode(F.array(*(F.struct(F.lit(p).alias("part"), parts[p].alias("entries")) for p in RULE_PARTS))).alias("x"))
+    rows = rows.select("x.part", F.explode("x.entries").alias("name", "text"))
+    fields = F.coalesce(F.from_json("text", "map<string,string>"), F.create_map(F.lit(""), F.col("text")))
+    return rows.select("part", "name", F.explode(fields).alias("field", "value"))
+
+
+def rule_table(facts: DataFrame, part: str, **fields: str) -> DataFrame:
+    """One part as a table: a row per entry with the wanted fields in the types given, null where an entry lacks one."""
+    cells = []
+    for name, kind in fields.items():
+        value = F.max(F.when(F.col("field") == name, F.col("value")))
+        cells.append((F.from_json(value, kind) if kind.startswith(("array", "struct", "map")) else value.try_cast(kind)).alias(name))
+    return facts.where(F.col("part") == part).groupBy("name").agg(*cells)
+
+
+def rule_committees(facts: DataFrame) -> DataFrame:
+    """(name, formal_name, chamber, aliases) of the procedural committees, and those of each chamber's standing list by name."""
+    entries = facts.where("part = 'committees'")
+    listed = entries.where("field = ''").select(F.explode(F.from_json("value", "array<struct<name:string,formal_name:string,chamber:string,aliases:array<string>>>")).alias("x")).select("x.*")
+    standing = entries.where("field = 'committees'").select(F.regexp_extract("name", "^(senate|house)", 1).alias("chamber"), F.explode(F.from_json("value", "array<string>")).alias("name"))
+    return listed.unionByName(standing.select("name", F.col("name").alias("formal_name"), "chamber", F.array().cast("array<string>").alias("aliases")))
+
+
+def rule_votes(facts: DataFrame) -> DataFrame:
+    """(name, chamber, votes, members): what each threshold asks of a chamber, where it is a number."""
+    t = rule_table(facts, "vote_thresholds", senate_votes_required="int", senate_total_members="int", house_votes_required="int", house_total_members="int")
+    sides = F.array(*(F.struct(F.lit(c).alias("chamber"), F.col(f"{c}_votes_required").alias("votes"), F.col(f"{c}_total_members").alias("members")) for c in ("senate", "house")))
+    return t.select("name", F.explode(sides).alias("x")).select("name", "x.*").where("votes is not null")
+
+
 def refresh_state(bills: DataFrame, stamp: str) -> DataFrame:
     """What an incremental refresh starts from: the highest number of each kind, and when it was taken."""
     from ..functions.text import number_kind, numeric_suffix

@@ -164,3 +164,27 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
 def test_counts_of_words_in_few_but_not_most_rows(spark):
     rows = spark.createDataFrame([(["law", "rare"] if i == 0 else ["law", "tax"] if i < 4 else ["law"],) for i in range(10)], "w array<string>")
     assert ml.count_vectors(rows, "w", 10, 3, 0.8).vocabulary == ["tax"]
+
+
+def test_all_parts_of_a_rules_glossary(spark, tmp_path):
+    import json
+
+    whole = {
+        "_meta": {"v": 1},
+        "stages": {"FILED": {"progress_fraction": 0.1, "next_stages": ["IN_COMMITTEE"]}, "SIGNED": {"progress_fraction": 1.0, "next_stages": []}},
+        "committees": {"procedural": [{"name": "assignments", "formal_name": "Committee on Assignments", "chamber": "senate", "aliases": ["assignments"]}], "house_standing": {"rule": "Rule 1", "committees": ["Energy", "Labor"]}},
+        "actions": {"deadline": {"senate_rule": "Rule 2", "description": "Late.", "outcome_signal": "negative_weak", "types": {"a": 1}}},
+        "outcomes": {"favorable_report": {"patterns": ["do pass", "be adopted"], "signal": "positive", "is_terminal": False}, "lost": {"is_terminal": True}},
+        "vote_thresholds": {"simple": {"description": "half"}, "elected": {"senate_votes_required": 30, "senate_total_members": 59, "house_votes_required": 60, "house_total_members": 118}},
+    }
+    path = tmp_path / "rules.json"
+    path.write_text(json.dumps(whole, indent=1))
+    facts = readers.rule_facts(spark, str(path))
+    assert {r["part"] for r in facts.select("part").distinct().collect()} == set(readers.RULE_PARTS) - {"deadlines"}
+    assert {tuple(r) for r in readers.rule_table(facts, "stages", progress_fraction="double", next_stages="array<string>").select("name", "progress_fraction", F.concat_ws(",", "next_stages")).collect()} == {("FILED", 0.1, "IN_COMMITTEE"), ("SIGNED", 1.0, "")}
+    assert [tuple(r) for r in readers.rule_table(facts, "actions", senate_rule="string", house_rule="string", outcome_signal="string").collect()] == [("deadline", "Rule 2", None, "negative_weak")]
+    got = {r["name"]: (r["patterns"], r["is_terminal"]) for r in readers.rule_table(facts, "outcomes", patterns="array<string>", is_terminal="boolean").collect()}
+    assert got == {"favorable_report": (["do pass", "be adopted"], False), "lost": (None, True)}
+    assert {tuple(r) for r in readers.rule_votes(facts).collect()} == {("elected", "senate", 30, 59), ("elected", "house", 60, 118)}
+    assert {(r["name"], r["chamber"]) for r in readers.rule_committees(facts).collect()} == {("assignments", "senate"), ("Energy", "house"), ("Labor", "house")}
+    assert readers.rule_table(facts, "deadlines", rule="string").count() == 0
