@@ -108,15 +108,18 @@ def betweenness_by_levels(nodes: DataFrame, edges: DataFrame, node: str, error:
     batches = -(-k // batch)
     total = None
     for i in range(batches):
-        part = materialize(_passed(picked.where(F.pmod(F.xxhash64("s", F.lit(seed + 1)), F.lit(batches)) == i), links), "betweenness")
+        passed, used = _passed(picked.where(F.pmod(F.xxhash64("s", F.lit(seed + 1)), F.lit(batches)) == i), links)
+        part = materialize(passed, "betweenness")
+        discard(*used)
         total = part if total is None else total.unionAll(part)
     sums = total.groupBy(F.col("v").alias(node)).agg(F.sum("passed").alias("__sum"))
     scale = n / k / ((n - 1) * (n - 2))
     return nodes.select(node).join(sums, node, "left").select(node, F.round(F.coalesce("__sum", F.lit(0.0)) * scale, 6).alias("betweenness"))
 
 
-def _passed(sources: DataFrame, links: DataFrame) -> DataFrame:
-    """(v, passed): how many shortest paths from the sources (s) pass each node (v), summed over them."""
+def _passed(sources: DataFrame, links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(v, passed): how many shortest paths from the sources (s) pass each node (v), summed over them; and the written tables
+    that it reads."""
     level = materialize(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")), "paths")
     levels = [level]
     while True:
@@ -129,7 +132,7 @@ def _passed(sources: DataFrame, links: DataFrame) -> DataFrame:
             break
         levels.append(level)
     below = None  # of the level behind: s, v, paths, passed
-    out = None
+    out, used = None, list(levels)
     for level in reversed(levels):
         if below is None:
             here = level.withColumn("passed", F.lit(0.0))
@@ -138,9 +141,10 @@ def _passed(sources: DataFrame, links: DataFrame) -> DataFrame:
             back = each.groupBy("s", "v").agg(F.sum("part").alias("part"))
             here = level.join(back, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("passed"))
         below = materialize(here, "passed")
+        used.append(below)
         rows = below.where((F.col("s") != F.col("v")) & (F.col("passed") > 0)).select("v", "passed")
         out = rows if out is None else out.unionAll(rows)
-    return out.groupBy("v").agg(F.sum("passed").alias("passed"))
+    return out.groupBy("v").agg(F.sum("passed").alias("passed")), used
 
 
 def dependencies(bounds: np.ndarray, near: np.ndarray, source: int) -> np.ndarray:
