@@ -13,6 +13,7 @@ from ..functions import classify as c
 from ..functions import dates, text
 from ..operators import asof, graph, metrics, ml, ranking, relational, resolve, search, search_index, votes
 from ..sources import parsers
+from ..sources.scratch import materialize
 from .bindings import actions, bills, casts, members, slips, sponsors, table, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -719,8 +720,13 @@ def m2_tfidf(s, d):
 
 
 def _training(s: SparkSession, d: str) -> DataFrame:
+    """Three figures of each labelled document, taken before the join, so that no text is shuffled, and written, as models read
+    them many times."""
     f = text.content_features(F.col("text"))
-    rows = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select("doc_id", F.col("quality").cast("double").alias("label"), f["log_words"].alias("log_words"), (F.length(F.regexp_replace("text", r"[^#*$%&|!]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("symbols"), (F.length(F.regexp_replace("text", r"[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("capitals"))
+    share_of = lambda kept: F.length(F.regexp_replace("text", kept, "")) / F.greatest(F.length("text"), F.lit(1))
+    figures = table(s, d, "documents").select("doc_id", f["log_words"].alias("log_words"), share_of(r"[^#*$%&|!]").alias("symbols"), share_of(r"[^A-Z]").alias("capitals"))
+    rows = figures.join(table(s, d, "labels"), "doc_id").select("doc_id", F.col("quality").cast("double").alias("label"), "log_words", "symbols", "capitals")
+    rows = materialize(rows, "training")
     return ml.assemble(rows, ["log_words", "symbols", "capitals"])
 
 
