@@ -283,14 +283,15 @@ def topics(committee: Column) -> Column:
 
 def anomaly_reason(top_share: Column, duplication: Column, unanimity: Column, diversity: Column, hhi: Column) -> Column:
     """Up to five clauses on what is odd about a bill's slips. duplication: slips per distinct name."""
-    percent = lambda x, d: F.concat(F.format_number(100 * x, d), F.lit("%"))
+    plain = lambda x, d: F.replace(F.format_number(x, d), F.lit(","), F.lit(""))  # noqa: E731  (thousands aren't grouped)
+    percent = lambda x, d: F.concat(plain(100 * x, d), F.lit("%"))
     parts = F.array_compact(
         F.array(
             F.when(top_share > 0.5, F.concat(F.lit("one organization files "), percent(top_share, 0))),
-            F.when(duplication > 2.0, F.concat(F.lit("names recur "), F.format_number(duplication, 1), F.lit(" times"))),
+            F.when(duplication > 2.0, F.concat(F.lit("names recur "), plain(duplication, 1), F.lit(" times"))),
             F.when(unanimity > 0.95, "nearly all on one side"),
             F.when(diversity < 0.05, F.concat(F.lit("few organizations ("), percent(diversity, 1), F.lit(")"))),
-            F.when(hhi > 0.3, F.concat(F.lit("concentrated (HHI "), F.format_number(hhi, 2), F.lit(")"))),
+            F.when(hhi > 0.3, F.concat(F.lit("concentrated (HHI "), plain(hhi, 2), F.lit(")"))),
         )
     )
     return F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise("unusual pattern")
