@@ -1,11 +1,38 @@
 """What larger tables showed: figures of four digits, graphs over the bounds of one machine, long texts."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from rollcall.functions import classify
+from rollcall.operators import votes
+from rollcall.plans import catalog_functions
+from rollcall.plans.catalog import ORACLE, QUERIES
+
+assert catalog_functions.query  # it adds to the same catalogue
 
 
 def test_anomaly_reason_without_grouped_thousands(spark):
     df = spark.createDataFrame([(0.6, 6666.66, 0.1, 0.001, 0.1)], "t double, d double, u double, v double, h double")
     got = df.select(classify.anomaly_reason(*(F.col(c) for c in "tduvh"))).first()[0]
     assert got == "one organization files 60%; names recur 6666.7 times; few organizations (0.1%)"
+
+
+def test_hours_since_of_odd_rows_as_its_sql(spark, tmp_path):
+    rows = spark.sql("select * from values (1L, timestamp '2024-07-01 10:00:00.999999'), (9L, null), (2L, null), (null, timestamp '2024-01-01 00:00:01') t(event_id, ts)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.execute("set TimeZone = 'UTC'")
+    db.execute(f"create view events as select event_id, ts::timestamp as ts from '{tmp_path}/events.parquet/*.parquet'")
+    by_id = lambda found: sorted(found, key=str)
+    assert by_id(map(tuple, QUERIES["c27_hours_since"](spark, str(tmp_path)).collect())) == by_id(db.execute(ORACLE["c27_hours_since"]).fetchall())
+
+
+def test_timeline_goes_by_votes_not_by_events(spark):
+    n = 400
+    cast = [(1, e, f"{1990 + e // 10}-01-0{1 + e % 9}", "floor", e % 7 if e % 50 == 0 else 10, ("Y", "N", "NV")[e % 3]) for e in range(n)]
+    df = spark.createDataFrame(cast, "bill long, event_id long, date string, vote_type string, member_id long, vote string")
+    out = votes.timeline(df, ["bill"])
+    order = sorted(range(n), key=lambda e: (cast[e][2], e))
+    want = {m: " ".join(cast[e][5] if cast[e][4] == m else "--" for e in order) for m in {x[4] for x in cast}}
+    assert {r["member_id"]: r["codes"] for r in out.collect()} == want
+    assert "sequence(1, n_events" not in out._jdf.queryExecution().optimizedPlan().toString()
