@@ -26,17 +26,19 @@ SCHEMAS = {"postings": "gram string, id string, field string, bucket int", "coun
 def grams(value: Column) -> Column:
     """The distinct trigrams of a text in lower case; none for a null or shorter one."""
     letters = F.split(F.lower(value), "")
-    every = F.transform(F.sequence(F.lit(1), F.size(letters) - SIZE + 1), lambda i: F.array_join(F.slice(letters, i, SIZE), ""))
+    # Shifted copies side by side: what a lambda says of the text itself would be computed anew for every place in it.
+    shifted = [F.slice(letters, i + 1, F.greatest(F.size(letters) - SIZE + 1, F.lit(0))).alias(f"l{i}") for i in range(SIZE)]
+    every = F.transform(F.arrays_zip(*shifted), lambda x: F.concat(*(x[f"l{i}"] for i in range(SIZE))))
     return F.when(F.size(letters) >= SIZE, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
 def postings(df: DataFrame, key: str, fields: tuple, buckets: int) -> DataFrame:
-    """(bucket, gram, id, field) of the fields that df has; field id is the key itself."""
+    """(bucket, gram, id, field) of the fields that df has, once for each row of df; field id is the key itself."""
     at = lambda f: F.col(key) if f == "id" else F.col(f)
     names = [f for f, *_ in fields if f in df.columns or f == "id"]
     cells = F.array(*(F.struct(F.lit(f).alias("field"), at(f).cast("string").alias("value")) for f in names))
     rows = df.select(F.col(key).cast("string").alias("id"), F.explode(cells).alias("x")).select("id", "x.field", F.explode(grams(F.col("x.value"))).alias("gram"))
-    return rows.select((F.crc32(F.col("gram").cast("binary")) % buckets).cast("int").alias("bucket"), "gram", "id", "field").distinct()
+    return rows.select((F.crc32(F.col("gram").cast("binary")) % buckets).cast("int").alias("bucket"), "gram", "id", "field")
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,7 @@ class TextIndex:
             return None
         counts = {r["gram"]: r["n"] for r in self.grams_of(spark, "counts", wanted).collect()}  # a row per gram of the query
         rare = sorted(wanted, key=lambda g: (counts.get(g, 0), g))[:LOOKED_UP]
-        found = self.grams_of(spark, "postings", rare).groupBy("id", "field").agg(F.count(F.lit(1)).alias("n"))
+        found = self.grams_of(spark, "postings", rare).groupBy("id", "field").agg(F.countDistinct("gram").alias("n"))
         return found.where(F.col("n") == len(rare)).select("id").distinct()
 
     def search(self, df: DataFrame, kind: str, query: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """What larger tables showed: figures of four digits, graphs over the bounds of one machine, long texts."""
 
+import time
+
 import duckdb
 from pyspark.sql import functions as F
 
 from rollcall.functions import classify
-from rollcall.operators import votes
+from rollcall.operators import search_index, votes
 from rollcall.plans import catalog_functions
 from rollcall.plans.catalog import ORACLE, QUERIES
 
@@ -36,3 +38,14 @@ def test_timeline_goes_by_votes_not_by_events(spark):
     want = {m: " ".join(cast[e][5] if cast[e][4] == m else "--" for e in order) for m in {x[4] for x in cast}}
     assert {r["member_id"]: r["codes"] for r in out.collect()} == want
     assert "sequence(1, n_events" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_grams_of_a_long_text_take_one_pass(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(150_000)) + "Ä漢字𝒳y"
+    df = spark.createDataFrame([(text,), ("ab",), (None,)], "t string").repartition(1)
+    start = time.monotonic()
+    got = [r[0] for r in df.select(search_index.grams(F.col("t"))).collect()]
+    assert time.monotonic() - start < 20  # with the text taken apart for every place in it: minutes
+    low = text.lower()
+    assert sorted(map(len, got)) == [0, 0, len({low[i : i + 3] for i in range(len(low) - 2)})]
+    assert set(max(got, key=len)) == {low[i : i + 3] for i in range(len(low) - 2)}
