@@ -1,4 +1,4 @@
-"""Column functions on names, numbers, labels and free text. All but indel_ratio are built from Spark expressions."""
+"""Column functions on names, numbers, labels and free text. All but ratios and indel_ratio are built from Spark expressions."""
 
 from __future__ import annotations
 
@@ -209,6 +209,34 @@ def _common_many(a: list[str], b: list[str]) -> np.ndarray:
     return la - np.bitwise_count(v).astype(np.int64)
 
 
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """indel_ratio of every text of a (rows) with every one of b (columns), a character of all of b at a time."""
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    common = np.zeros((len(a), len(b)), np.int64)
+    short = np.flatnonzero(la <= 63)
+    if len(short) and len(b):
+        n, width = la[short], max(1, int(lb.max()))
+        x = np.array([a[i] for i in short], f"U{max(1, int(n.max()))}").view(np.uint32).reshape(len(short), -1)
+        y = np.array(b, f"U{width}").view(np.uint32).reshape(len(b), -1)
+        letters, codes = np.unique(y, return_inverse=True)
+        codes = np.where(np.arange(width) < lb[:, None], codes.reshape(y.shape), len(letters)).T.copy()
+        masks = np.zeros((len(short), len(letters) + 1), np.uint64)  # the last letter is behind a text's end and nowhere in a
+        for k in range(x.shape[1]):
+            at = np.minimum(np.searchsorted(letters, x[:, k]), len(letters) - 1)
+            found = np.flatnonzero((letters[at] == x[:, k]) & (k < n))
+            masks[found, at[found]] |= np.uint64(1 << k)
+        full = ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1))[:, None]
+        v = np.repeat(full, len(b), 1)
+        for c in codes:
+            u = v & masks[:, c]
+            v = ((v + u) | (v - u)) & full
+        common[short] = n[:, None] - np.bitwise_count(v)
+    for i in np.flatnonzero(la > 63):
+        common[i] = [_common(a[i], t) for t in b]
+    both = (la[:, None] + lb).astype(np.float64)
+    return (1 - (both - 2 * common) / np.maximum(both, 1)) * 100
+
+
 @F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 * (1 - insertions and deletions from a to b / length of both); 100 for two empty texts, null for null."""

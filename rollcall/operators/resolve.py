@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import indel_ratio, member_name_parts, name_key, seat_key, seat_name_parts, token_sort
+from ..functions.text import indel_ratio, member_name_parts, name_key, ratios, seat_key, seat_name_parts, token_sort
 from ..sources.scratch import materialize
 
 
@@ -134,27 +134,53 @@ def candidates(names: DataFrame, members: DataFrame, n: int = 5, threshold: floa
     """The n most similar members of its chamber for each name.
 
     The score is the token-sort ratio of the texts as they are written (case counts). From a threshold of two thirds on,
-    only pairs that share a rare gram at a fitting place are looked at (similar_pairs). Below that similar texts need not
-    share any: then all pairs of a chamber are looked at, with its members dealt to blocks that every name of the chamber
-    meets, so that the few chambers don't bound the number of tasks. Either way a pair whose lengths, and then edit distance,
-    differ by more than the threshold allows to insertions and deletions, which are no fewer, is left out before it is
-    scored; of each task's pairs only the n best of a name are shuffled.
+    only pairs that share a rare gram at a fitting place are looked at (similar_pairs), and of these none whose lengths, and
+    then edit distance, differ by more than the threshold allows to insertions and deletions, which are no fewer. Below that
+    similar texts need not share any: then all pairs of a chamber are scored, with its members dealt to blocks that every
+    name of the chamber meets, so that the few chambers don't bound the number of tasks. A block is scored as a table, and
+    only the n best of a name in it leave the task.
     """
     x = names.select("chamber", "name", token_sort(F.col("name"), False).alias("__x"))
     y = members.select("chamber", "member_id", F.col("name").alias("full"), token_sort(F.col("name"), False).alias("__y"))
     if threshold >= 200 / 3:
         near = similar_pairs(x, y, ["name"], ["member_id", "full"], "__x", "__y", "chamber", threshold)
+        room = (F.length("__x") + F.length("__y")) * (1 - threshold / 100) + 1e-9
+        near = near.where(F.when((F.col("met") > 0) & (F.abs(F.length("__x") - F.length("__y")) <= room), F.levenshtein("__x", "__y") <= room))
+        pairs = near.withColumn("score", indel_ratio("__x", "__y")).drop("__x", "__y", "met").where(F.col("score") >= threshold)
     else:
-        x = x.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        y = y.withColumn("__block", F.pmod(F.xxhash64("member_id", "full"), F.lit(blocks)).cast("int"))
-        near = x.join(y, ["chamber", "__block"]).drop("__block").withColumn("met", F.lit(1))
-    room = (F.length("__x") + F.length("__y")) * (1 - threshold / 100) + 1e-9
-    near = near.where(F.when((F.col("met") > 0) & (F.abs(F.length("__x") - F.length("__y")) <= room), F.levenshtein("__x", "__y") <= room))
-    pairs = near.withColumn("score", indel_ratio("__x", "__y")).drop("__x", "__y", "met").where(F.col("score") >= threshold)
+        pairs = _best_of_blocks(x, y, n, threshold, blocks)
     w = Window.partitionBy("chamber", "name").orderBy(F.desc("score"), "member_id")
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
+def _best_of_blocks(x: DataFrame, y: DataFrame, n: int, threshold: float, blocks: int, most: int = 50_000) -> DataFrame:
+    """The n best pairs of each name with each block of its chamber's members. Blocks of either side hold most rows or so."""
+    x = x.where(F.col("chamber").isNotNull() & F.col("__x").isNotNull())
+    y = y.where(F.col("chamber").isNotNull() & F.col("__y").isNotNull())
+    parts, blocks = max(1, -(-x.count() // most)), max(blocks, -(-y.count() // most))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    x = x.withColumn("__part", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int")).withColumn("__block", every(blocks))
+    y = y.withColumn("__block", F.pmod(F.xxhash64("member_id", "full"), F.lit(blocks)).cast("int")).withColumn("__part", every(parts))
+    kinds = dict(x.dtypes) | dict(y.dtypes)
+
+    def best(names: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("member_id", na_position="first", kind="stable")  # the first of equal scores are the best
+        texts, rows, columns, scores = block["__y"].tolist(), [], [], []
+        step = max(1, 16_384 // max(1, len(texts)))
+        for i in range(0, len(names), step) if texts else ():
+            found = ratios(names["__x"].iloc[i : i + step].tolist(), texts)
+            top = np.argsort(-found, 1, kind="stable")[:, :n]
+            score = np.take_along_axis(found, top, 1)
+            row, place = np.nonzero(score >= threshold)
+            rows.append(row + i), columns.append(top[row, place]), scores.append(score[row, place])
+        rows, columns = (np.concatenate(k) if k else np.zeros(0, int) for k in (rows, columns))
+        x, y = (f.iloc[k].reset_index(drop=True) for f, k in ((names, rows), (block, columns)))
+        return pd.DataFrame({"chamber": x["chamber"], "name": x["name"], "member_id": y["member_id"], "full": y["full"], "score": np.concatenate(scores) if scores else np.zeros(0)})
+
+    keys = ["chamber", "__part", "__block"]
+    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(best, ", ".join(f"`{c}` {kinds[c]}" for c in ("chamber", "name", "member_id", "full")) + ", score double")
+
+
 def unresolved_queue(casts: DataFrame, resolved: DataFrame) -> DataFrame:
     """Names without a member by how often they occur."""
     left = resolved.where("method = 'unresolved'").select("chamber", "name")

@@ -3,10 +3,12 @@
 import time
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from rollcall.functions import classify
-from rollcall.operators import search_index, votes
+from rollcall.functions.text import indel_ratio, ratios
+from rollcall.operators import resolve, search_index, votes
 from rollcall.plans import catalog_functions
 from rollcall.plans.catalog import ORACLE, QUERIES
 
@@ -49,3 +51,21 @@ def test_grams_of_a_long_text_take_one_pass(spark):
     low = text.lower()
     assert sorted(map(len, got)) == [0, 0, len({low[i : i + 3] for i in range(len(low) - 2)})]
     assert set(max(got, key=len)) == {low[i : i + 3] for i in range(len(low) - 2)}
+
+
+def test_all_pairs_of_names_are_scored_as_tables(spark):
+    a = ["", "Ann Lee", "Lee Annä 漢", "x" * 63, "y" * 70 + "Lee", "Supplier#000000042"]
+    b = ["", "Lee", "Ann  Lee", "漢Annä", "x" * 300, "Supplier#0000000421", "yLe\0"]
+    want = [list(indel_ratio.func(pd.Series([x] * len(b)), pd.Series(b))) for x in a]
+    assert ratios(a, b).tolist() == want
+    names = spark.createDataFrame([(str(i % 2), f"Member {i * 7 % 50} {i % 3}") for i in range(60)] + [(None, "x"), ("0", None)], "chamber string, name string")
+    members = spark.createDataFrame([(i, str(i % 2), f"{i % 9} Member {i}") for i in range(50)] + [(99, "0", None)], "member_id long, chamber string, name string")
+    out = resolve.candidates(names, members, 3, 50.0)
+    assert "levenshtein" not in out._jdf.queryExecution().optimizedPlan().toString()
+    sort = lambda t: " ".join(sorted(t.split()))
+    mine = [r for r in members.collect() if r["name"]]
+    want = set()
+    for c, t in {(r[0], r[1]) for r in names.collect() if r[0] and r[1]}:
+        scored = sorted((-ratios([sort(t)], [sort(m["name"])])[0, 0], m["member_id"]) for m in mine if m["chamber"] == c)
+        want |= {(c, t, m, -s, i + 1) for i, (s, m) in enumerate(scored[:3]) if -s >= 50}
+    assert {tuple(r) for r in out.select("chamber", "name", "member_id", "score", "place").collect()} == want
