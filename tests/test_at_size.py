@@ -3,12 +3,14 @@
 import time
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from rollcall.functions import classify
 from rollcall.functions.text import indel_ratio, ratios
-from rollcall.operators import resolve, search_index, votes
+from rollcall.operators import graph, resolve, search_index, votes
 from rollcall.plans import catalog_functions
 from rollcall.plans.catalog import ORACLE, QUERIES
 
@@ -69,3 +71,18 @@ def test_all_pairs_of_names_are_scored_as_tables(spark):
         scored = sorted((-ratios([sort(t)], [sort(m["name"])])[0, 0], m["member_id"]) for m in mine if m["chamber"] == c)
         want |= {(c, t, m, -s, i + 1) for i, (s, m) in enumerate(scored[:3]) if -s >= 50}
     assert {tuple(r) for r in out.select("chamber", "name", "member_id", "score", "place").collect()} == want
+
+
+@pytest.fixture(scope="module")
+def two_rings(spark):
+    """80 nodes: two rings with chords and weights, joined by one link, and a node without links."""
+    pairs = {(min(a, b), max(a, b)): 1.0 + (a * b) % 3 for h in (0, 40) for i in range(40) for a, b in ((h + i, h + (i + 1) % 40), (h + i, h + i * 7 % 39)) if a != b}
+    rows = [(a, b, w) for (a, b), w in (pairs | {(3, 43): 0.5}).items()]
+    return spark.createDataFrame([(i,) for i in range(81)], "n long"), spark.createDataFrame(rows, "a long, b long, weight double")
+
+
+def test_spectral_beyond_a_dense_matrix(two_rings):
+    nodes, edges = two_rings
+    vectors = lambda most: np.array([r["vector"] for r in graph.spectral(edges, nodes, "n", most_nodes=most).orderBy("n").collect()])
+    dense, sparse = vectors(100), vectors(10)
+    assert np.abs(dense[:80] - sparse[:80]).max() < 1e-3
