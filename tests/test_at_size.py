@@ -86,3 +86,20 @@ def test_spectral_beyond_a_dense_matrix(two_rings):
     vectors = lambda most: np.array([r["vector"] for r in graph.spectral(edges, nodes, "n", most_nodes=most).orderBy("n").collect()])
     dense, sparse = vectors(100), vectors(10)
     assert np.abs(dense[:80] - sparse[:80]).max() < 1e-3
+
+
+def test_betweenness_by_levels_makes_no_row_per_path(two_rings, monkeypatch):
+    nodes, edges = two_rings
+    exact = {r["n"]: r["betweenness"] for r in graph.betweenness(nodes, edges, "n").collect()}
+    joins = []
+    monkeypatch.setattr(graph, "materialize", lambda df, name, write=graph.materialize: joins.append("Join" in df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    got = {r["n"]: r["betweenness"] for r in graph.betweenness_by_levels(nodes, edges, "n", batch=30).collect()}
+    assert got == pytest.approx(exact, abs=2e-6) and not any(joins)
+
+
+def test_long_walks_by_steps_are_those_of_one_machine(two_rings):
+    nodes, edges = two_rings
+    walk = lambda most: {tuple(r["walk_id"]): r["walk"] for r in graph.walks(edges, nodes, "n", 5, 8, most_edges=most).collect()}
+    found = graph.walks(edges, nodes, "n", 5, 8, most_edges=10)
+    assert walk(10) == walk(10_000)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
