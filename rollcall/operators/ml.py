@@ -270,12 +270,15 @@ def clusters(df: DataFrame, key: str, vector: str, ks: range = range(2, 9)) -> t
     data = materialize(data.select(key, array_to_vector(v).alias("features")), "vectors")
     merges = materialize(linkage.average_linkage(df, key, vector), "tree")
     judge = ClusteringEvaluator(distanceMeasure="cosine")
+    n, ids = merges.count() + 1, data.select(key)
+    cuts = [k for k in ks if n >= 2 and k <= n]
+    for k in cuts:  # keys and names alone; the vectors are joined with all cuts at once
+        found = materialize(linkage.labels(ids, key, merges, k), "cut")
+        data = data.join(found.withColumnRenamed("cluster", f"__cut{k}"), key)
+    data = materialize(data, "cuts") if cuts else data
     best = (0, -2.0, None)
-    n = merges.count() + 1
-    for k in ks:
-        if k > n or n < 2:
-            break
-        out = materialize(data.join(linkage.labels(data, key, merges, k), key), "cut")
+    for k in cuts:
+        out = data.withColumn("cluster", F.col(f"__cut{k}"))
         s = judge.evaluate(_numbered_clusters(out))
         if s > best[1]:
             best = (k, s, out.select(key, F.col("cluster").alias("coalition_id")))
