@@ -1,6 +1,9 @@
 """Steps whose shuffles or passes grew faster than the input."""
 
-from rollcall.operators import linkage
+from pyspark.sql import functions as F
+
+from rollcall.operators import graph, linkage, ml
+from rollcall.plans import catalog, views
 
 
 def plan(df):
@@ -14,3 +17,27 @@ def test_linkage_sends_no_vector_to_each_pair_of_blocks(spark, monkeypatch):
     got = {(r["kept"], r["gone"]): r["sim"] for r in linkage.average_linkage(df, "id", "v", 20, 10).collect()}
     assert plans and not any("explode" in p for p in plans)
     assert got == {(r["kept"], r["gone"]): r["sim"] for r in linkage.average_linkage(df, "id", "v").collect()}
+
+
+def test_board_and_ridge_are_made_once(spark, sf):
+    tables = lambda df: plan(df).count("Relation ")
+    b = catalog.board(spark, sf)
+    assert tables(b) <= 2 and "Generate" not in plan(b)  # the written rows and their maximum, no table of the input
+    value = ml.ridge_leave_one_out(b.select("member_id", "magnet", "bridge", "law_rate"), "member_id", ["magnet", "bridge"], "law_rate")
+    assert tables(value) == 1
+    profiles = b.select("member_id", "score", F.col("centrality").alias("betweenness"))
+    pivots = profiles.select("member_id", F.lit(0.5).alias("pivotal_rate"), F.lit(1).alias("swing"))
+    pull = profiles.select("member_id", F.col("score").alias("pull"), F.lit(0.1).alias("sponsor_lift"))
+    assert "Join LeftOuter" not in plan(views.influence(profiles, pivots, pull))
+
+
+def test_pairs_and_degrees_read_their_rows_once(spark):
+    rows = spark.createDataFrame([(g, n) for g in range(9) for n in range(g)] + [(None, 1), (None, 2), (3, None), (1, 0)], "g long, n long")
+    pairs = graph.pair_counts(rows, "g", "n")
+    want = {(a, b): sum(b < g for g in range(9)) for b in range(8) for a in range(b)}
+    assert {(r["a"], r["b"]): r["weight"] for r in pairs.collect()} == want
+    assert plan(pairs).count("Join") == 1
+    nodes = spark.createDataFrame([(n,) for n in range(10)], "n long")
+    out = graph.degree_centrality(nodes, pairs, "n")
+    assert {r["n"]: r["degree"] for r in out.collect()} == {n: 7 if n < 8 else 0 for n in range(10)}
+    assert "Union" not in plan(out)
