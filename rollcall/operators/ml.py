@@ -235,6 +235,7 @@ def ridge_leave_one_out(df: DataFrame, key: str, columns: list[str], target: str
     The Gram matrix is summed in Spark: (columns + 1) squared numbers reach the driver, whatever the number of rows. The
     residual without a row is its residual over 1 minus its leverage.
     """
+    df = materialize(df.select(*dict.fromkeys([key, *columns, target])), "ridge")  # summed, then predicted: made once
     terms = [F.lit(1.0), *(F.col(c).cast("double") for c in columns)]
     k = len(terms)
     sums = df.agg(*(F.sum(terms[i] * terms[j]) for i in range(k) for j in range(i, k)), *(F.sum(t * F.col(target)) for t in terms)).first()
