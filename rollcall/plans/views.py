@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as c
 from ..operators.metrics import INFLUENCE, MONEYBALL, RECRUITMENT, max_share, min_max, slip_summary, weighted
 from ..operators.relational import page, top_n
+from ..sources.scratch import materialize
 
 
 def leaderboard(profiles: DataFrame, chamber: str | None = None, exclude_leaders: bool = False, sort: str = "score", descending: bool = True, offset: int = 0, limit: int = 0) -> DataFrame:
@@ -22,6 +23,7 @@ def leaderboard(profiles: DataFrame, chamber: str | None = None, exclude_leaders
 def influence(profiles: DataFrame, pivotality: DataFrame, pull: DataFrame) -> DataFrame:
     """The four parts, each from 0 to 1, their weighted score, label and signals. profiles: member_id, score, betweenness."""
     p = profiles.join(pivotality.select("member_id", "pivotal_rate", "swing"), "member_id", "left").join(pull.select("member_id", "pull", "sponsor_lift"), "member_id", "left")
+    p = materialize(p, "influence")  # a row per member; maxima are taken of it and joined with it
     p = max_share(p.withColumn("moneyball", F.round(F.col("score") / 100, 4)).withColumnRenamed("betweenness", "__b"), "__b", "betweenness")
     p = min_max(p.withColumn("__p", F.col("pull")), "__p", "__share")
     p = p.withColumns({"pivotality": F.coalesce(F.round("pivotal_rate", 4), F.lit(0.0)), "pull": F.round(F.when(F.col("__p").isNull(), 0.0).otherwise(F.col("__share")), 4), "betweenness": F.round("betweenness", 4)})
