@@ -15,31 +15,57 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
+from ..sources.scratch import discard, materialize
 from .metrics import share
 from .ranges import group_quantiles
 
 
-def term_counts(df: DataFrame, key: str, text: str, grams: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """(key, term, n): words without stop words, and their pairs."""
+def terms(df: DataFrame, key: str, text: str, grams: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(key, term) for each place: words without stop words, and their pairs."""
     words = RegexTokenizer(inputCol=text, outputCol="__w", pattern=r"[^\p{L}\p{N}]+", minTokenLength=2).transform(df.fillna("", [text]))
     words = StopWordsRemover(inputCol="__w", outputCol="__s").transform(words)
     cols = []
     for n in grams:
         words = NGram(n=n, inputCol="__s", outputCol=f"__g{n}").transform(words)
         cols.append(F.col(f"__g{n}"))
-    return words.select(key, F.explode(F.concat(*cols)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    return words.select(key, F.explode(F.concat(*cols)).alias("term"))
+
+
+def term_counts(df: DataFrame, key: str, text: str, grams: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(key, term, n): words without stop words, and their pairs."""
+    return terms(df, key, text, grams).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tfidf(df: DataFrame, key: str, text: str, features: int = 500, min_df: int = 3, max_df: float = 0.8, sublinear: bool = False) -> DataFrame:
+def tfidf(df: DataFrame, key: str, text: str, features: int = 500, min_df: int = 3, max_df: float = 0.8, sublinear: bool = False, bins: int = 1 << 20) -> DataFrame:
     """(key, term, weight): smoothed inverse frequencies ln((1 + n) / (1 + df)) + 1, rows of length one; the terms are the
-    most frequent of those in at least min_df documents and at most a share max_df of them."""
-    counts = term_counts(df, key, text)
+    most frequent of those in at least min_df documents and at most a share max_df of them.
+
+    Places are counted by hash of their term first, in bins. A term is as frequent as its bin at most, so only terms of the
+    fullest bins are counted by document; once these hold enough terms more frequent than any other bin, no other term can be
+    among the chosen, else more bins are taken, all in the end.
+    """
+    places = terms(df, key, text)
+    bin_of = F.pmod(F.xxhash64("term"), F.lit(bins))
+    full = materialize(places.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("most")), "bins")
     n = df.select(key).distinct().agg(F.count(F.lit(1)).alias("__n"))
-    per = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total")).crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("__n")))
-    chosen = per.orderBy(F.desc("total"), "term").limit(features).select("term", (F.log((1 + F.col("__n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    taken = 2 * features
+    while True:
+        first = full.orderBy(F.desc("most"), "bin").limit(taken + 1).collect()
+        some = df.sparkSession.createDataFrame([(r["bin"],) for r in first[:taken]], "__bin long")
+        counts = places.withColumn("__bin", bin_of).join(F.broadcast(some), "__bin").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+        counts = materialize(counts, "terms")
+        per = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total")).crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("__n")))
+        chosen = per.orderBy(F.desc("total"), "term").limit(features).select("term", "total", (F.log((1 + F.col("__n")) / (1 + F.col("df"))) + 1).alias("idf"))
+        chosen = materialize(chosen, "chosen")
+        if len(first) <= taken:
+            break
+        found = chosen.agg(F.count(F.lit(1)), F.min("total")).first()
+        if found[0] == features and found[1] > first[taken]["most"]:
+            break
+        discard(counts, chosen)
+        taken *= 8
     tf = F.col("n").cast("double") if not sublinear else 1 + F.log("n")
-    rows = counts.join(F.broadcast(chosen), "term").withColumn("w", tf * F.col("idf"))
+    rows = counts.join(F.broadcast(chosen.drop("total")), "term").withColumn("w", tf * F.col("idf"))
     norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return rows.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 

@@ -1,5 +1,7 @@
 """Steps whose shuffles or passes grew faster than the input."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rollcall.operators import graph, linkage, ml
@@ -41,3 +43,21 @@ def test_pairs_and_degrees_read_their_rows_once(spark):
     out = graph.degree_centrality(nodes, pairs, "n")
     assert {r["n"]: r["degree"] for r in out.collect()} == {n: 7 if n < 8 else 0 for n in range(10)}
     assert "Union" not in plan(out)
+
+
+def test_tfidf_counts_only_terms_that_may_be_chosen(spark, monkeypatch):
+    texts = [" ".join([f"rare{i}x{j}" for j in range(60)] + ["often"] * (i % 4) + ["common"] * 3 + ["now", "then"][: i % 3]) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "id long, t string")
+    written = {}
+    monkeypatch.setattr(ml, "materialize", lambda df, name, write=ml.materialize: written.setdefault(name, []).append(write(df, name)) or written[name][-1])
+    rows = lambda **more: {(r["id"], r["term"]): r["weight"] for r in ml.tfidf(df, "id", "t", 3, **more).collect()}
+    found = rows(max_df=1.0)
+    assert written["terms"][0].count() < 400  # of some 5,000
+    counts = [(r["id"], r["term"], r["n"]) for r in ml.term_counts(df, "id", "t").collect()]
+    for most, got in ((1.0, found), (0.8, rows()), (1.0, rows(max_df=1.0, bins=2)), (0.8, rows(bins=50))):
+        docs, total = {}, {}
+        for _, t, n in counts:
+            docs[t], total[t] = docs.get(t, 0) + 1, total.get(t, 0) + n
+        chosen = sorted((t for t in docs if 3 <= docs[t] <= most * 41), key=lambda t: (-total[t], t))[:3]
+        w = {(i, t): n * (np.log(42 / (1 + docs[t])) + 1) for i, t, n in counts if t in chosen}
+        assert got == pytest.approx({(i, t): x / np.sqrt(sum(y * y for (j, _), y in w.items() if j == i)) for (i, t), x in w.items()})
