@@ -61,3 +61,12 @@ def test_tfidf_counts_only_terms_that_may_be_chosen(spark, monkeypatch):
         chosen = sorted((t for t in docs if 3 <= docs[t] <= most * 41), key=lambda t: (-total[t], t))[:3]
         w = {(i, t): n * (np.log(42 / (1 + docs[t])) + 1) for i, t, n in counts if t in chosen}
         assert got == pytest.approx({(i, t): x / np.sqrt(sum(y * y for (j, _), y in w.items() if j == i)) for (i, t), x in w.items()})
+
+
+def test_tasks_hold_a_fixed_share_of_pairs_and_bills(spark, sf):
+    t = spark.createDataFrame([(m, b) for m in range(6) for b in range(m, 9)] * 2, "member_id long, bill_id long")
+    near = spark.createDataFrame([(0, 1), (3, 2), (5, 9)], "member_id long, other_id long")
+    out = graph.affinity(t, near)
+    assert {(r["member_id"], r["other_id"]): r["affinity"] for r in out.collect()} == {(0, 1): pytest.approx(8 / 9), (3, 2): 1.0, (5, 9): 0.0}
+    for df in (out, catalog.QUERIES["g2_committee_stats"](spark, sf)):
+        assert "RepartitionByExpression" in plan(df)
