@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as c
 from ..functions.text import compact_number
 from .ranges import group_quantiles
-from .relational import running_total
+from .relational import dealt, running_total
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -140,9 +140,9 @@ def sponsor_pull(sponsors: DataFrame, scores: DataFrame, members: DataFrame) ->
 
 def committee_stats(listed: DataFrame, assigned: DataFrame, bills: DataFrame) -> DataFrame:
     """Per committee the distinct bills listed with it or assigned to it, how many advanced and how many passed."""
-    pairs = listed.select("code", "number").unionByName(assigned.select("code", "number")).distinct()
+    pairs = listed.select("code", "number").unionByName(assigned.select("code", "number"))
     facts = bill_facts(bills).select(compact_number(F.col("bill_number")).alias("__n"), "depth", "status")
-    rows = pairs.withColumn("__n", compact_number(F.col("number"))).select("code", "__n").distinct().join(facts, "__n")
+    rows = dealt(pairs.select("code", compact_number(F.col("number")).alias("__n")), "__n").distinct().join(facts, "__n")
     out = rows.groupBy("code").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("depth") >= 2).alias("advanced"), F.count_if(F.col("status") == "passed").alias("passed"))
     return out.withColumns({"advance_rate": share(F.col("advanced"), F.col("total")), "pass_rate": share(F.col("passed"), F.col("total"))})
 
