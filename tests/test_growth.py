@@ -1,7 +1,11 @@
 """Steps whose shuffles or passes grew faster than the input."""
 
+import threading
+
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from rollcall.operators import graph, linkage, ml
@@ -70,3 +74,35 @@ def test_tasks_hold_a_fixed_share_of_pairs_and_bills(spark, sf):
     assert {(r["member_id"], r["other_id"]): r["affinity"] for r in out.collect()} == {(0, 1): pytest.approx(8 / 9), (3, 2): 1.0, (5, 9): 0.0}
     for df in (out, catalog.QUERIES["g2_committee_stats"](spark, sf)):
         assert "RepartitionByExpression" in plan(df)
+
+
+def test_folds_are_fitted_side_by_side_in_tasks_by_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, float(i * 7 % 10 < 3), float(i % 13), float(i * i % 17)) for i in range(400)], "id long, label double, x double, y double")
+    rows = ml.assemble(rows, ["x", "y"]).repartition(30)
+    model = ml.models("label", depth=2, rounds=2, weight="weight")["boosting"]
+    data, judge = ml.folds(ml.class_weights(rows.coalesce(1), "label"), "label", "id"), BinaryClassificationEvaluator(labelCol="label")
+    want = np.mean([judge.evaluate(model.fit(data.where(F.col("fold") != k)).transform(data.where(F.col("fold") == k))) for k in range(5)])
+    seen, met = [], threading.Barrier(5)
+
+    def fit(self, df, *a, real=GBTClassifier.fit):
+        met.wait(60)  # all five folds at once
+        seen.append(df.rdd.getNumPartitions())
+        return real(self, df, *a)
+
+    monkeypatch.setattr(GBTClassifier, "fit", fit)
+    for per_task, tasks in ((50_000, 1), (150, 3)):
+        seen.clear()
+        assert ml.compare(rows, "label", "id", candidates={"m": model}, per_task=per_task)["m"] == pytest.approx(want, abs=1e-9)
+        assert seen == [tasks] * 5
+
+
+def test_training_figures_by_matches_alone(spark, tmp_path, monkeypatch):
+    texts = ["", None, "A#b $ C", "caf\u00e9 \u00c9 \U0001f600|\U0001f600!", "no\nsign\t here ", "ABC&%*"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    plans = []
+    monkeypatch.setattr(catalog, "materialize", lambda df, name, write=catalog.materialize: plans.append(plan(df)) or write(df, name))
+    got = {r["doc_id"]: (r["symbols"], r["capitals"]) for r in catalog._training(spark, str(tmp_path)).collect()}
+    share = lambda t, of: None if t is None else sum(c in of for c in t) / max(len(t), 1)
+    assert got == {i: (share(t, "#*$%&|!"), share(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) for i, t in enumerate(texts)}
+    assert "regexp_replace" not in plans[0]  # which copies a text, match by match
