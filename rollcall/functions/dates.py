@@ -27,6 +27,14 @@ def age_days(day: Column, as_of: Column) -> Column:
     return F.datediff(as_of, day)
 
 
+def instant(stamp: Column, kind: str) -> Column:
+    """The point in time of a stamp of this Spark type: one without a zone counts as UTC, not as the session's zone."""
+    if kind != "timestamp_ntz":
+        return stamp.cast("timestamp")
+    since = (stamp - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second")
+    return F.timestamp_seconds(since.cast("decimal(20,6)"))
+
+
 def hours_since(stamp: Column, now: Column) -> Column:
     """Hours between two timestamps, infinity for null."""
     return F.coalesce((now.cast("timestamp").cast("long") - stamp.cast("timestamp").cast("long")) / 3600.0, F.lit(float("inf")))

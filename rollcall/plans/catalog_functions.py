@@ -132,10 +132,11 @@ def c19_age(s, d):
 
 @query("select event_id, case when event_id % 9 = 0 then 'infinity'::double else round((epoch(timestamp '2030-01-01') - floor(epoch(ts))) / 3600.0, 6) end as hours from events")
 def c27_hours_since(s, d):
+    e = table(s, d, "events")
     never = F.coalesce(F.col("event_id") % 9 == 0, F.lit(False))
-    stamp = F.when(~never, F.col("ts").cast("timestamp"))
-    hours = F.when(never | F.col("ts").isNotNull(), dates.hours_since(stamp, F.lit("2030-01-01").cast("timestamp")))
-    return table(s, d, "events").select("event_id", F.round(hours, 6).alias("hours"))
+    stamp = F.when(~never, dates.instant(F.col("ts"), dict(e.dtypes)["ts"]))
+    hours = F.when(never | F.col("ts").isNotNull(), dates.hours_since(stamp, F.lit("2030-01-01T00:00:00Z").cast("timestamp")))
+    return e.select("event_id", F.round(hours, 6).alias("hours"))
 
 
 @query("select c_custkey, case when c_custkey % 3 = 2 then '' else (c_custkey % 120)::varchar end district from customer")

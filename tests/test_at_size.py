@@ -33,6 +33,22 @@ def test_hours_since_of_odd_rows_as_its_sql(spark, tmp_path):
     assert by_id(map(tuple, QUERIES["c27_hours_since"](spark, str(tmp_path)).collect())) == by_id(db.execute(ORACLE["c27_hours_since"]).fetchall())
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamptz"])
+def test_hours_since_in_any_session_zone(spark, tmp_path, kind):
+    db = duckdb.connect()
+    db.execute("set TimeZone = 'UTC'")
+    rows = f"select i event_id, (timestamp '1968-12-31 23:59:58.000001' + to_hours(7 * i))::{kind} ts from range(80000) t(i)"  # to 2032
+    db.execute(f"copy ({rows}) to '{tmp_path}/events.parquet'")
+    db.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = sorted(db.execute(ORACLE["c27_hours_since"]).fetchall())
+    try:
+        for zone in ("UTC", "America/Chicago", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert sorted(map(tuple, QUERIES["c27_hours_since"](spark, str(tmp_path)).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_timeline_goes_by_votes_not_by_events(spark):
     n = 400
     cast = [(1, e, f"{1990 + e // 10}-01-0{1 + e % 9}", "floor", e % 7 if e % 50 == 0 else 10, ("Y", "N", "NV")[e % 3]) for e in range(n)]
