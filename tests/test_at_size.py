@@ -104,6 +104,21 @@ def test_spectral_beyond_a_dense_matrix(two_rings):
     assert np.abs(dense[:80] - sparse[:80]).max() < 1e-3
 
 
+def test_betweenness_of_larger_graphs_is_exact(spark, monkeypatch):
+    """Components of all kinds: dense, sparse, of two nodes, linked with what is no node, over the bound, in several blocks."""
+    rng = np.random.default_rng(1)
+    pairs = {(int(min(p)), int(max(p))) for h in (0, 30) for p in rng.integers(h, h + 20, (60, 2)) if p[0] != p[1]}
+    pairs |= {(60, 61), (70, 71), (71, 999), (71, 72)} | {(i, i + 1) for i in range(80, 110)} | {(80, 100)}
+    nodes, edges = spark.range(115).toDF("n"), spark.createDataFrame(sorted(pairs) * 2 + [(5, 5)], "a long, b long")
+    once = spark.createDataFrame(sorted(pairs), "a long, b long")
+    exact = {r["n"]: r["betweenness"] for r in graph.betweenness(nodes, once, "n").collect()}
+    monkeypatch.setattr(graph, "sources_needed", lambda *a: 3)
+    for dense, most in ((3_000, 40), (10, 60), (0, 3)):
+        monkeypatch.setattr(graph, "DENSE", dense)
+        got = {r["n"]: r["betweenness"] for r in graph.betweenness(nodes, edges, "n", most_edges=most).collect()}
+        assert got == pytest.approx(exact, abs=2e-6)
+
+
 def test_betweenness_by_levels_makes_no_row_per_path(two_rings, monkeypatch):
     nodes, edges = two_rings
     exact = {r["n"]: r["betweenness"] for r in graph.betweenness(nodes, edges, "n").collect()}
