@@ -134,3 +134,17 @@ def test_long_walks_by_steps_are_those_of_one_machine(two_rings):
     found = graph.walks(edges, nodes, "n", 5, 8, most_edges=10)
     assert walk(10) == walk(10_000)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_walks_of_components_take_no_job_per_step(spark, monkeypatch):
+    """A ring of 30, a triangle, a path over the bound of edges and two nodes without any."""
+    ring = [(i, (i + 1) % 30, 1 + i % 4) for i in range(30)]
+    path = [(i, i + 1, 1 + i % 3) for i in range(40, 90)]
+    edges = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in [*ring, (33, 34, 5), (34, 35, 1), (33, 35, 2), *path]], "a long, b long, weight long")
+    nodes, names = spark.range(30).union(spark.range(33, 38)).union(spark.range(40, 91)).toDF("n"), []
+    monkeypatch.setattr(graph, "materialize", lambda df, name, write=graph.materialize: names.append(name) or write(df, name))
+    walk = lambda most: {tuple(r["walk_id"]): r["walk"] for r in graph.walks(edges, nodes, "n", 4, 9, most_edges=most).collect()}
+    want = walk(1_000)
+    names.clear()
+    assert walk(60) == want and len(want) == 86 * 4 and "step" not in names  # every component is within the bound
+    assert walk(35) == want and names.count("step") == 8  # the path is not
