@@ -148,3 +148,20 @@ def test_walks_of_components_take_no_job_per_step(spark, monkeypatch):
     names.clear()
     assert walk(60) == want and len(want) == 86 * 4 and "step" not in names  # every component is within the bound
     assert walk(35) == want and names.count("step") == 8  # the path is not
+
+
+def test_matrix_products_hold_a_few_rows(two_rings):
+    """However large the matrix is, a file has some four rows, and what reads it gets no batch of all of them."""
+    nodes, edges = two_rings
+    ids = np.arange(81)
+    matrix = graph.adjacency(edges, ids, 1)
+    held = [r[0] for r in matrix.groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(held) > 30 and max(held) <= 4  # before: four times as many files as cores, here 16
+    dense = np.zeros((81, 81))
+    for a, b, w in edges.collect():
+        dense[a, b] = dense[b, a] = w
+    x = np.random.default_rng(0).standard_normal((81, 3))
+    assert np.allclose(graph.times(matrix, x), dense @ x)
+    values, vectors = np.linalg.eigh(dense)
+    found = graph.leading(dense.__matmul__, 81, 4, most=24)  # as many vectors as the largest graphs get
+    assert np.abs(np.abs((found * vectors[:, ::-1][:, :4]).sum(0)) - 1).max() < 1e-6
