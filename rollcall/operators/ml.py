@@ -312,10 +312,7 @@ def clusters(df: DataFrame, key: str, vector: str, ks: range = range(2, 9)) -> t
     judge = ClusteringEvaluator(distanceMeasure="cosine")
     n, ids = merges.count() + 1, data.select(key)
     cuts = [k for k in ks if n >= 2 and k <= n]
-    for k in cuts:  # keys and names alone; the vectors are joined with all cuts at once
-        found = materialize(linkage.labels(ids, key, merges, k), "cut")
-        data = data.join(found.withColumnRenamed("cluster", f"__cut{k}"), key)
-    data = materialize(data, "cuts") if cuts else data
+    data = materialize(data.join(linkage.cuts(ids, key, merges, cuts), key), "cuts") if cuts else data
     best = (0, -2.0, None)
     for k in cuts:
         out = data.withColumn("cluster", F.col(f"__cut{k}"))
